@@ -6,13 +6,35 @@ the wrong JSON type must read as NULL here, so every getter checks the stored ty
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def parsed(text: Column) -> Column:
-    """JSON text as a variant, NULL where the text is not JSON."""
-    return F.try_parse_json(text)
+    """JSON text as a variant, NULL where the text as a whole is not JSON.
+
+    The parser stops after the first value and ignores what follows it. Inside an array and inside an
+    object something has to follow that no text can be for both, so both must parse.
+    """
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+
+
+def parsed_or_fail(text: Column, what: str = "text") -> Column:
+    """Like :func:`parsed`, but text that is present and not JSON fails the job."""
+    value = parsed(text)
+    refused = F.raise_error(F.concat(F.lit(f"{what} is not JSON: "), text)).cast("variant")
+    return F.when(text.isNotNull() & value.isNull(), refused).otherwise(value)
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds costly columns that later filters read instead of computing them again.
+
+    Catalyst moves a filter below a projection and repeats there whatever the filter reads. It leaves
+    filters above a projection that has a column whose value depends on the task.
+    """
+    return df.withColumns(columns | {"_task": F.spark_partition_id()}).filter(F.col("_task") >= 0).drop("_task")
 
 
 def _at(doc: Column, path: str) -> Column:
@@ -54,6 +76,6 @@ def json_or_string(text: Column) -> Column:
     """JSON text as it is; any other text as a quoted JSON string."""
     text = F.coalesce(text, F.lit(""))
     quoted = F.to_json(F.array(text))
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(
+    return F.when(parsed(text).isNotNull(), text).otherwise(
         F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     )

@@ -73,13 +73,9 @@ def capture_inserts(batch: DataFrame, version: int) -> DataFrame:
 
 def _examined(log: DataFrame, key: str) -> DataFrame:
     """The log with parsed images and, for an unusable row, the reason in ``skipped``."""
-    op = scalars.op_name(F.col("change_type"))
-    parsed = log.withColumns(
-        {
-            "op": op,
-            "_before": records.parsed(F.col("before")),
-            "_after": records.parsed(F.col("after")),
-        }
+    parsed = records.computed_once(
+        log.withColumn("op", scalars.op_name(F.col("change_type"))),
+        {"_before": records.parsed(F.col("before")), "_after": records.parsed(F.col("after"))},
     )
     gone = F.col("op") == "delete"
     text = F.when(gone, F.col("before")).otherwise(F.col("after"))

@@ -18,7 +18,7 @@ def _not_blank(line: Column) -> Column:
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """The non-blank lines that are not JSON, for a quarantine table."""
-    return lines.filter(_not_blank(F.col("value")) & F.try_parse_json("value").isNull())
+    return lines.filter(_not_blank(F.col("value")) & records.parsed(F.col("value")).isNull())
 
 
 def parse_lines(lines: DataFrame, limit: int | None = None, permissive: bool = False) -> DataFrame:
@@ -27,13 +27,15 @@ def parse_lines(lines: DataFrame, limit: int | None = None, permissive: bool = F
     Blank lines and records without a ``patent_id`` are skipped and do not count towards ``limit``.
     A malformed line fails the job; with ``permissive`` it is left out (see :func:`rejected_lines`).
     """
-    parse = F.try_parse_json if permissive else F.parse_json
+    text = F.col("value")
+    parsed = records.parsed(text) if permissive else records.parsed_or_fail(text, "line")
     doc = F.col("doc")
+    docs = records.computed_once(lines.filter(_not_blank(text)), {"doc": parsed})
     kept = (
-        lines.filter(_not_blank(F.col("value")))
-        .select(parse("value").alias("doc"))
+        records.computed_once(docs, {"patent_id": records.text_at(doc, "$.patent_id")})
+        .filter(F.col("patent_id").isNotNull())
         .select(
-            records.text_at(doc, "$.patent_id").alias("patent_id"),
+            "patent_id",
             records.text_at(doc, "$.title").alias("title"),
             records.text_at(doc, "$.abstract").alias("abstract"),
             records.text_at(doc, "$.claims").alias("claims"),
@@ -42,7 +44,6 @@ def parse_lines(lines: DataFrame, limit: int | None = None, permissive: bool = F
             records.texts_at(doc, "$.cpc_codes").alias("cpc_codes"),
             records.texts_at(doc, "$.cited_patent_ids").alias("cited_ids"),
         )
-        .filter(F.col("patent_id").isNotNull())
     )
     return kept if limit is None else kept.limit(limit)
 

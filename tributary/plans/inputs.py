@@ -22,7 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def epoch_seconds(ts: str) -> Column:
     """Seconds since 1970 of a time without zone, whatever the session's zone."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+    t = F.col(ts)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

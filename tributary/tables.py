@@ -15,6 +15,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary import schemas
 from tributary.operators import changes
@@ -50,11 +51,17 @@ def drop_versions(spark: SparkSession, path: str, upto: int) -> int:
 
 
 class MergeTable:
-    """Rows by key with the change that last set them. Keys are text in column ``id``."""
+    """Rows by key with the change that last set them. Keys are text in column ``id``.
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``extra`` names further columns stored with each row, such as a vector: they commit together with
+    the row, and readers that do not select them do not read them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, extra: str | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
+        more = schemas.struct(extra).fields if extra else []
+        self.schema = T.StructType(STATE.fields + more)
 
     @property
     def _bases(self) -> str:
@@ -70,19 +77,19 @@ class MergeTable:
         return max(both, default=-1)
 
     def apply(self, effects: DataFrame, version: int) -> bool:
-        """Commit ``effects(id, change_id, op, image)`` as ``version``; False if it is there already."""
+        """Commit ``effects(id, change_id, op, image[, extra])`` as ``version``; False if it is there already."""
         if version in committed_versions(self.spark, self._deltas) or version <= max(
             committed_versions(self.spark, self._bases), default=-1
         ):
             return False
-        folded = changes.fold(effects.select(*STATE.names)).select(*STATE.names)
+        folded = changes.fold(effects.select(*self.schema.names)).select(*self.schema.names)
         folded.write.mode("overwrite").parquet(f"{self._deltas}/version={version}")
         return True
 
     def _read(self, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(*folders)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
     def _parts(self, version: int | None) -> tuple[list[int], list[int]]:
         newest = self.version() if version is None else version
@@ -100,7 +107,7 @@ class MergeTable:
             return stored
         news = self._read([f"{self._deltas}/version={v}" for v in deltas])
         if not base:
-            return changes.fold(news).select(*STATE.names)
+            return changes.fold(news).select(*self.schema.names)
         return changes.upsert_into(stored, news)
 
     def rows(self, version: int | None = None) -> DataFrame:
@@ -113,7 +120,7 @@ class MergeTable:
         if base and base[0] > after:
             return self.state(upto)
         wanted = [f"{self._deltas}/version={v}" for v in deltas if v > after]
-        return changes.fold(self._read(wanted)).select(*STATE.names)
+        return changes.fold(self._read(wanted)).select(*self.schema.names)
 
     def compact(self, forget_below: int | None = None) -> int:
         """Write the current state as a new base and return its version.

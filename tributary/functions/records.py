@@ -21,9 +21,8 @@ def parsed(text: Column) -> Column:
     return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
 
 
-def parsed_or_fail(text: Column, what: str = "text") -> Column:
-    """Like :func:`parsed`, but text that is present and not JSON fails the job."""
-    value = parsed(text)
+def checked(value: Column, text: Column, what: str = "text") -> Column:
+    """``value``, parsed from ``text``; fails the job where there is text that was not JSON."""
     refused = F.raise_error(F.concat(F.lit(f"{what} is not JSON: "), text)).cast("variant")
     return F.when(text.isNotNull() & value.isNull(), refused).otherwise(value)
 
@@ -62,14 +61,14 @@ def int_at(doc: Column, path: str) -> Column:
 
 def texts_at(doc: Column, path: str) -> Column:
     """The non-empty strings of the array at ``path``; empty when there is no array."""
-    items = F.coalesce(
-        F.try_variant_get(doc, path, "array<variant>"), F.expr("cast(array() as array<variant>)")
-    )
-    strings = F.transform(
-        F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"),
+    shape = F.schema_of_variant(_at(doc, path))
+    mixed = F.transform(
+        F.filter(F.try_variant_get(doc, path, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"),
         lambda x: F.try_variant_get(x, "$", "string"),
     )
-    return F.filter(strings, lambda s: s != "")
+    # An array of nothing but strings is read in one step; only a mixed one is looked at item by item.
+    found = F.when(shape == "ARRAY<STRING>", F.try_variant_get(doc, path, "array<string>")).otherwise(mixed)
+    return F.coalesce(F.filter(found, lambda s: s != ""), F.expr("cast(array() as array<string>)"))
 
 
 def json_or_string(text: Column) -> Column:

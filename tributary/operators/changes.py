@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions import records, scalars
 
+TWICE = "insert on a live key"
+MOVED = "update changes the key"
 MODES = ("off", "id", "before", "after", "full")
 
 
@@ -135,19 +137,24 @@ def op_counts(decoded: DataFrame) -> DataFrame:
 # ---- fold and apply --------------------------------------------------------------------------------
 
 
-def effects(decoded: DataFrame) -> DataFrame:
-    """One row per key a change touches: ``(id, change_id, op, image)``.
-
-    An update that changes the key removes the row under the old key as well.
-    """
+def _touched(decoded: DataFrame) -> DataFrame:
+    """``(id, change_id, op, image, moved)``: one row per key a change touches."""
     image = F.when(F.col("op") == "delete", F.col("before")).otherwise(F.col("after"))
-    own = F.struct("id", "op", image.alias("image"))
-    moved = (F.col("op") == "update") & F.col("before_id").isNotNull() & (F.col("before_id") != F.col("id"))
-    left = F.struct(F.col("before_id").alias("id"), F.lit("delete").alias("op"), F.col("before").alias("image"))
-    touched = F.when(moved, F.array(left, own)).otherwise(F.array(own))
-    return decoded.select("change_id", F.explode(touched).alias("e")).select(
-        "e.id", "change_id", "e.op", "e.image"
+    moved = F.coalesce((F.col("op") == "update") & (F.col("before_id") != F.col("id")), F.lit(False))
+    own = F.struct("id", "op", image.alias("image"), moved.alias("moved"))
+    left = F.struct(
+        F.col("before_id").alias("id"), F.lit("delete").alias("op"), F.col("before").alias("image"),
+        F.lit(False).alias("moved"),
     )
+    both = F.when(moved, F.array(left, own)).otherwise(F.array(own))
+    return decoded.select("change_id", F.explode(both).alias("e")).select(
+        "e.id", "change_id", "e.op", "e.image", "e.moved"
+    )
+
+
+def effects(decoded: DataFrame) -> DataFrame:
+    """``(id, change_id, op, image)``; an update that moves a row also removes it under its old key."""
+    return _touched(decoded).drop("moved")
 
 
 def fold(changes: DataFrame, key: str = "id", order: str = "change_id") -> DataFrame:
@@ -161,17 +168,27 @@ def live(folded: DataFrame) -> DataFrame:
     return folded.filter(F.col("op") != "delete")
 
 
-def upsert_into(state: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_id") -> DataFrame:
-    """Newest row per key of ``state ∪ changes``, tombstones included.
+def upsert_into(
+    state: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_id", small: bool = False
+) -> DataFrame:
+    """Newest row per key of ``state ∪ changes``, tombstones included; ``state`` has each key once.
 
-    Only rows whose key occurs in ``changes`` go through the fold; the others pass by a join against
-    the keys of the change set, which Spark broadcasts when its measured size allows.
+    The state is read once in full and once more for its keys alone, and is never folded. ``small``
+    says that the size of ``changes`` has been checked and the folded rows may be sent to every
+    task; then the state is not shuffled either.
     """
-    changes = changes.select(state.columns)
-    keys = changes.select(key).distinct()
-    untouched = state.join(keys, key, "left_anti")
-    touched = state.join(keys, key, "left_semi")
-    return untouched.unionByName(fold(touched.unionByName(changes), key, order).select(state.columns))
+    columns = state.columns
+    news = fold(changes.select(columns), key, order).select(columns)
+    if small:
+        news = F.broadcast(news)
+    replacing = news.select(key, F.struct(*[c for c in columns if c != key]).alias("_new"))
+    joined = state.join(replacing, key, "left")
+    newer = F.coalesce(F.col(f"_new.{order}") >= F.col(order), F.lit(False))
+    merged = joined.select(
+        key, *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in columns if c != key]
+    )
+    known = state.select(key).join(news.select(key), key, "left_semi")
+    return merged.unionByName(news.join(known, key, "left_anti"))
 
 
 def document_rows(folded: DataFrame) -> DataFrame:
@@ -216,19 +233,21 @@ def with_previous(
     ``width`` order values; the first row of a stretch takes its value from a summary that has one row
     per key and stretch.
     """
-    stretch = F.floor(F.col(order) / width)
-    rows = df.withColumn("_stretch", stretch)
+    rows = df.withColumn("_stretch", F.floor(F.col(order) / width))
     inside = Window.partitionBy(key, "_stretch").orderBy(order)
-    last = rows.groupBy(key, "_stretch").agg(F.max_by(value, order).alias("_tail"))
     across = Window.partitionBy(key).orderBy("_stretch")
-    carried = last.select(key, "_stretch", F.lag("_tail").over(across).alias("_carried"))
     lagged = rows.withColumns(
-        {"_before": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1}
+        {
+            "_before": F.lag(value).over(inside),
+            "_first": F.row_number().over(inside) == 1,
+            "_last": F.lead(F.lit(1)).over(inside).isNull(),
+        }
     )
+    tails = lagged.filter("_last").select(key, "_stretch", F.lag(value).over(across).alias("_carried"))
     return (
-        lagged.join(carried, [key, "_stretch"])
+        lagged.join(tails, [key, "_stretch"])
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")))
-        .drop("_stretch", "_before", "_first", "_carried")
+        .drop("_stretch", "_before", "_first", "_last", "_carried")
     )
 
 
@@ -237,7 +256,7 @@ def violations(decoded: DataFrame, existing: DataFrame | None = None, width: int
 
     ``existing`` holds the keys (column ``id``) that are live before the first change.
     """
-    touched = effects(decoded).select("id", "change_id", "op")
+    touched = _touched(decoded).drop("image")
     chained = with_previous(touched, "id", "change_id", "op", width=width)
     if existing is not None:
         known = existing.select("id").distinct().withColumn("_known", F.lit(True))
@@ -247,13 +266,8 @@ def violations(decoded: DataFrame, existing: DataFrame | None = None, width: int
     was_live = F.when(F.col("previous").isNull(), F.coalesce("_known", F.lit(False))).otherwise(
         F.col("previous") != "delete"
     )
-    twice = chained.filter((F.col("op") == "insert") & was_live).select(
-        "id", "change_id", F.lit("insert on a live key").alias("reason")
-    )
-    moved = decoded.filter(
-        (F.col("op") == "update") & F.col("before_id").isNotNull() & (F.col("before_id") != F.col("id"))
-    ).select("id", "change_id", F.lit("update changes the key").alias("reason"))
-    return twice.unionByName(moved)
+    reason = F.when((F.col("op") == "insert") & was_live, TWICE).when(F.col("moved"), MOVED)
+    return chained.select("id", "change_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def content_hash(df: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from tributary.functions import text as text_functions
 # A model: a batch of texts to a (len(texts), dim) array of floats.
 Model = Callable[[Sequence[str]], np.ndarray]
 
+REMEMBERED = 1_000_000  # tokens whose bucket a batch keeps at hand
+
 _LETTERS = re.compile("[a-z]+")
 _FOLD = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 
@@ -34,19 +36,30 @@ def hash_buckets(docs: DataFrame, dim: int, key: str = "id", text: str = "text")
     )
 
 
+class _Buckets(dict):
+    """Token to bucket, remembered while there is room."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        bucket = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        return bucket
+
+
 def hash_model(dim: int) -> Model:
     """The offline model: bucket counts scaled to length 1; a text without tokens is all zeros."""
 
     def embed(texts: Sequence[str]) -> np.ndarray:
-        buckets: dict[str, int] = {}
+        buckets = _Buckets(dim)
         out = np.zeros((len(texts), dim), dtype="float64")
         for row, text in enumerate(texts):
-            for token in _LETTERS.findall((text or "").translate(_FOLD)):
-                bucket = buckets.get(token)
-                if bucket is None:
-                    bucket = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-                    buckets[token] = bucket
-                out[row, bucket] += 1.0
+            found = [buckets[token] for token in _LETTERS.findall((text or "").translate(_FOLD))]
+            if found:
+                out[row] = np.bincount(found, minlength=dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0).astype("float32")
 

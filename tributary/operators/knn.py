@@ -173,29 +173,27 @@ def _score_blocks(
 ) -> DataFrame:
     """The same scores when the queries are too many to ship: bounded groups (cell, chunk, block)."""
     blocks = max(1, -(-queries.count() // block))
-    rows = corpus.select("id", F.col("emb").alias("vec"), F.col("cell") if cells is not None else F.lit(0).alias("cell"))
     asked = queries.select(
-        "query_id",
-        F.col("emb").alias("qvec"),
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode("probe").alias("cell") if cells is not None else F.lit(0).alias("cell"),
+        "query_id", F.col("emb").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
+        *(["probe"] if cells is not None else []),
     )
-    # A cell is cut into as many chunks as its own size asks for; there are at most ``cells`` rows here.
-    cuts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    spread = rows.join(F.broadcast(cuts), "cell").select(
+    if cells is None:
+        chunks = F.lit(max(1, -(-corpus.count() // chunk)))
+        rows = corpus.select("id", F.col("emb").alias("vec"), F.lit(0).alias("cell"), chunks.alias("chunks"))
+        asked = asked.withColumns({"cell": F.lit(0), "chunks": chunks})
+    else:
+        # A cell is cut into as many chunks as its own size asks for; there are at most ``cells`` rows here.
+        cuts = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+        rows = corpus.select("id", F.col("emb").alias("vec"), "cell").join(F.broadcast(cuts), "cell")
+        asked = asked.withColumn("cell", F.explode("probe")).drop("probe").join(F.broadcast(cuts), "cell")
+    spread = rows.select(
         "id",
         "vec",
         "cell",
         F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-    asked = asked.join(F.broadcast(cuts), "cell").select(
-        "query_id",
-        "qvec",
-        "cell",
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        "block",
-    )
+    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     group = ["cell", "chunk", "block"]
     schema = T.StructType(
         [

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.plans.inputs import table
+from tributary.functions import records
+from tributary.plans.inputs import table, wide_table
 from tributary.sources import feeds, patents, synthetic
 
 
@@ -28,7 +29,12 @@ def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", " ").alias("cpc_codes"),
         F.split("text", "\n").alias("cited_patent_ids"),
     )
-    return table(spark, sf_dir, "documents").select(F.to_json(record).alias("value"))
+    return _lines(wide_table(spark, sf_dir, "documents"), F.to_json(record))
+
+
+def _lines(df: DataFrame, line: Column) -> DataFrame:
+    """Lines as a text file would hold them: made once, not again wherever they are read."""
+    return records.computed_once(df, {"value": line}).select("value")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +83,7 @@ def firehose_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "src4", F.concat(F.lit("event: "), event))
         .otherwise(F.concat(F.lit("data: "), event, F.lit("  ")))
     )
-    lines = table(spark, sf_dir, "documents").select(line.alias("value"))
+    lines = _lines(wide_table(spark, sf_dir, "documents"), line)
     found = feeds.edit_documents(lines, wiki="enwiki", namespace="0")
     return found.select(
         "id", "text", F.get_json_object("meta", "$.title").alias("title"), F.get_json_object("meta", "$.url").alias("url")
@@ -93,12 +99,12 @@ def stories_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lang != "de", F.col("text")).alias("text"),
         F.when(lang != "fr", F.concat(F.lit("http://"), "source")).alias("url"),
     )
-    lines = table(spark, sf_dir, "documents").select(line.alias("value"))
+    lines = _lines(wide_table(spark, sf_dir, "documents"), line)
     return feeds.story_documents(lines).select("id", "text", F.get_json_object("meta", "$.url").alias("url"))
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
+    return wide_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
 
 
 def synth_patents(spark: SparkSession, sf_dir: str) -> DataFrame:

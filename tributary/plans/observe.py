@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import telemetry
-from tributary.plans.inputs import table
+from tributary.plans.inputs import wide_table
 from tributary.sources import nodelogs
 
 
@@ -28,7 +28,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", F.concat(F.lit("source="), "props"))
         .otherwise(failure)
     )
-    return table(spark, sf_dir, "events").select(
+    return wide_table(spark, sf_dir, "events").select(
         F.concat(F.lit("node-"), "user_id").alias("node"),
         F.col("event_id").alias("position"),
         F.col("ts").alias("touched"),

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tributary.functions import vectors
 from tributary.operators import embedding, ivf, knn, prompts, stats
 from tributary.plans import inputs
-from tributary.plans.inputs import CENTROID_SQL, DIM, embed_sql, table, top_sql
+from tributary.plans.inputs import CENTROID_SQL, DIM, embed_sql, table, top_sql, wide_table
 
 CELLS = 16
 
 
 def hash_embed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.hash_buckets(table(spark, sf_dir, "documents"), DIM, "doc_id", "text")
+    return embedding.hash_buckets(wide_table(spark, sf_dir, "documents"), DIM, "doc_id", "text")
 
 
 def hash_embed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:

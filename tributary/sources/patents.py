@@ -28,9 +28,10 @@ def parse_lines(lines: DataFrame, limit: int | None = None, permissive: bool = F
     A malformed line fails the job; with ``permissive`` it is left out (see :func:`rejected_lines`).
     """
     text = F.col("value")
-    parsed = records.parsed(text) if permissive else records.parsed_or_fail(text, "line")
     doc = F.col("doc")
-    docs = records.computed_once(lines.filter(_not_blank(text)), {"doc": parsed})
+    docs = records.computed_once(lines.filter(_not_blank(text)), {"doc": records.parsed(text)})
+    if not permissive:
+        docs = docs.withColumn("doc", records.checked(doc, text, "line"))
     kept = (
         records.computed_once(docs, {"patent_id": records.text_at(doc, "$.patent_id")})
         .filter(F.col("patent_id").isNotNull())

@@ -43,7 +43,7 @@ class StrictSink(UpsertSink):
     def apply(self, decoded: DataFrame, version: int) -> None:
         if self.table.version() >= version:
             return
-        refused = changes.violations(decoded, self.table.rows()).filter(F.col("reason") == "insert on a live key")
+        refused = changes.violations(decoded, self.table.rows()).filter(F.col("reason") == changes.TWICE)
         first = refused.orderBy("change_id").limit(5).collect()
         if first:
             raise StrictViolation("; ".join(f"change {r.change_id}: {r.reason} {r.id!r}" for r in first))

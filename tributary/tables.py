@@ -1,7 +1,8 @@
 """A keyed table kept as Parquet: a base image plus one small folded delta per committed version.
 
-Applying a batch writes only that batch. Reading joins the base with the keys of the deltas, so rows
-that no delta touches are not shuffled by key. ``compact`` turns base and deltas into a new base.
+Applying a batch writes only that batch. Reading joins the base with the folded deltas; while these
+are small, by the size of their files, the base is not shuffled. ``compact`` turns base and deltas
+into a new base.
 
 A version is visible once its write has committed (its ``_SUCCESS`` marker exists). Applying a version
 that is already committed does nothing, so a repeated micro-batch changes nothing. Deleted keys stay
@@ -23,6 +24,8 @@ from tributary.operators import changes
 # What the table stores per key: the last operation, its change id and its row image.
 STATE = schemas.struct("id string, change_id bigint, op string, image string")
 
+SMALL_DELTA = 64 * 1024 * 1024  # bytes of delta files up to which they are sent to every task
+
 
 def _folder(spark: SparkSession, path: str):
     """The path and the file system that holds it, whichever it is."""
@@ -50,6 +53,11 @@ def drop_versions(spark: SparkSession, path: str, upto: int) -> int:
     return len(doomed)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    folder, files = _folder(spark, path)
+    return files.getContentSummary(folder).getLength()
+
+
 class MergeTable:
     """Rows by key with the change that last set them. Keys are text in column ``id``.
 
@@ -108,7 +116,8 @@ class MergeTable:
         news = self._read([f"{self._deltas}/version={v}" for v in deltas])
         if not base:
             return changes.fold(news).select(*self.schema.names)
-        return changes.upsert_into(stored, news)
+        size = sum(stored_bytes(self.spark, f"{self._deltas}/version={v}") for v in deltas)
+        return changes.upsert_into(stored, news, small=size <= SMALL_DELTA)
 
     def rows(self, version: int | None = None) -> DataFrame:
         """Live rows as ``(id, change_id, op, image)``."""

@@ -77,6 +77,11 @@ def test_edit_feed_without_filters_and_ids(spark):
     assert named.first()["id"] == "enwiki:T"
 
 
+def test_malformed_events_can_be_kept_apart(spark):
+    df = lines(spark, edit(), "data: {oops", "event: message", "data: 5")
+    assert [r.value for r in feeds.rejected_lines(df).collect()] == ["data: {oops"]
+
+
 def test_stories(spark):
     items = lines(
         spark, raw(id=1, title="A", text="b", url="u"), raw(id=2, title="C"), raw(id=3, title=""), raw(id=4), "null"

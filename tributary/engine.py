@@ -139,11 +139,13 @@ class Engine:
 
     def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Hits of ``queries(query_id, query)``: ``(query_id, rank, id, text, meta, score)``."""
-        rows = self.table.rows()
-        stored = embedding.of_model(rows.select("id", "emb", "model"), self.model_name)
-        # Reading the model beside the vector makes a vector of another model an error here.
+        return self._hits(self._embedded(queries), k)
+
+    def _hits(self, asked: DataFrame, k: int) -> DataFrame:
+        # Text and vector are one row, so a vector always has its document and no join is needed to know.
+        stored = embedding.of_model(self.table.rows().select("id", "emb", "model"), self.model_name)
         same = stored.select("id", F.when(F.col("model").isNotNull(), F.col("emb")).alias("emb"))
-        return knn.search_documents(same, self.documents(), self._embedded(queries), k)
+        return knn.with_documents(knn.nearest(same, asked, k), self.documents(), asked, k)
 
     def search_timed(self, queries: Sequence[str], k: int = 5) -> tuple[list, float, float]:
         """Hits, milliseconds spent on embedding the queries, and on the scan."""
@@ -151,8 +153,7 @@ class Engine:
         vectors = [[float(x) for x in v] for v in self.model(list(queries))]
         middle = time.monotonic()
         asked = self.spark.createDataFrame(list(enumerate(vectors)), "query_id int, emb array<float>")
-        found = knn.search_documents(self.vectors(), self.documents(), asked, k)
-        hits = found.orderBy("query_id", "rank").collect()  # k rows per query
+        hits = self._hits(asked, k).orderBy("query_id", "rank").collect()  # k rows per query
         return hits, (middle - start) * 1000, (time.monotonic() - middle) * 1000
 
     def answer(self, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -92,8 +92,11 @@ def build(corpus: DataFrame, cells: int, seed: int = 42, iterations: int = 10) -
     share = min(1.0, cells * TRAINING_ROWS_PER_CELL / max(1, corpus.count()))
     training = corpus if share >= 1.0 else corpus.sample(False, share, seed)
     unit = vectors.l2_normalise(F.col("emb")).cast("array<double>")
-    features = training.select(array_to_vector(unit).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
+    features = training.select(array_to_vector(unit).alias("features")).persist()
+    try:
+        model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
+    finally:
+        features.unpersist()
     centroids = _unit(np.array([np.asarray(c, dtype="float64") for c in model.clusterCenters()]))
     cell = _nearest_cells(F.col("emb"), centroids, 1)[0]
     return IvfIndex(corpus.select("id", "emb", cell.alias("cell")), centroids)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 PLACES = 6
 SHIPPED_QUERIES = 4096  # most queries sent to every task
 SHIPPED_VALUES = 4_000_000  # and most vector values in them (32 MB of doubles)
+SHIPPED_HITS = 100_000  # most hits sent to the tasks that fetch their texts
 BLOCK_QUERIES = 1024  # queries of one block beyond that bound
 CHUNK_ROWS = 16_384  # corpus rows of one chunk beyond that bound
 CELL_VALUES = 4_000_000  # distances held at once while scoring one batch
@@ -244,17 +245,28 @@ def _rank(local: DataFrame, k: int) -> DataFrame:
 # ---- around a search -------------------------------------------------------------------------------
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``hits`` with text and meta, as ``(query_id, rank, id, text, meta, score)``.
+
+    There are at most ``k`` hits per query: when the queries are counted and few, the hits go to the
+    tasks that read the documents, and no document is shuffled.
+    """
+    few = SHIPPED_HITS // k
+    if queries.select("query_id").limit(few + 1).count() <= few:
+        hits = F.broadcast(hits)
+    return docs.select("id", "text", "meta").join(hits, "id").select(
+        "query_id", "rank", "id", "text", "meta", F.col("dist").alias("score")
+    )
+
+
 def search_documents(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``(query_id, rank, id, text, meta, score)``: nearest documents of each query.
+    """Nearest documents of each query, where vectors and documents are separate tables.
 
     A vector without a document never surfaces: vectors are cut to existing documents first, and
     texts are fetched for the few hits only.
     """
     present = vectors.join(docs.select("id"), "id", "left_semi")
-    hits = nearest(present, queries, k)
-    return hits.join(docs.select("id", "text", "meta"), "id").select(
-        "query_id", "rank", "id", "text", "meta", F.col("dist").alias("score")
-    )
+    return with_documents(nearest(present, queries, k), docs, queries, k)
 
 
 def integrity(vectors: DataFrame, docs: DataFrame) -> DataFrame:

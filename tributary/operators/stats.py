@@ -8,25 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import scalars
+from tributary.session import written_once
 
 ACCURACY = 10_000
+SMALL_BRACKETS = 1_000_000  # rows of bracket table up to which it is sent to every task
 
 
-def order_statistics(
-    df: DataFrame, group: str, value: str, shares: Sequence[float], accuracy: int = ACCURACY
-) -> DataFrame:
-    """Exact sorted values ``t[floor(share * n)]`` per group as ``(group, share, value)``.
-
-    No group is sorted whole. A sketch brackets each wanted rank within ``n / accuracy`` ranks; then
-    rows below the bracket are counted and only the distinct values inside it are ranked.
-    """
-    rows = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull()
-    )
+def _brackets(rows: DataFrame, shares: Sequence[float], accuracy: int) -> DataFrame:
+    """``(_g, n, mean, share, low, high, target)``: where the wanted ranks of ``rows(_g, _v)`` must lie."""
     slack = 2.0 / accuracy
     cuts = [min(max(s + side * slack, 0.0), 1.0) for s in shares for side in (-1, 1)]
     sketch = rows.groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg("_v").alias("mean"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", cuts, accuracy).alias("_cuts"),
@@ -35,38 +29,51 @@ def order_statistics(
     for i, share in enumerate(shares):
         low = F.col("_min") if share <= slack else F.element_at("_cuts", 2 * i + 1)
         high = F.col("_max") if share >= 1 - slack else F.element_at("_cuts", 2 * i + 2)
-        target = F.least(F.floor(F.col("_n") * F.lit(float(share))), F.col("_n") - 1)
+        target = F.least(F.floor(F.col("n") * F.lit(float(share))), F.col("n") - 1)
         brackets.append(
-            F.struct(
-                F.lit(float(share)).alias("share"),
-                low.alias("low"),
-                high.alias("high"),
-                target.alias("target"),
-            )
+            F.struct(F.lit(float(share)).alias("share"), low.alias("low"), high.alias("high"), target.alias("target"))
         )
-    wanted = sketch.select("_g", F.explode(F.array(*brackets)).alias("w")).select("_g", "w.*")
+    return sketch.select("_g", "n", "mean", F.explode(F.array(*brackets)).alias("w")).select("_g", "n", "mean", "w.*")
+
+
+def order_statistics(
+    df: DataFrame, group: str, value: str, shares: Sequence[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """Exact sorted values ``t[floor(share * n)]`` per group as ``(group, share, n, mean, value)``.
+
+    No group is sorted whole. A sketch brackets each wanted rank within ``n / accuracy`` ranks; then
+    rows below the bracket are counted and only the distinct values inside it are ranked. That is two
+    passes over ``df``.
+    """
+    rows = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull()
+    )
+    wanted = written_once(_brackets(rows, shares, accuracy))
+    if wanted.count() <= SMALL_BRACKETS:
+        wanted = F.broadcast(wanted)
     # Each task turns its rows into one count for all that lies below a bracket and one per distinct
     # value inside it; only those counts are shuffled.
     placed = rows.join(wanted, "_g").filter(F.col("_v") <= F.col("high"))
     step = F.when(F.col("_v") >= F.col("low"), F.col("_v"))
-    steps = placed.groupBy("_g", "share", "target", step.alias("_step")).agg(F.count(F.lit(1)).alias("_c"))
+    by = ["_g", "share", "n", "mean", "target"]
+    steps = placed.groupBy(*by, step.alias("_step")).agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy("_g", "share").orderBy(F.asc_nulls_first("_step")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inside = F.col("_step").isNotNull()
     found = (
         steps.withColumn("_upto", F.sum("_c").over(upto))
-        .groupBy(F.col("_g").alias(group), "share", "target")
+        .groupBy(*by)
         .agg(
-            F.min(F.when(inside & (F.col("_upto") > F.col("target")), F.col("_step"))).alias(value),
+            F.min(F.when(inside & (F.col("_upto") > F.col("target")), F.col("_step"))).alias("_at"),
             F.coalesce(F.max(F.when(~inside, F.col("_upto"))), F.lit(0)).alias("_below"),
         )
     )
-    bracketed = (F.col("_below") <= F.col("target")) & F.col(value).isNotNull()
-    checked = F.when(bracketed, F.col(value)).otherwise(
+    bracketed = (F.col("_below") <= F.col("target")) & F.col("_at").isNotNull()
+    checked = F.when(bracketed, F.col("_at")).otherwise(
         F.raise_error(F.lit("rank lies outside its bracket; raise the accuracy")).cast("double")
     )
-    return found.select(group, "share", checked.alias(value))
+    return found.select(F.col("_g").alias(group), "share", "n", "mean", checked.alias(value))
 
 
 def latency_summary(
@@ -74,25 +81,18 @@ def latency_summary(
 ) -> DataFrame:
     """p50, p95 and mean per group, scaled (seconds to ms) and rounded."""
     p50, p95 = 0.5, 0.95
-    exact = (
-        order_statistics(samples, group, seconds, [p50, p95])
-        .groupBy(group)
-        .agg(
-            F.max(F.when(F.col("share") == p50, F.col(seconds))).alias("p50"),
-            F.max(F.when(F.col("share") == p95, F.col(seconds))).alias("p95"),
-        )
-    )
-    means = samples.groupBy(group).agg(F.count(seconds).alias("n"), F.avg(seconds).alias("mean"))
 
-    def shown(column: str) -> Column:
-        return F.round(F.col(column) * scale, places)
+    def shown(value: Column) -> Column:
+        return F.round(value * scale, places)
+
+    def at(share: float) -> Column:
+        return F.max(F.when(F.col("share") == share, F.col(seconds)))
 
-    return means.join(exact, group).select(
-        group,
-        "n",
-        shown("p50").alias("p50_ms"),
-        shown("p95").alias("p95_ms"),
-        shown("mean").alias("mean_ms"),
+    return (
+        order_statistics(samples, group, seconds, [p50, p95])
+        .groupBy(group, "n", "mean")
+        .agg(shown(at(p50)).alias("p50_ms"), shown(at(p95)).alias("p95_ms"))
+        .select(group, "n", "p50_ms", "p95_ms", shown(F.col("mean")).alias("mean_ms"))
     )
 
 

@@ -84,6 +84,11 @@ def event_rate_1min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rate_per_window(table(spark, sf_dir, "events")).select("window_start", "n")
 
 
+def storage_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of the tables' folder, from file metadata."""
+    return stats.footprint(spark, sf_dir)
+
+
 def hit_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and links of documents whose meta has a title only for English and no link for French."""
     english, french = F.col("lang") == "en", F.col("lang") == "fr"
@@ -107,7 +112,7 @@ QUERIES = {
     for f in (
         q1_top_groups, q2_count_by_year, q3_top_sections, q4_most_referenced, q5_join_count, summary_by_source,
         json_group_count, row_counts, latency_summary, best_of_n, capture_overhead, docs_per_minute,
-        event_rate_1min, hit_display, id_and_text,
+        event_rate_1min, storage_footprint, hit_display, id_and_text,
     )
 }
 

@@ -11,7 +11,7 @@ from tributary.functions import scalars
 from tributary.operators import changes, replication, writeback
 from tributary.plans import inputs
 from tributary.plans.inputs import LOG_SQL, table
-from tributary.session import shared_dir
+from tributary.session import shared_dir, written_once
 from tributary.streaming import drain as draining
 from tributary.streaming.sinks import UpsertSink
 from tributary.tables import MergeTable
@@ -62,7 +62,7 @@ def cdc_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cdc_append_vs_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the append-only lake, of the merged table, and whether merging in two steps gives the same."""
-    decoded = changes.decode(inputs.event_log(spark, sf_dir))
+    decoded = written_once(changes.decode(inputs.event_log(spark, sf_dir)))
     middle = inputs.middle_change(spark, sf_dir)
     effects = changes.effects(decoded)
     stepwise = changes.upsert_into(replication.snapshot(effects, middle), replication.increment(effects, middle))
@@ -73,6 +73,18 @@ def cdc_append_vs_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lake_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The append-only table: the text of every insert and update image."""
+    rows = changes.lake_rows(changes.decode(inputs.event_log(spark, sf_dir)))
+    return rows.select("change_id", "op", "id", F.get_json_object("image", "$.text").alias("text"))
+
+
+def capture_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders captured by hand as shadow rows of one insert batch."""
+    batch = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return changes.capture_inserts(batch, 1)
+
+
 def cdc_typed_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with right and wrong JSON types: a number as text, text as a number, a fraction, an overflow."""
     image = F.to_json(
@@ -92,7 +104,7 @@ def cdc_typed_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    effects = inputs.event_effects(spark, sf_dir)
+    effects = written_once(inputs.event_effects(spark, sf_dir))
     old = replication.snapshot(effects, inputs.middle_change(spark, sf_dir))
     return changes.document_rows(old), changes.document_rows(changes.fold(effects))
 
@@ -106,7 +118,8 @@ def _diff(mode: str):
 
 
 def replica_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir)[0]
+    old = replication.snapshot(inputs.event_effects(spark, sf_dir), inputs.middle_change(spark, sf_dir))
+    return changes.document_rows(old)
 
 
 def replica_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +128,7 @@ def replica_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replica_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    effects = inputs.event_effects(spark, sf_dir)
+    effects = written_once(inputs.event_effects(spark, sf_dir))
     middle = inputs.middle_change(spark, sf_dir)
     replica = replication.catch_up(replication.snapshot(effects, middle), replication.increment(effects, middle))
     return replication.convergence(changes.fold(effects), replica)
@@ -175,7 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cdc_decode, cdc_op_counts, cdc_skipped, cdc_fold, cdc_upsert_snapshot, cdc_deleted_keys, cdc_violations,
-        cdc_append_vs_merged, cdc_typed_image, replica_bootstrap, replica_delta, replica_converged, prune_log,
+        cdc_append_vs_merged, lake_append, capture_shadow, cdc_typed_image, replica_bootstrap, replica_delta, replica_converged, prune_log,
         change_feed_json, outbox_pending, outbox_prefix, inbox_upsert, stream_drain,
     )
 } | {f"snapshot_diff_{mode}": _diff(mode) for mode in ("full", "after", "before", "id")}
@@ -225,6 +238,9 @@ SQL = {
     "cdc_append_vs_merged": f"""{LOG_SQL}
         SELECT (SELECT count(*) FROM log WHERE op <> 'delete') AS append_rows,
                (SELECT count(*) FROM last_all WHERE op <> 'delete') AS merged_rows, TRUE AS consistent""",
+    "lake_append": f"{LOG_SQL} SELECT change_id, op, id, text FROM log WHERE op <> 'delete'",
+    "capture_shadow": """
+        SELECT CAST(1 AS BIGINT) AS version, 'INSERT' AS change_type, o_orderkey, o_custkey, o_orderstatus FROM orders""",
     "cdc_typed_image": """
         SELECT 'P' || p_partkey AS patent_id, p_name AS title, CAST(NULL AS VARCHAR) AS abstract,
                CASE WHEN p_size > 25 THEN p_brand END AS assignee, p_type AS grant_date,

@@ -1,8 +1,9 @@
-"""Session settings, and the shared folder used to cut lineage."""
+"""Session settings, and the shared folder for data that outlives a stage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once, so later steps read it instead of redoing it."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for a costly step that several later steps read.
+
+    Unlike cached data it is there after the loss of executors, and readers take the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/written/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -70,7 +70,7 @@ class Engine:
     def _commit(self, wanted: DataFrame) -> int:
         self.recover()
         version = self._log_version() + 1
-        current = self.table.rows().select("id", F.col("image").alias("_old"))
+        current = changes.touching(self.table.rows(), wanted).select("id", F.col("image").alias("_old"))
         joined = wanted.join(current, "id", "left").filter(F.col("_kept") | F.col("_old").isNotNull())
         code = (
             F.when(~F.col("_kept"), scalars.OP_CODES["delete"])
@@ -104,7 +104,7 @@ class Engine:
         rows = effects.withColumn("_text", text).withColumn(
             "text_hash", F.when(F.col("_text").isNotNull(), embedding.text_hash(F.col("_text")))
         )
-        stored = self.vectors().select("id", "text_hash", "emb")
+        stored = changes.touching(self.vectors(), rows, ["id", "text_hash"]).select("id", "text_hash", "emb")
         kept = rows.join(stored, ["id", "text_hash"], "left")
         fresh = kept.filter(F.col("emb").isNull() & F.col("_text").isNotNull())
         fresh = fresh.withColumn("emb", embedding.embed_column(F.col("_text"), self.model))

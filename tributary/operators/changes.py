@@ -137,24 +137,30 @@ def op_counts(decoded: DataFrame) -> DataFrame:
 # ---- fold and apply --------------------------------------------------------------------------------
 
 
+MOVE = "move"
+
+
 def _touched(decoded: DataFrame) -> DataFrame:
-    """``(id, change_id, op, image, moved)``: one row per key a change touches."""
+    """``(id, change_id, op, image)``, one row per key a change touches; an update that moved here is a move."""
     image = F.when(F.col("op") == "delete", F.col("before")).otherwise(F.col("after"))
     moved = F.coalesce((F.col("op") == "update") & (F.col("before_id") != F.col("id")), F.lit(False))
-    own = F.struct("id", "op", image.alias("image"), moved.alias("moved"))
-    left = F.struct(
-        F.col("before_id").alias("id"), F.lit("delete").alias("op"), F.col("before").alias("image"),
-        F.lit(False).alias("moved"),
-    )
+    op = F.when(moved, MOVE).otherwise(F.col("op"))
+    own = F.struct("id", op.alias("op"), image.alias("image"))
+    left = F.struct(F.col("before_id").alias("id"), F.lit("delete").alias("op"), F.col("before").alias("image"))
     both = F.when(moved, F.array(left, own)).otherwise(F.array(own))
-    return decoded.select("change_id", F.explode(both).alias("e")).select(
-        "e.id", "change_id", "e.op", "e.image", "e.moved"
-    )
+    return decoded.select("change_id", F.explode(both).alias("e")).select("e.id", "change_id", "e.op", "e.image")
 
 
 def effects(decoded: DataFrame) -> DataFrame:
     """``(id, change_id, op, image)``; an update that moves a row also removes it under its old key."""
-    return _touched(decoded).drop("moved")
+    op = F.when(F.col("op") == MOVE, "update").otherwise(F.col("op"))
+    return _touched(decoded).withColumn("op", op)
+
+
+def touching(rows: DataFrame, keys: DataFrame, on: str | Sequence[str] = "id") -> DataFrame:
+    """The ``rows`` whose key occurs in ``keys``: a large table is cut to a batch before it is joined with it."""
+    on = [on] if isinstance(on, str) else list(on)
+    return rows.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def fold(changes: DataFrame, key: str = "id", order: str = "change_id") -> DataFrame:
@@ -259,14 +265,14 @@ def violations(decoded: DataFrame, existing: DataFrame | None = None, width: int
     touched = _touched(decoded).drop("image")
     chained = with_previous(touched, "id", "change_id", "op", width=width)
     if existing is not None:
-        known = existing.select("id").distinct().withColumn("_known", F.lit(True))
+        known = touching(existing.select("id"), touched).distinct().withColumn("_known", F.lit(True))
         chained = chained.join(known, "id", "left")
     else:
         chained = chained.withColumn("_known", F.lit(False))
     was_live = F.when(F.col("previous").isNull(), F.coalesce("_known", F.lit(False))).otherwise(
         F.col("previous") != "delete"
     )
-    reason = F.when((F.col("op") == "insert") & was_live, TWICE).when(F.col("moved"), MOVED)
+    reason = F.when((F.col("op") == "insert") & was_live, TWICE).when(F.col("op") == MOVE, MOVED)
     return chained.select("id", "change_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 

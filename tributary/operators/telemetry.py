@@ -22,7 +22,8 @@ UP_SECONDS = 30
 
 
 def _found(pattern: str) -> Column:
-    return F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
+    """What the pattern captures, NULL where the line does not match."""
+    return F.get(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), 0)
 
 
 def _count(condition: Column) -> Column:
@@ -37,11 +38,19 @@ def _last(value: Column) -> Column:
 def node_metrics(lines: DataFrame) -> DataFrame:
     """One row per node: progress, failures, searches and the newest value of each gauge."""
     line = F.col("line")
-    pushed = line.contains("(pushed)")
-    retrieval = _found(RETRIEVAL).cast("double")
-    return lines.groupBy("node").agg(
-        F.coalesce(F.max(F.when(pushed, _found(STORED).cast("bigint"))), F.lit(0)).alias("stored"),
-        F.coalesce(_last(F.when(pushed, _found(RATE).cast("double"))), F.lit(0.0)).alias("rate_per_s"),
+    read = lines.withColumns(
+        {
+            "_pushed": line.contains("(pushed)"),
+            "_stored": _found(STORED).cast("bigint"),
+            "_rate": _found(RATE).cast("double"),
+            "_retrieval": _found(RETRIEVAL).cast("double"),
+            "_pulled": _found(PULLED),
+        }
+    )
+    pushed, retrieval = F.col("_pushed"), F.col("_retrieval")
+    return read.groupBy("node").agg(
+        F.coalesce(F.max(F.when(pushed, F.col("_stored"))), F.lit(0)).alias("stored"),
+        F.coalesce(_last(F.when(pushed, F.col("_rate"))), F.lit(0.0)).alias("rate_per_s"),
         _count(pushed).alias("pushed_batches"),
         _count(line.contains("push failed")).alias("push_failed"),
         _count(line.contains("put failed")).alias("put_failed"),
@@ -49,7 +58,7 @@ def node_metrics(lines: DataFrame) -> DataFrame:
         F.coalesce(_last(F.when(line.startswith("source="), F.trim(line))), F.lit("")).alias("source"),
         _count(retrieval.isNotNull()).alias("searches"),
         _last(retrieval).alias("last_retrieval_ms"),
-        _last(_found(PULLED)).alias("last_pull_changed"),
+        _last(F.col("_pulled")).alias("last_pull_changed"),
     )
 
 

@@ -76,18 +76,14 @@ def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.sort_values(["q", "dist", "id"], kind="stable").groupby("q", sort=False).head(k)
 
 
-def _scorer(queries: np.ndarray, probes: np.ndarray | None, k: int):
-    """A ``mapInArrow`` function over ``(id, vec[, cell])`` that yields each task's best ``(q, id, dist)``."""
+def _scorer(names: list, queries: np.ndarray, probes: np.ndarray | None, k: int, name_type: pa.DataType):
+    """A ``mapInArrow`` function over ``(id, vec[, cell])`` that yields each task's best ``(query_id, id, dist)``."""
     every = np.arange(len(queries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        schema = None
+        best, id_type = None, None
         for batch in batches:
-            if schema is None:
-                schema = pa.schema(
-                    [("q", pa.int32()), ("id", batch.schema.field("id").type), ("dist", pa.float64())]
-                )
+            id_type = batch.schema.field("id").type
             if not batch.num_rows:
                 continue
             ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
@@ -105,8 +101,13 @@ def _scorer(queries: np.ndarray, probes: np.ndarray | None, k: int):
             if found:
                 best = _best(pd.concat(found if best is None else [best, *found]), k)
         if best is not None and len(best):
-            yield pa.RecordBatch.from_pandas(
-                best.astype({"q": "int32"}), schema=schema, preserve_index=False
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([names[q] for q in best["q"]], name_type),
+                    pa.array(best["id"].tolist(), id_type),
+                    pa.array(best["dist"].to_numpy()),
+                ],
+                ["query_id", "id", "dist"],
             )
 
     return score
@@ -141,32 +142,30 @@ def nearest(
 def _score_shipped(
     corpus: DataFrame, taken: pa.Table, id_type: T.DataType, k: int, cells: int | None
 ) -> DataFrame:
-    spark = corpus.sparkSession
-    matrix = _matrix(taken.column("emb"), None)
+    if not taken.num_rows:
+        return corpus.sparkSession.createDataFrame([], _hit_schema(corpus, id_type))
+    names = taken.column("query_id")
     probes = None
     rows = corpus.select("id", F.col("emb").alias("vec"))
     if cells is not None:
         probes = np.zeros((taken.num_rows, cells), dtype=bool)
-        asked = taken.column("probe").to_pylist()
-        for q, mine in enumerate(asked):
+        for q, mine in enumerate(taken.column("probe").to_pylist()):
             probes[q, mine] = True
         # The condition on the partition column keeps files of other cells from being opened.
-        rows = corpus.filter(F.col("cell").isin([int(c) for c in np.nonzero(probes.any(axis=0))[0]])).select(
-            "id", F.col("emb").alias("vec"), "cell"
-        )
-    schema = T.StructType(
+        asked = [int(c) for c in np.nonzero(probes.any(axis=0))[0]]
+        rows = corpus.filter(F.col("cell").isin(asked)).select("id", F.col("emb").alias("vec"), "cell")
+    scorer = _scorer(names.to_pylist(), _matrix(taken.column("emb"), None), probes, k, names.type)
+    return rows.mapInArrow(scorer, _hit_schema(corpus, id_type))
+
+
+def _hit_schema(corpus: DataFrame, id_type: T.DataType) -> T.StructType:
+    return T.StructType(
         [
-            T.StructField("q", T.IntegerType()),
+            T.StructField("query_id", id_type),
             T.StructField("id", corpus.schema["id"].dataType),
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    scored = rows.mapInArrow(_scorer(matrix, probes, k), schema)
-    names = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", id_type)])
-    numbered = spark.createDataFrame(
-        [(q, name) for q, name in enumerate(taken.column("query_id").to_pylist())], names
-    )
-    return scored.join(F.broadcast(numbered), "q").select("query_id", "id", "dist")
 
 
 def _score_blocks(
@@ -196,13 +195,7 @@ def _score_blocks(
     )
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     group = ["cell", "chunk", "block"]
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("id", corpus.schema["id"].dataType),
-            T.StructField("dist", T.DoubleType()),
-        ]
-    )
+    schema = _hit_schema(corpus, queries.schema["query_id"].dataType)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         names = right.column("query_id")

@@ -85,7 +85,8 @@ def search_curve(corpus: DataFrame, queries: DataFrame, sizes: Sequence[int], k:
     """Seconds for all queries over growing corpora; ``sizes`` are counts of rows by id order."""
     curve = []
     for size in sizes:
-        part = corpus.orderBy("id").limit(size)
+        last = corpus.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
+        part = corpus.filter(F.col("id") <= last)
         seconds = timed(lambda part=part: run_to_end(knn.nearest(part, queries, k)), repeats)
         curve.append({"rows": size, "seconds": round(seconds, 3)})
     return curve

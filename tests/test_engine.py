@@ -51,6 +51,12 @@ def test_put_update_delete(spark, folder, engine):
     assert [r.change_type for r in log.collect()] == [1, 1, 0, 0, -1]
 
 
+def test_repeated_ids_in_one_put(spark, engine):
+    rows = [("a", "old", None, 1), ("a", "new", None, 2), ("b", "only", None, 1)]
+    engine.put_many(spark.createDataFrame(rows, "id string, text string, meta string, n int"), order="n")
+    assert [r[:2] for r in tuples(engine.documents())] == [("a", "new"), ("b", "only")]
+
+
 def test_a_put_that_died_after_the_log_is_completed(spark, engine, monkeypatch):
     engine.put("a", "alpha")
     monkeypatch.setattr(engine.table, "apply", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))

@@ -55,8 +55,13 @@ class Engine:
         """Upsert one document; for more than one use :meth:`put_many`."""
         return self.put_many(self.spark.createDataFrame([(id_, text, meta)], "id string, text string, meta string"))
 
-    def put_many(self, docs: DataFrame) -> int:
-        """Upsert ``docs(id, text, meta)``, one row per id, as one version; returns the version."""
+    def put_many(self, docs: DataFrame, order: str | None = None) -> int:
+        """Upsert ``docs(id, text, meta)`` as one version; returns the version.
+
+        Ids must be unique in ``docs``, or ``order`` must name the column whose largest value wins.
+        """
+        if order is not None:
+            docs = changes.fold(docs.select("id", "text", "meta", order), "id", order)
         image = F.to_json(
             F.struct("id", "text", F.coalesce("meta", F.lit("null")).alias("meta"), scalars.now_seconds().alias("ts"))
         )

@@ -9,8 +9,8 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -129,7 +129,7 @@ def search(spark, folder: str) -> dict:
 
 def workload(spark, deadline: float) -> dict:
     """The published measurements at their own size, and capture and drain at 20 times that; in order, while time is left."""
-    folder = tempfile.mkdtemp(prefix="bench-", dir=shared_dir(spark).removeprefix("file:"))
+    folder = f"{shared_dir(spark)}/bench-{uuid.uuid4().hex}"
     number = F.expr("cast(substring_index(substring(patent_id, 4), '-', 1) as bigint)")
     counter = synthetic.counter_patents(spark.range(1, 20 * PATENTS + 1).withColumnRenamed("id", "x"))
     parts = {

@@ -96,14 +96,20 @@ def test_answers(spark, folder, engine):
     assert row.answer == f"{len(row.prompt)} letters"
 
 
-def test_prune_leaves_tables_and_later_drains_intact(spark, folder, engine):
+def test_prune_removes_only_what_every_consumer_has(spark, folder, engine):
     sink = sinks.UpsertSink(tables.MergeTable(spark, f"{folder}/olap"))
+    lake = sinks.LakeSink(spark, f"{folder}/lake")
     engine.put("a", "alpha")
     engine.drain([sink])
-    assert engine.prune() == 1
     engine.put("b", "beta")
+    engine.drain([lake], name="lake")
+    assert engine.drained() == {"lake": 1, "main": 0}
+    assert engine.prune() == 1
     assert engine.drain([sink]).changes == 1
-    assert ids(sink.documents()) == ids(engine.documents()) == ["a", "b"]
+    assert engine.prune(upto=0) == 0 and engine.prune() == 1
+    engine.put("c", "gamma")
+    assert engine.drain([sink]).changes == 1 and engine.drain([lake], name="lake").changes == 1
+    assert ids(sink.documents()) == ids(engine.documents()) == ids(lake.rows()) == ["a", "b", "c"]
 
 
 def test_write_back(spark, folder, engine):

@@ -170,12 +170,26 @@ class Engine:
 
     def drain(self, sinks: Iterable[Sink], name: str = "main") -> draining.DrainStats:
         """Send what is new in the log to ``sinks``; ``name`` identifies this set of sinks."""
-        return draining.drain(self.spark, self.log_path, sinks, f"{self.root}/checkpoints/{name}", table=DOCS)
+        newest = max(tables.committed_versions(self.spark, self.log_path), default=-1)
+        stats = draining.drain(self.spark, self.log_path, sinks, f"{self.root}/checkpoints/{name}", table=DOCS)
+        if newest >= 0:  # all versions up to here have been sent
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.root}/drained/{name}/version={newest}")
+        return stats
+
+    def drained(self) -> dict[str, int]:
+        """The newest log version each set of sinks has received in full; -1 before its first drain ended."""
+        return {
+            name: max(self._versions(f"drained/{name}"), default=-1)
+            for name in tables.subfolders(self.spark, f"{self.root}/checkpoints")
+        }
 
     def prune(self, upto: int | None = None) -> int:
-        """Delete log versions up to ``upto``; without it all the document table has. Returns how many."""
-        limit = self.table.version() if upto is None else min(upto, self.table.version())
-        return tables.drop_versions(self.spark, self.log_path, limit)
+        """Delete log versions that the document table and every set of sinks have; returns how many.
+
+        ``upto`` keeps later versions as well.
+        """
+        had = [self.table.version(), *self.drained().values()] + ([upto] if upto is not None else [])
+        return draining.prune(self.spark, self.log_path, had)
 
     def summary(self) -> DataFrame:
         return grouping.summary_by_source(self.documents())

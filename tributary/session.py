@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     machine-local folder would be lost with its machine, so an absent setting is an error there.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    key = "spark.checkpoint.dir"
+    named = spark.conf.get(key, None) or context.getConf().get(key, None) or context.getCheckpointDir()
     if named:
         return named
     if not context.master.startswith("local"):

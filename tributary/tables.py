@@ -44,6 +44,13 @@ def committed_versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(re.fullmatch(r"version=(\d+)", name).group(1)) for name in names)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(folder) if status.isDirectory())
+
+
 def drop_versions(spark: SparkSession, path: str, upto: int) -> int:
     """Delete committed versions up to and including ``upto``; returns how many."""
     doomed = [v for v in committed_versions(spark, path) if v <= upto]

@@ -148,9 +148,14 @@ class Engine:
 
     def _hits(self, asked: DataFrame, k: int) -> DataFrame:
         # Text and vector are one row, so a vector always has its document and no join is needed to know.
-        stored = embedding.of_model(self.table.rows().select("id", "emb", "model"), self.model_name)
+        # Images are parsed after the join, for the hits only.
+        rows = self.table.rows()
+        stored = embedding.of_model(rows.select("id", "emb", "model"), self.model_name)
         same = stored.select("id", F.when(F.col("model").isNotNull(), F.col("emb")).alias("emb"))
-        return knn.with_documents(knn.nearest(same, asked, k), self.documents(), asked, k)
+        found = knn.fetch(knn.nearest(same, asked, k), rows.select("id", "image"), asked, k)
+        parsed = found.withColumn("doc", records.parsed(F.col("image")))
+        text, meta, _ = changes.document_fields(F.col("doc"))
+        return parsed.select("query_id", "rank", "id", text, meta, F.col("dist").alias("score"))
 
     def search_timed(self, queries: Sequence[str], k: int = 5) -> tuple[list, float, float]:
         """Hits, milliseconds spent on embedding the queries, and on the scan."""

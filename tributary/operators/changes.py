@@ -197,16 +197,19 @@ def upsert_into(
     return merged.unionByName(news.join(known, key, "left_anti"))
 
 
-def document_rows(folded: DataFrame) -> DataFrame:
-    """Live documents of a fold: absent or mistyped fields become ``''`` and 0."""
-    doc = F.col("doc")
-    parsed = live(folded).select(records.parsed(F.col("image")).alias("doc"), "id")
-    return parsed.select(
-        "id",
+def document_fields(doc: Column) -> list[Column]:
+    """Text, meta and time of a parsed document image: absent or mistyped fields become ``''`` and 0."""
+    return [
         F.coalesce(records.text_at(doc, "$.text"), F.lit("")).alias("text"),
         F.coalesce(records.text_at(doc, "$.meta"), F.lit("")).alias("meta"),
         F.coalesce(records.long_at(doc, "$.ts"), F.lit(0)).alias("ts"),
-    )
+    ]
+
+
+def document_rows(folded: DataFrame) -> DataFrame:
+    """The live documents of a fold: ``(id, text, meta, ts)``."""
+    parsed = live(folded).select("id", records.parsed(F.col("image")).alias("doc"))
+    return parsed.select("id", *document_fields(F.col("doc")))
 
 
 def typed_image(images: DataFrame, image: str, texts: Sequence[str], ints: Sequence[str]) -> DataFrame:

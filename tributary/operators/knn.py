@@ -26,7 +26,7 @@ SHIPPED_VALUES = 4_000_000  # and most vector values in them (32 MB of doubles)
 SHIPPED_HITS = 100_000  # most hits sent to the tasks that fetch their texts
 BLOCK_QUERIES = 1024  # queries of one block beyond that bound
 CHUNK_ROWS = 16_384  # corpus rows of one chunk beyond that bound
-CELL_VALUES = 4_000_000  # distances held at once while scoring one batch
+CELL_VALUES = 2_000_000  # distances held at once while scoring one batch
 MANY_CORES = 256  # on a cluster from this size on a query's candidates are thinned in two steps
 
 
@@ -238,28 +238,27 @@ def _rank(local: DataFrame, k: int) -> DataFrame:
 # ---- around a search -------------------------------------------------------------------------------
 
 
-def with_documents(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``hits`` with text and meta, as ``(query_id, rank, id, text, meta, score)``.
+def fetch(hits: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``rows`` joined with ``hits`` on ``id``.
 
     There are at most ``k`` hits per query: when the queries are counted and few, the hits go to the
-    tasks that read the documents, and no document is shuffled.
+    tasks that read the rows, and no row is shuffled.
     """
     few = SHIPPED_HITS // k
     if queries.select("query_id").limit(few + 1).count() <= few:
         hits = F.broadcast(hits)
-    return docs.select("id", "text", "meta").join(hits, "id").select(
-        "query_id", "rank", "id", "text", "meta", F.col("dist").alias("score")
-    )
+    return rows.join(hits, "id")
 
 
 def search_documents(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Nearest documents of each query, where vectors and documents are separate tables.
+    """``(query_id, rank, id, text, meta, score)``: nearest documents, where vectors and documents are apart.
 
     A vector without a document never surfaces: vectors are cut to existing documents first, and
     texts are fetched for the few hits only.
     """
     present = vectors.join(docs.select("id"), "id", "left_semi")
-    return with_documents(nearest(present, queries, k), docs, queries, k)
+    found = fetch(nearest(present, queries, k), docs.select("id", "text", "meta"), queries, k)
+    return found.select("query_id", "rank", "id", "text", "meta", F.col("dist").alias("score"))
 
 
 def integrity(vectors: DataFrame, docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tributary.functions import scalars
 from tributary.session import written_once
 
 ACCURACY = 10_000
-SMALL_BRACKETS = 1_000_000  # rows of bracket table up to which it is sent to every task
+SMALL_BRACKETS = 100_000  # rows of bracket table up to which it is sent to every task
 
 
 def _brackets(rows: DataFrame, shares: Sequence[float], accuracy: int) -> DataFrame:

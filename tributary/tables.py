@@ -24,7 +24,7 @@ from tributary.operators import changes
 # What the table stores per key: the last operation, its change id and its row image.
 STATE = schemas.struct("id string, change_id bigint, op string, image string")
 
-SMALL_DELTA = 64 * 1024 * 1024  # bytes of delta files up to which they are sent to every task
+SMALL_DELTA = 16 * 1024 * 1024  # bytes of delta files up to which they are sent to every task
 
 
 def _folder(spark: SparkSession, path: str):

@@ -119,11 +119,18 @@ def capture_overhead(runs: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _seconds(span: Column) -> Column:
+    """Length of a day-to-second interval; unlike a difference of instants it knows no time zone."""
+    whole = sum(F.extract(F.lit(unit), span) * n for unit, n in (("DAY", 86_400), ("HOUR", 3600), ("MINUTE", 60)))
+    micros = (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("bigint")
+    return (whole.cast("bigint") * 1_000_000 + micros) / F.lit(1e6)
+
+
 def docs_per_minute(events: DataFrame, ts: str = "ts", group: Sequence[str] = ()) -> DataFrame:
     """Rows per minute over the window the rows span; 0 for a window without length."""
     spans = events.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
-        (F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / F.lit(1e6)).alias("event_window_s"),
+        _seconds(F.max(ts) - F.min(ts)).alias("event_window_s"),
     )
     return spans.withColumn(
         "docs_per_min",

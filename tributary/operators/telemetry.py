@@ -76,8 +76,8 @@ def line_classes(lines: DataFrame) -> DataFrame:
 
 def node_up(lines: DataFrame, now: Column) -> DataFrame:
     """``(node, up)``: a node is up if its log was touched within the last seconds (column ``touched``)."""
-    age = now.cast("timestamp").cast("double") - F.max("touched").cast("timestamp").cast("double")
-    return lines.groupBy("node").agg((age < UP_SECONDS).alias("up"))
+    recent = (now - F.max("touched")) < F.make_dt_interval(secs=F.lit(UP_SECONDS))
+    return lines.groupBy("node").agg(recent.alias("up"))
 
 
 def fleet_rollup(metrics: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import private_data, quality_ranking, quality_rules
+from tributary.llm import license_scan, private_data, quality_ranking, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = quality_ranking.learning_rows(table(spark, sf_dir, "labels"))
@@ -51,6 +55,7 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_private_data": op9_private_data,
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import license_scan, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, license_scan, private_data, quality_ranking, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    vocabulary = bpe.with_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(docs, vocabulary)
+
+
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = quality_ranking.learning_rows(table(spark, sf_dir, "labels"))
@@ -56,6 +63,7 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
+    "op6_bpe": op6_bpe,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_private_data": op9_private_data,
 }

@@ -20,7 +20,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -266,11 +265,12 @@ def with_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT, text: str
     if not words:
         return plain
     name = f"lexicon-{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark sends the file to every executor
-        file = os.path.join(folder, name)
-        with open(file, "wb") as out:
-            out.write(lexicon.compiled(words))
-        context.addFile(file)
+    folder = os.path.join(SparkFiles.getRootDirectory(), "lexicons")  # of the session; Spark sends files from there
+    os.makedirs(folder, exist_ok=True)
+    file = os.path.join(folder, name)
+    with open(file, "wb") as out:
+        out.write(lexicon.compiled(words))
+    context.addFile(file)
     return Vocabulary(plain.data, name)
 
 

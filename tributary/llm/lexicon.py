@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-_HEAD = struct.Struct("<6I")
+_HEAD = "<6I"
 
 
 class Builder:
@@ -72,7 +72,7 @@ class Builder:
             np.asarray(first, "<u4"), np.asarray(targets, "<u4"), np.asarray(before, "<u4"), ends.astype("<u4"),
             np.concatenate([np.zeros(0, "<u4"), *outputs]), np.asarray(labels, "u1"), np.asarray(flags, "u1"),
         ]
-        head = _HEAD.pack(len(states), len(labels), len(outputs), int(ends[-1]), len(states) - 1, 0)
+        head = struct.pack(_HEAD, len(states), len(labels), len(outputs), int(ends[-1]), len(states) - 1, 0)
         return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -91,8 +91,8 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        states, arcs, words, ids, self._root, _ = _HEAD.unpack_from(self._map)
-        view, at = memoryview(self._map), _HEAD.size
+        states, arcs, words, ids, self._root, _ = struct.unpack_from(_HEAD, self._map)
+        view, at = memoryview(self._map), struct.calcsize(_HEAD)
 
         def take(n: int, kind: str) -> memoryview:
             nonlocal at

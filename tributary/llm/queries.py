@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, license_scan, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, lattice_lm, license_scan, private_data, quality_ranking, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, vocabulary)
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = quality_ranking.learning_rows(table(spark, sf_dir, "labels"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
     "op6_bpe": op6_bpe,
+    "op7_lattice_lm": op7_lattice_lm,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_private_data": op9_private_data,
 }

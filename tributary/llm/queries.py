@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lattice_lm, license_scan, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, lattice_lm, license_scan, near_dup, private_data, quality_ranking, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op7_lattice_lm": op7_lattice_lm,
     "op8_quality_ranking": op8_quality_ranking,
     "op9_private_data": op9_private_data,
+    "op10_near_dup": op10_near_dup,
 }
 
 SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lattice_lm, license_scan, near_dup, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "lines_in", "lines_removed")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     vocabulary = bpe.with_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -71,6 +75,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op6_bpe": op6_bpe,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_quality_ranking": op8_quality_ranking,
@@ -78,4 +83,21 @@ QUERIES: dict[str, Query] = {
     "op10_near_dup": op10_near_dup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH cut AS (
+            SELECT doc_id, text, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
+        ), found AS (
+            SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM cut
+        ), spread AS (
+            SELECT bare, arg_min(doc_id, (doc_id, place)) AS first_id, arg_min(place, (doc_id, place)) AS first_at FROM found
+            WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= {line_dedup.SITES}
+        ), told AS (
+            SELECT doc_id, place, line, first_id IS NOT NULL AND (doc_id, place) <> (first_id, first_at) AS gone
+            FROM found LEFT JOIN spread USING (bare)
+        )
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
+            count(*) AS lines_in, count(*) FILTER (WHERE gone) AS lines_removed FROM told GROUP BY doc_id
+    """,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "lines_in", "lines_removed")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     vocabulary = bpe.with_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_quality_ranking": op8_quality_ranking,

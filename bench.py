@@ -20,7 +20,7 @@ from tributary import tables  # noqa: E402
 from tributary.operators import changes, embedding, grouping, ivf, knn, results, stats  # noqa: E402
 from tributary.plans import catalogue  # noqa: E402
 from tributary.session import local_session, shared_dir  # noqa: E402
-from tributary.sources import star, synthetic  # noqa: E402
+from tributary.sources import star  # noqa: E402
 from tributary.streaming import drain as draining  # noqa: E402
 from tributary.streaming import sinks  # noqa: E402
 
@@ -33,7 +33,7 @@ HEADLINE = """
 q1_top_groups q2_count_by_year q3_top_sections q4_most_referenced q5_join_count summary_by_source json_group_count
 latency_summary event_rate_1min cdc_op_counts cdc_fold cdc_upsert_snapshot cdc_violations cdc_append_vs_merged
 snapshot_diff_full replica_converged outbox_prefix inbox_upsert stream_drain hash_embed_buckets hash_embed_vector
-knn_exact knn_centroids search_with_text rag_prompt prep_patents prep_cpc firehose_docs synth_citations log_metrics
+knn_exact knn_centroids search_with_text rag_prompt prep_patents prep_cpc firehose_docs log_metrics
 fleet_rollup
 """.split()
 
@@ -48,13 +48,49 @@ def headline(spark) -> dict[str, float]:
     }
 
 
+def patent_load(spark, n: int):
+    """``n`` patents computed from a counter, with titles and texts of the test tables."""
+    x = F.col("id")
+    parts = spark.read.parquet(f"{SF_DIR}/part.parquet").select(F.col("p_partkey").alias("k"), "p_name", "p_mfgr")
+    texts = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(F.col("doc_id").alias("d"), F.substring("text", 1, 600).alias("abstract"))
+    size, docs = parts.count(), texts.count()
+    rows = spark.range(n).join(parts, x % size + 1 == F.col("k")).join(texts, x % docs == F.col("d"))
+    return rows.select(
+        F.concat(F.lit("US-"), x + 9_000_000, F.lit("-B2")).alias("patent_id"), F.col("p_name").alias("title"), "abstract",
+        F.concat("p_mfgr", F.lit(" "), x % 160).alias("assignee"), F.concat((2015 + x % 11).cast("string"), F.lit("-01-01")).alias("grant_date"),
+        (2015 + x % 11).cast("int").alias("grant_year"), (x % 30_000).cast("int").alias("claims_len"),
+        (x % 46 + 1).cast("int").alias("n_cpc"), (x % 78).cast("int").alias("n_citations"),
+    )
+
+
+def counter_load(spark, n: int):
+    """The capture workload: short rows computed from a counter."""
+    x = F.col("id")
+    return spark.range(1, n + 1).select(
+        F.concat(F.lit("P"), x).alias("patent_id"), F.concat(F.lit("title "), x).alias("title"),
+        F.concat(F.lit("abstract "), x).alias("abstract"), F.concat(F.lit("assignee "), x % 1000).alias("assignee"),
+        F.lit("2020-01-01").alias("grant_date"), F.lit(2020).alias("grant_year"), (x % 50 + 1).cast("int").alias("claims_len"),
+        (x % 8 + 1).cast("int").alias("n_cpc"), (x % 30).cast("int").alias("n_citations"),
+    )
+
+
 def load_star(spark, folder: str) -> dict:
     """Generate the star, write it, read it back by name."""
     start = time.monotonic()
-    numbers = synthetic.rows(spark, PATENTS)
-    makers = {"patents": synthetic.patents, "patent_cpc": synthetic.patent_cpc, "patent_citations": synthetic.patent_citations}
-    for name, make in makers.items():
-        star.write_table(make(numbers), f"{folder}/{name}.parquet", star.STAR[name])
+    patents = patent_load(spark, PATENTS)
+    codes = patents.select("patent_id", F.explode(F.sequence(F.lit(1), F.col("n_cpc"))).alias("j"))
+    section = F.substring(F.lit("ABCDEFGHY"), F.pmod(F.xxhash64("patent_id"), F.lit(9)).cast("int") + 1, F.lit(1))
+    code = F.concat(section, F.format_string("%02d", F.col("j")), F.lit("B/01"))
+    cited = patents.where("n_citations > 0").select("patent_id", F.explode(F.sequence(F.lit(1), F.col("n_citations"))).alias("j"))
+    made = {
+        "patents": patents,
+        "patent_cpc": codes.select("patent_id", code.alias("cpc"), section.alias("cpc_section")),
+        "patent_citations": cited.select(
+            "patent_id", F.concat(F.lit("US-"), F.pmod(F.xxhash64("patent_id", "j"), F.lit(PATENTS)) + 9_000_000, F.lit("-B2")).alias("cited_id")
+        ),
+    }
+    for name, rows in made.items():
+        star.write_table(rows, f"{folder}/{name}.parquet", star.STAR[name])
     rows = sum(r.c for r in stats.row_counts(star.register_star(spark, folder)).collect())
     seconds = time.monotonic() - start
     return {"rows": rows, "seconds": round(seconds, 3), "rows_per_sec": round(rows / seconds)}
@@ -86,21 +122,26 @@ def patent_log(rows, key):
     )
 
 
+def patent_table(spark, path: str) -> tables.MergeTable:
+    columns = ", ".join([f"{c} string" for c in changes.PATENT_TEXTS] + [f"{c} int" for c in changes.PATENT_INTS])
+    return tables.MergeTable(spark, path, columns, typed=changes.patent_state, buckets=8)
+
+
 def drain(spark, log, folder: str) -> dict:
     """Drain ``log`` into an upserted table and a lake table."""
     draining.append_changes(spark, log, f"{folder}/log", 0)
-    targets = [sinks.UpsertSink(tables.MergeTable(spark, f"{folder}/merged")), sinks.LakeSink(spark, f"{folder}/lake")]
+    targets = [sinks.UpsertSink(patent_table(spark, f"{folder}/merged")), sinks.LakeSink(spark, f"{folder}/lake")]
     done = draining.drain(spark, f"{folder}/log", targets, f"{folder}/checkpoint", table="patents", key="patent_id")
     return {"changes": done.changes, "seconds": round(done.seconds, 3), "changes_per_sec": round(done.changes_per_second)}
 
 
 def replicate(spark, log, folder: str) -> dict:
-    master, replica = tables.MergeTable(spark, f"{folder}/merged"), tables.MergeTable(spark, f"{folder}/replica")
+    master, replica = patent_table(spark, f"{folder}/merged"), patent_table(spark, f"{folder}/replica")
     start = time.monotonic()
     tables.bootstrap(master, replica)
     boot = time.monotonic() - start
     later = log.filter(F.col("change_id") % 10 == 0).withColumn("change_id", F.col("change_id") + 10 * PATENTS)
-    master.apply(changes.effects(changes.decode(later, "patent_id")), 1)
+    master.apply(master.typed(changes.effects(changes.decode(later, "patent_id"))), 1)
     start = time.monotonic()
     tables.pull(master, replica)
     pull = time.monotonic() - start
@@ -116,7 +157,8 @@ def search(spark, folder: str) -> dict:
     vectors = spark.table("patents").select("patent_id", "abstract").withColumnRenamed("patent_id", "id")
     vectors.select("id", embedding.hash_vector(F.col("abstract"), 64).alias("emb")).write.parquet(f"{folder}/vectors")
     corpus = spark.read.parquet(f"{folder}/vectors")
-    sample = knn.sample_queries(corpus)
+    row = F.expr("cast(substring_index(substring(id, 4), '-', 1) as bigint)")
+    sample = corpus.where(row % 2500 == 0).select(F.col("id").alias("query_id"), "emb")
     asked = spark.createDataFrame([tuple(r) for r in sample.collect()], sample.schema)
     curve = results.search_curve(corpus, asked, [1000, 10_000, PATENTS], 10, REPEATS)
     ivf.build(corpus, 64).write(f"{folder}/index")
@@ -131,7 +173,7 @@ def workload(spark, deadline: float) -> dict:
     """The published measurements at their own size, and capture and drain at 20 times that; in order, while time is left."""
     folder = f"{shared_dir(spark)}/bench-{uuid.uuid4().hex}"
     number = F.expr("cast(substring_index(substring(patent_id, 4), '-', 1) as bigint)")
-    counter = synthetic.counter_patents(spark.range(1, 20 * PATENTS + 1).withColumnRenamed("id", "x"))
+    counter = counter_load(spark, 20 * PATENTS)
     parts = {
         "star_generate_and_load": lambda: load_star(spark, folder),
         "queries_ms": lambda: five_queries(spark, folder),

@@ -182,12 +182,3 @@ def test_pruned_log(spark):
     log = change_log(spark, *[(i, I, None, doc("a")) for i in range(5)])
     assert sorted(r.change_id for r in changes.remaining(log, 2).collect()) == [3, 4]
     assert changes.remaining(log, None).count() == 0
-
-
-@pytest.mark.parametrize(
-    "total, first, delta, expected",
-    [(100_000, None, None, (50_000, 5000)), (52_000, None, None, (50_000, 2000)), (20_000, None, None, (18_000, 2000)),
-     (10, 4, 3, (4, 3)), (1, None, None, (1, 0)), (2, None, None, (1, 1))],
-)
-def test_replication_sizes(total, first, delta, expected):
-    assert replication.plan_split(total, first, delta) == expected

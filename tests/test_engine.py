@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def test_demo_corpus_end_to_end(spark, folder, engine):
     stats = engine.drain([upsert])
     assert stats.changes == 6 and upsert.documents().count() == 6
     hits = engine.search(ask(spark, "what replaces kafka and debezium"), 3).orderBy("rank").collect()
-    assert len(hits) == 3 and "d2" in [h.id for h in hits]
+    assert len(hits) == 3 and "tide-2" in [h.id for h in hits]
     assert tuples(engine.summary()) == [("demo", 6, 6)]
     timed, embed_ms, scan_ms = engine.search_timed(["what replaces kafka and debezium"], 3)
     assert [h.id for h in timed] == [h.id for h in hits] and embed_ms >= 0 and scan_ms > 0
@@ -47,7 +49,7 @@ def test_put_update_delete(spark, folder, engine):
     vectors = engine.vectors().collect()
     assert ids(engine.vectors()) == ["a"]
     assert vectors[0].emb == pytest.approx(list(base(["alpha two"])[0]))
-    log = spark.read.parquet(engine.log_path).orderBy("change_id")
+    log = engine.log.read().orderBy("change_id")
     assert [r.change_type for r in log.collect()] == [1, 1, 0, 0, -1]
 
 
@@ -55,6 +57,42 @@ def test_repeated_ids_in_one_put(spark, engine):
     rows = [("a", "old", None, 1), ("a", "new", None, 2), ("b", "only", None, 1)]
     engine.put_many(spark.createDataFrame(rows, "id string, text string, meta string, n int"), order="n")
     assert [r[:2] for r in tuples(engine.documents())] == [("a", "new"), ("b", "only")]
+    with pytest.raises(ValueError, match="'a' stands in the batch 2 times"):
+        engine.put_many(spark.createDataFrame(rows, "id string, text string, meta string, n int"))
+
+
+def test_repeated_ids_in_one_inbox_batch(spark, engine):
+    rows = spark.createDataFrame([("m", "s", str(i), i) for i in range(40)], "id string, src string, payload string, n int")
+    with pytest.raises(ValueError, match="40 times"):
+        engine.ingest_inbox(rows)
+    for parts in (1, 8):
+        engine.ingest_inbox(rows.repartition(parts), order="n")
+        assert [r.payload for r in engine.inbox().collect()] == ["39"]
+
+
+def test_a_put_reads_the_buckets_it_touches(spark, engine):
+    engine.put_many(spark.createDataFrame([(f"k{i}", f"text {i}", None) for i in range(200)], "id string, text string, meta string"))
+    engine.compact(expire=True)
+    engine.put("k7", "new text")
+    assert engine.table.deltas.touched(0, 1) == engine.table.deltas.touched(-1, 1)
+    assert len(engine.table.deltas.touched(0, 1)) == 1
+    docs = {r.id: r.text for r in engine.documents().collect()}
+    assert len(docs) == 200 and docs["k7"] == "new text"
+
+
+def test_a_feed_lands_in_the_log_once(spark, folder, engine):
+    event = {"type": "edit", "wiki": "w", "namespace": 0, "title": "T", "comment": "c"}
+    for n, (id_, title) in enumerate([("e1", "T1"), ("e2", "T2"), ("e1", "T3")]):
+        line = "data: " + json.dumps(event | {"title": title, "meta": {"id": id_}})
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{folder}/landing/{n}")
+    read = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).text(f"{folder}/landing")
+    told = []
+    options = {"push_writes": 2, "publish": lambda: told.append(engine.log.newest())}
+    engine.land(read, lambda df: feeds.edit_documents(df, "w", "0"), "wiki", **options).awaitTermination()
+    assert {r.id: r.text for r in engine.documents().collect()} == {"e1": "T3: c", "e2": "T2: c"} and told == [1]
+    before = engine.log.newest()
+    batch = spark.createDataFrame([("x", "again", None)], "id string, text string, meta string")
+    assert engine.put_many(batch, tag="wiki:1") == 1 and engine.log.newest() == before
 
 
 def test_a_put_that_died_after_the_log_is_completed(spark, engine, monkeypatch):

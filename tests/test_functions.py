@@ -12,11 +12,6 @@ def test_tokens_split_on_everything_but_ascii_letters(spark):
     assert one(spark, None, text.tokens) == []
 
 
-def test_capitalise(spark):
-    assert one(spark, "abc d", text.capitalise) == "Abc d"
-    assert one(spark, "", text.capitalise) == ""
-
-
 FIELDS = [
     ('{"f":"x"}', "x", None),
     ('{"f":5}', None, 5),

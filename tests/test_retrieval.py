@@ -54,7 +54,7 @@ def test_exact_search_equals_brute_force(spark, corpus, queries, k):
 
 
 def test_blocks_equal_brute_force(spark, corpus, queries):
-    found = knn.nearest(frame(spark, corpus), frame(spark, queries, "query_id"), 10, shipped=3, block=5, chunk=50)
+    found = knn.nearest(frame(spark, corpus), frame(spark, queries, "query_id"), 10, block_values=5 * 8)
     assert hits(found) == brute(corpus, queries, 10)
 
 
@@ -76,15 +76,26 @@ def test_unequal_lengths_fail(spark):
         knn.nearest(frame(spark, np.ones((3, 4))), frame(spark, np.ones((1, 5)), "query_id"), 1).collect()
 
 
-@pytest.mark.parametrize("shipped", [4096, 2])
-def test_index_with_all_cells_is_exact(spark, corpus, queries, shipped):
+@pytest.mark.parametrize("block_values", [knn.BLOCK_VALUES, 16])
+def test_index_with_all_cells_is_exact(spark, corpus, queries, block_values):
     index = ivf.build(frame(spark, corpus), 6)
     asked = frame(spark, queries, "query_id")
-    if shipped == 4096:
-        assert hits(index.search(asked, 10, probes=6)) == brute(corpus, queries, 10)
     probing = asked.withColumn("probe", F.array(*[F.lit(c) for c in range(6)]))
-    found = knn.nearest(index.rows, probing, 10, cells=6, shipped=shipped, block=4, chunk=40)
-    assert hits(found) == brute(corpus, queries, 10)
+    found = knn.nearest(index.rows, probing, 10, cells=6, block_values=block_values)
+    assert hits(found) == hits(index.search(asked, 10, probes=6)) == brute(corpus, queries, 10)
+
+
+def test_closest_cells_in_slices(monkeypatch):
+    rows, cells = ivf._unit(RNG.normal(size=(300, 5))), ivf._unit(np.repeat(RNG.normal(size=(20, 5)), 2, axis=0))
+    want = np.argsort(-np.round(rows @ cells.T, 9), axis=1, kind="stable")
+    monkeypatch.setattr(ivf, "SLICE_VALUES", 7 * len(cells))
+    for n in (1, 3, 40):
+        assert (ivf._closest(rows, cells, n) == want[:, :n]).all()
+
+
+def test_vectors_without_a_distance_fail(spark):
+    with pytest.raises(Exception, match="VectorValueError"):
+        knn.nearest(frame(spark, [[1.0, float("nan")]]), frame(spark, [[1.0, 0.0]], "query_id"), 1).collect()
 
 
 def test_index_survives_a_round_trip_and_opens_probed_cells_only(spark, corpus, queries, folder):
@@ -102,12 +113,11 @@ def test_index_survives_a_round_trip_and_opens_probed_cells_only(spark, corpus,
     assert hits(exact) == brute(corpus, queries[:1], 3)
 
 
-def test_sampling_and_self_nearest(spark):
+def test_self_nearest(spark):
     vectors = RNG.normal(size=(2500, 4))
     df = frame(spark, vectors)
-    sample = knn.sample_queries(df)
-    assert sorted(r.query_id for r in sample.collect()) == list(range(0, 2000, 100))
-    assert tuple(knn.self_nearest(df, sample).first()) == (20, 20)
+    sample = df.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    assert tuple(knn.self_nearest(df, sample).first()) == (25, 25)
 
 
 def test_orphans_never_surface(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import lines, tuples
 from tributary import schemas
-from tributary.sources import changelog, feeds, nodelogs, patents, star, synthetic
+from tributary.sources import changelog, feeds, nodelogs, patents, star
 
 
 def raw(**fields):
@@ -101,9 +101,10 @@ def test_sources_by_name(spark, folder):
 def test_tables(spark, folder):
     with pytest.raises(star.MissingTable, match="no table at"):
         star.first_rows(spark, f"{folder}/absent.parquet")
-    numbers = synthetic.rows(spark, 30)
-    for name, make in (("patents", synthetic.patents), ("patent_cpc", synthetic.patent_cpc), ("patent_citations", synthetic.patent_citations)):
-        star.write_table(make(numbers), f"{folder}/{name}.parquet", star.STAR[name], rows_per_file=10)
+    numbers = spark.range(30).withColumn("patent_id", F.concat(F.lit("P"), "id"))
+    for name, schema in star.STAR.items():
+        rows = numbers.select(*[F.col("id").cast(f.dataType).alias(f.name) if f.name != "patent_id" else "patent_id" for f in schema])
+        star.write_table(rows, f"{folder}/{name}.parquet", schema, rows_per_file=10)
     star.register_star(spark, folder)
     assert spark.sql("SELECT count(*) FROM patents").first()[0] == 30
     assert star.first_rows(spark, f"{folder}/patents.parquet", 7).count() == 7
@@ -122,50 +123,10 @@ def test_change_log_scan(spark, folder):
     assert "PushedFilters: [IsNotNull(table_name), IsNotNull(change_id), EqualTo(table_name,docs), GreaterThan(change_id,4)]" in plan
 
 
-def test_synthetic_rows_do_not_depend_on_partitioning(spark):
-    few, many = synthetic.rows(spark, 200).coalesce(1), synthetic.rows(spark, 200).repartition(7)
-    for make in (synthetic.patents, synthetic.patent_cpc, synthetic.patent_citations):
-        assert tuples(make(few)) == tuples(make(many))
-    assert tuples(synthetic.patents(few)) != tuples(synthetic.patents(few, seed=7))
-
-
-def test_synthetic_distributions(spark):
-    n = 5000
-    numbers = synthetic.rows(spark, n)
-    rows = synthetic.patents(numbers).toPandas()
-    assert list(rows.patent_id.sort_values())[:2] == ["US-9000000-B2", "US-9000001-B2"]
-    assert abs(rows.n_cpc.mean() - 23.5) < 1.0 and rows.n_cpc.min() >= 1
-    assert abs(rows.n_citations.mean() - 38.5) < 2.0 and rows.n_citations.min() == 0
-    assert 0.004 < rows.assignee.isna().mean() < 0.018 and rows.assignee.nunique() == 160
-    assert sorted(rows.grant_year.unique()) == list(range(2015, 2026))
-    assert (rows.grant_date.str[:4].astype(int) == rows.grant_year).all()
-    assert rows.grant_date.str.fullmatch(r"\d{4}-\d{2}-\d{2}").all() and rows.claims_len.between(80, 30_000).all()
-    words = rows.title.str.rstrip(".").str.split(" ").str.len()
-    assert words.min() == 5 and words.max() == 14 and rows.title.str[0].str.isupper().all()
-    sentences = rows.abstract.str.count(r"\.")
-    assert sentences.min() == 3 and sentences.max() == 6
-    codes = synthetic.patent_cpc(numbers).toPandas()
-    assert codes.cpc.str.fullmatch(r"[A-HY]\d{2}[BCDFGHKLMN]\d{1,2}/\d{2}").all()
-    assert not codes.duplicated(["patent_id", "cpc"]).any()
-    assert (codes.groupby("patent_id").cpc_section.nunique() == 1).all()
-    per = codes.groupby("patent_id").size()
-    assert (per <= rows.set_index("patent_id").n_cpc.loc[per.index]).all()
-    cited = synthetic.patent_citations(numbers).toPandas()
-    number = lambda s: s.str.slice(3, -3).astype(int)
-    later = cited[cited.patent_id != "US-9000000-B2"]
-    assert (number(later.cited_id) < number(later.patent_id)).all()
-    assert len(cited) == rows.n_citations.sum()
-
-
-def test_counter_load(spark):
-    row = synthetic.counter_patents(spark.range(1234, 1235).withColumnRenamed("id", "x")).first()
-    assert tuple(row) == ("P1234", "title 1234", "abstract 1234", "assignee 234", "2020-01-01", 2020, 35, 3, 4)
-
-
 def test_log_tail_from_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(500)))
     (tmp_path / "b.log").write_text("only " + "x" * 1000 + "\n")
     (tmp_path / "c.txt").write_text("not a log\n")
-    got = nodelogs.tail(nodelogs.read_logs(spark, str(tmp_path)), 3).orderBy("node", "back").collect()
+    got = nodelogs.tail(nodelogs.read_logs(spark, str(tmp_path)), 3, width=600).orderBy("node", "back").collect()
     assert [(r.node, r.line[:8]) for r in got] == [("a", "line 499"), ("a", "line 498"), ("a", "line 497"), ("b", "only xxx")]
     assert len(got[-1].line) == 600

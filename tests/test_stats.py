@@ -54,12 +54,10 @@ def test_capture_overhead(spark):
     assert tuple(stats.capture_overhead(runs).first()) == (43.7, 2.01, 1.8)
 
 
-def test_recall_and_milestones(spark):
+def test_recall(spark):
     truth = spark.createDataFrame([(q, i) for q in (1, 2) for i in range(10)], "query_id int, id int")
     found = spark.createDataFrame([(1, i) for i in range(10)] + [(2, i) for i in range(5, 15)], "query_id int, id int")
     assert tuple(stats.recall(found, truth, 10).first()) == (2, 0.75)
-    assert stats.milestones(12_000) == [1000, 5000, 10_000, 12_000]
-    assert stats.milestones(5000) == [1000, 5000]
 
 
 def test_footprint_counts_bytes(spark, tmp_path):

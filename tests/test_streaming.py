@@ -1,5 +1,4 @@
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ I, U, D = 1, 0, -1
 
 
 def effects(spark, *rows):
-    return changes.effects(changes.decode(change_log(spark, *rows)))
+    return changes.document_state(changes.effects(changes.decode(change_log(spark, *rows))))
 
 
 def ids(df):
@@ -146,8 +145,8 @@ def test_merge_table_versions(spark, folder):
     assert table.compact() == 1 and table.compact() == 1
     table.apply(effects(spark, (5, U, doc("b"), doc("b", "new"))), 2)
     assert ids(table.rows()) == ["b", "c"] and ids(table.rows(1)) == ["b", "c"] and ids(table.rows(0)) == ["a", "b"]
-    assert ids(table.since(0)) == ["a", "b", "c"] and ids(table.since(1)) == ["b"]
-    assert table.expire() == 2
+    assert ids(table.deltas.read(1, 2)) == ["b"]
+    assert table.expire() == 2 and table.expire() == 0
     assert ids(table.rows()) == ["b", "c"]
 
 
@@ -156,30 +155,53 @@ def test_late_changes_lose_against_rows_and_tombstones(spark, folder):
     table.apply(effects(spark, (10, I, None, doc("a", "new")), (11, D, doc("b"), None)), 0)
     table.compact()
     table.apply(effects(spark, (5, I, None, doc("a", "old")), (6, I, None, doc("b", "old"))), 1)
-    assert [(r.id, json.loads(r.image)["text"]) for r in table.rows().collect()] == [("a", "new")]
+    assert [(r.id, r.text) for r in table.rows().collect()] == [("a", "new")]
     table.compact(forget_below=12)
     assert ids(table.state()) == ["a"]
 
 
+def _half_written(spark, versions, rows, version):
+    """What a write leaves behind that died before its commit."""
+    versions._overwrite(rows, version)
+
+
 def test_an_unfinished_write_is_invisible(spark, folder):
     table = tables.MergeTable(spark, folder)
     table.apply(effects(spark, (1, I, None, doc("a"))), 0)
-    table.apply(effects(spark, (2, I, None, doc("b"))), 1)
-    os.remove(f"{folder}/delta/version=1/_SUCCESS")
+    _half_written(spark, table.deltas, effects(spark, (2, I, None, doc("b"))), 1)
     assert table.version() == 0 and ids(table.rows()) == ["a"]
     assert table.apply(effects(spark, (2, I, None, doc("c"))), 1)
     assert ids(table.rows()) == ["a", "c"]
 
 
-def test_rows_that_no_delta_touches_are_not_shuffled(spark, folder):
+def test_a_drain_reads_committed_versions_only(spark, folder):
+    flow = Flow(spark, folder)
+    flow.log((1, I, None, doc("a")))
+    _half_written(spark, draining.change_versions(spark, f"{folder}/log"), change_log(spark, (2, I, None, doc("b"))), 1)
+    assert flow.drain().changes == 1
+    flow.log((2, I, None, doc("b")))
+    assert flow.drain().changes == 1
+    assert ids(flow.lake.rows()) == ids(flow.upsert.documents()) == ["a", "b"]
+    assert flow.feed.lines().count() == 2
+
+
+def test_only_touched_buckets_are_folded(spark, folder):
     table = tables.MergeTable(spark, folder)
-    table.apply(effects(spark, *[(i, I, None, doc(f"k{i}")) for i in range(50)]), 0)
+    table.apply(effects(spark, *[(i, I, None, doc(f"k{i}")) for i in range(300)]), 0)
     table.compact()
-    compacted = table.rows()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in compacted
-    table.apply(effects(spark, (99, U, doc("k1"), doc("k1", "new"))), 1)
-    state = table.state()
-    assert state.count() == 50
+    table.expire()
+    assert "Exchange" not in table.rows()._jdf.queryExecution().executedPlan().toString()
+    table.apply(effects(spark, (999, U, doc("k1"), doc("k1", "new")), (1000, I, None, doc("z"))), 1)
+    touched = table.deltas.touched(0, 1)
+    assert len(touched) in (1, 2)
+    rows = {r.id: r.text for r in table.rows().collect()}
+    assert len(rows) == 301 and rows["k1"] == "new" and rows["k2"] == "t"
+    asked = spark.createDataFrame([("k1",)], "id string")
+    found = table.touching(asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and plan.count("bucket#") > 0
+    files = {f.split("bucket=")[1].split("/")[0] for f in found.inputFiles() if "bucket=" in f}
+    assert [(r.id, r.text) for r in found.collect()] == [("k1", "new")] and files
 
 
 def test_replicas_follow(spark, folder):
@@ -195,6 +217,9 @@ def test_replicas_follow(spark, folder):
     master.compact()
     master.expire()
     assert tables.pull(master, replica) and ids(replica.rows()) == ["b", "c", "d"]
+    master.apply(effects(spark, (6, D, doc("d"), None)), 4)
+    master.compact(forget_below=100)
+    assert tables.pull(master, replica) and ids(replica.rows()) == ["b", "c"]  # the deletion is forgotten, not lost
     assert changes.same_content(master.rows(), replica.rows()).first()["consistent"]
 
 

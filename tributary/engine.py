@@ -15,15 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary import schemas, tables
-from tributary.functions import records, scalars
+from tributary.functions import scalars
 from tributary.operators import changes, embedding, grouping, knn, prompts, writeback
 from tributary.streaming import drain as draining
 from tributary.streaming.sinks import Sink
 
 DOCS = "docs"
+INBOX_COLUMNS = "ts bigint, src string, payload string"
 VECTOR_COLUMNS = "emb array<float>, model string, text_hash string"
 
 
+def _one_each(rows: DataFrame, columns: Sequence[str], order: str | None) -> DataFrame:
+    """One row per id: the one with the largest ``order``; without an order a repeated id is an error."""
+    if order is not None:
+        return changes.fold(rows.select(*columns, order), "id", order).select(*columns)
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).collect()
+    if twice:
+        raise ValueError(f"id {twice[0]['id']!r} stands in the batch {twice[0]['n']} times; name the column that orders its rows")
+    return rows.select(*columns)
+
+
 class Engine:
     def __init__(
         self,
@@ -38,44 +49,68 @@ class Engine:
         self.model = model or embedding.hash_model(384)
         self.model_name = model_name
         self.generator = generator
-        self.table = tables.MergeTable(spark, f"{self.root}/docs", VECTOR_COLUMNS)
-        self.inbox_table = tables.MergeTable(spark, f"{self.root}/inbox")
+        self.table = tables.MergeTable(spark, f"{self.root}/docs", extra=VECTOR_COLUMNS)
+        self.inbox_table = tables.MergeTable(spark, f"{self.root}/inbox", INBOX_COLUMNS)
+        self.log = draining.change_versions(spark, f"{self.root}/log")
+        self.outbox = tables.Versions(spark, f"{self.root}/outbox", schemas.OUTBOX)
+        self.acks = tables.Versions(spark, f"{self.root}/acks", schemas.ACKS)
+        self.drains = tables.Versions(spark, f"{self.root}/drained", schemas.struct("name string, newest bigint"))
 
     # ---- documents ---------------------------------------------------------------------------------
 
     @property
     def log_path(self) -> str:
-        return f"{self.root}/log"
-
-    def _log_version(self) -> int:
-        """The newest log version ever written; pruned versions still count through the table."""
-        return max([self.table.version(), *tables.committed_versions(self.spark, self.log_path)])
+        return self.log.path
 
     def put(self, id_: str, text: str, meta: str | None = None) -> int:
         """Upsert one document; for more than one use :meth:`put_many`."""
         return self.put_many(self.spark.createDataFrame([(id_, text, meta)], "id string, text string, meta string"))
 
-    def put_many(self, docs: DataFrame, order: str | None = None) -> int:
+    def put_many(self, docs: DataFrame, order: str | None = None, tag: str | None = None) -> int:
         """Upsert ``docs(id, text, meta)`` as one version; returns the version.
 
-        Ids must be unique in ``docs``, or ``order`` must name the column whose largest value wins.
+        Ids must be unique in ``docs``, or ``order`` must name the column whose largest value wins. A ``tag`` names
+        the batch: putting a batch again whose tag is in the log adds nothing.
         """
-        if order is not None:
-            docs = changes.fold(docs.select("id", "text", "meta", order), "id", order)
+        if tag is not None and (before := self.log.tagged(tag)) is not None:
+            return before
+        docs = _one_each(docs, ["id", "text", "meta"], order)
         image = F.to_json(
             F.struct("id", "text", F.coalesce("meta", F.lit("null")).alias("meta"), scalars.now_seconds().alias("ts"))
         )
-        return self._commit(docs.select("id", F.lit(True).alias("_kept"), image.alias("_new")))
+        return self._commit(docs.select("id", F.lit(True).alias("_kept"), image.alias("_new")), tag)
 
     def delete(self, ids: DataFrame) -> int:
         """Delete the documents named in ``ids(id)``."""
         gone = F.lit(None).cast("string")
-        return self._commit(ids.select("id", F.lit(False).alias("_kept"), gone.alias("_new")))
+        return self._commit(ids.select("id", F.lit(False).alias("_kept"), gone.alias("_new")).distinct())
+
+    def land(
+        self, lines: DataFrame, to_documents: Callable[[DataFrame], DataFrame], name: str,
+        push_every: float | None = None, push_writes: int | None = None, publish: Callable[[], None] | None = None,
+    ):
+        """Stream landed text ``lines`` through ``to_documents`` into the log; returns the streaming query.
+
+        Each micro-batch is one put named after the feed and its number, so a repeated one adds nothing; of several
+        lines with one id the last counts. ``publish`` is called when ``push_writes`` documents or more have come in
+        since the last call (after every batch, if no number is given).
+        """
+        waiting = [0]
+
+        def put(batch: DataFrame, number: int) -> None:
+            version = self.put_many(batch.withColumn("_line", F.monotonically_increasing_id()), "_line", f"{name}:{number}")
+            waiting[0] += self.log.read_only([version]).count()
+            if publish is not None and waiting[0] and waiting[0] >= (push_writes or 1):
+                waiting[0] = 0
+                publish()
+
+        return draining.land_documents(lines, to_documents, put, f"{self.root}/feeds/{name}", push_every)
 
-    def _commit(self, wanted: DataFrame) -> int:
+    def _commit(self, wanted: DataFrame, tag: str | None = None) -> int:
         self.recover()
-        version = self._log_version() + 1
-        current = changes.touching(self.table.rows(), wanted).select("id", F.col("image").alias("_old"))
+        version = max(self.table.version(), self.log.newest()) + 1
+        old = F.to_json(F.struct("id", "text", "meta", "ts"))
+        current = self.table.touching(wanted).select("id", old.alias("_old"))
         joined = wanted.join(current, "id", "left").filter(F.col("_kept") | F.col("_old").isNotNull())
         code = (
             F.when(~F.col("_kept"), scalars.OP_CODES["delete"])
@@ -89,27 +124,33 @@ class Engine:
             F.col("_old").alias("before"),
             F.col("_new").alias("after"),
         )
-        draining.append_changes(self.spark, log, self.log_path, version)
+        self.log.write(log, version, tag)
         self.recover()
         return version
 
     def recover(self) -> None:
         """Apply log versions the document table does not have yet."""
         done = self.table.version()
-        for version in tables.committed_versions(self.spark, self.log_path):
-            if version > done:
-                log = self.spark.read.schema(schemas.CHANGE_LOG).parquet(f"{self.log_path}/version={version}")
-                self.table.apply(self._with_vectors(changes.effects(changes.decode(log))), version)
+        for row in self.log.commits().where(F.col("version") > done).orderBy("version").collect():
+            log = self.log.read_only([row["version"]]).drop("version")
+            effects = changes.document_state(changes.effects(changes.decode(log)))
+            self.table.apply(self._with_vectors(effects), row["version"])
+
+    def compact(self, expire: bool = False) -> int:
+        """Fold what the puts have left into a new base of the document table; with ``expire`` drop what it replaces."""
+        version = self.table.compact()
+        if expire:
+            self.table.expire()
+        return version
 
     def _with_vectors(self, effects: DataFrame) -> DataFrame:
         """Adds vectors: a text that is stored already under this model keeps its vector."""
-        text = F.when(
-            F.col("op") != "delete", F.coalesce(records.text_at(records.parsed(F.col("image")), "$.text"), F.lit(""))
-        )
+        text = F.when(F.col("op") != "delete", F.col("text"))
         rows = effects.withColumn("_text", text).withColumn(
             "text_hash", F.when(F.col("_text").isNotNull(), embedding.text_hash(F.col("_text")))
         )
-        stored = changes.touching(self.vectors(), rows, ["id", "text_hash"]).select("id", "text_hash", "emb")
+        here = self.table.touching(rows).filter(F.col("model") == self.model_name)
+        stored = here.select("id", "text_hash", "emb")
         kept = rows.join(stored, ["id", "text_hash"], "left")
         fresh = kept.filter(F.col("emb").isNull() & F.col("_text").isNotNull())
         fresh = fresh.withColumn("emb", embedding.embed_column(F.col("_text"), self.model))
@@ -119,7 +160,7 @@ class Engine:
         return both.withColumn("model", model).select(*self.table.schema.names)
 
     def documents(self, version: int | None = None) -> DataFrame:
-        return changes.document_rows(self.table.state(version).select("id", "op", "image"))
+        return self.table.rows(version).select("id", "text", "meta", "ts")
 
     def vectors(self) -> DataFrame:
         """Vectors of this engine's model: ``(id, emb, model, text_hash)``."""
@@ -148,14 +189,11 @@ class Engine:
 
     def _hits(self, asked: DataFrame, k: int) -> DataFrame:
         # Text and vector are one row, so a vector always has its document and no join is needed to know.
-        # Images are parsed after the join, for the hits only.
         rows = self.table.rows()
         stored = embedding.of_model(rows.select("id", "emb", "model"), self.model_name)
         same = stored.select("id", F.when(F.col("model").isNotNull(), F.col("emb")).alias("emb"))
-        found = knn.fetch(knn.nearest(same, asked, k), rows.select("id", "image"), asked, k)
-        parsed = found.withColumn("doc", records.parsed(F.col("image")))
-        text, meta, _ = changes.document_fields(F.col("doc"))
-        return parsed.select("query_id", "rank", "id", text, meta, F.col("dist").alias("score"))
+        found = rows.select("id", "text", "meta").join(knn.nearest(same, asked, k), "id")
+        return found.select("query_id", "rank", "id", "text", "meta", F.col("dist").alias("score"))
 
     def search_timed(self, queries: Sequence[str], k: int = 5) -> tuple[list, float, float]:
         """Hits, milliseconds spent on embedding the queries, and on the scan."""
@@ -175,18 +213,20 @@ class Engine:
 
     def drain(self, sinks: Iterable[Sink], name: str = "main") -> draining.DrainStats:
         """Send what is new in the log to ``sinks``; ``name`` identifies this set of sinks."""
-        newest = max(tables.committed_versions(self.spark, self.log_path), default=-1)
+        newest = self.log.newest()
+        if name not in self.drained():
+            self._drained(name, -1)
         stats = draining.drain(self.spark, self.log_path, sinks, f"{self.root}/checkpoints/{name}", table=DOCS)
-        if newest >= 0:  # all versions up to here have been sent
-            self.spark.range(0).write.mode("overwrite").parquet(f"{self.root}/drained/{name}/version={newest}")
+        self._drained(name, newest)  # all versions up to here have been sent
         return stats
 
+    def _drained(self, name: str, newest: int) -> None:
+        row = self.spark.createDataFrame([(name, newest)], self.drains.schema)
+        self.drains.write(row, self.drains.newest() + 1)
+
     def drained(self) -> dict[str, int]:
         """The newest log version each set of sinks has received in full; -1 before its first drain ended."""
-        return {
-            name: max(self._versions(f"drained/{name}"), default=-1)
-            for name in tables.subfolders(self.spark, f"{self.root}/checkpoints")
-        }
+        return {r["name"]: r["v"] for r in self.drains.read().groupBy("name").agg(F.max("newest").alias("v")).collect()}
 
     def prune(self, upto: int | None = None) -> int:
         """Delete log versions that the document table and every set of sinks have; returns how many.
@@ -201,49 +241,35 @@ class Engine:
 
     # ---- write-back --------------------------------------------------------------------------------
 
-    def _versions(self, name: str) -> list[int]:
-        return tables.committed_versions(self.spark, f"{self.root}/{name}")
-
-    def _read(self, name: str, schema) -> DataFrame:
-        folders = [f"{self.root}/{name}/version={v}" for v in self._versions(name)]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
-
-    def _append(self, name: str, rows: DataFrame, schema) -> int:
-        version = max(self._versions(name), default=-1) + 1
-        schemas.conform(rows, schema).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
-        return version
-
     def enqueue(self, payloads: Sequence[str], src: str | None = None) -> None:
         """Queue payloads of one source in the given order."""
         src = src if src is not None else self.root
-        top = self._read("outbox", schemas.OUTBOX).filter(F.col("src") == src).agg(F.max("seq")).first()[0] or 0
+        top = self.outbox.read().filter(F.col("src") == src).agg(F.max("seq")).first()[0] or 0
         rows = [(src, top + n, payload) for n, payload in enumerate(payloads, start=1)]
         queued = self.spark.createDataFrame(rows, "src string, seq bigint, payload string")
-        self._append("outbox", queued.withColumn("ts", scalars.now_seconds()), schemas.OUTBOX)
+        self.outbox.write(queued.withColumn("ts", scalars.now_seconds()), self.outbox.newest() + 1)
 
     def outbox_pending(self) -> DataFrame:
-        return writeback.pending(self._read("outbox", schemas.OUTBOX), self._read("acks", schemas.ACKS))
+        return writeback.pending(self.outbox.read().drop("version"), self.acks.read().drop("version"))
 
     def flush_outbox(self, send: Callable[[dict], bool], page: int = writeback.PAGE) -> int:
         """Deliver what is queued, source by source in order, up to the first failure; returns how many."""
         sent = writeback.deliver(writeback.next_page(self.outbox_pending(), page), send)
-        version = self._append("acks", sent, schemas.ACKS)
-        return self.spark.read.schema(schemas.ACKS).parquet(f"{self.root}/acks/version={version}").count()
+        version = self.acks.newest() + 1
+        self.acks.write(sent, version)
+        return self.acks.read_only([version]).count()
 
-    def ingest_inbox(self, messages: DataFrame) -> int:
-        """Land ``messages(id, src, payload)``; a repeated id replaces the earlier row."""
+    def ingest_inbox(self, messages: DataFrame, order: str | None = None) -> int:
+        """Land ``messages(id, src, payload)``; an id that is there already has its row replaced.
+
+        Ids must be unique in ``messages``, or ``order`` must name the column whose largest value wins.
+        """
         version = self.inbox_table.version() + 1
-        image = F.to_json(F.struct("id", scalars.now_seconds().alias("ts"), "src", "payload"))
-        self.inbox_table.apply(
-            messages.select(
-                "id", F.lit(version).cast("bigint").alias("change_id"), F.lit("insert").alias("op"), image.alias("image")
-            ),
-            version,
+        rows = _one_each(messages, ["id", "src", "payload"], order).withColumns(
+            {"change_id": F.lit(version).cast("bigint"), "op": F.lit("insert"), "ts": scalars.now_seconds()}
         )
+        self.inbox_table.apply(rows, version)
         return version
 
     def inbox(self) -> DataFrame:
-        image = F.from_json("image", "id string, ts bigint, src string, payload string")
-        return self.inbox_table.rows().select(image.alias("r")).select("r.*")
+        return self.inbox_table.rows().select("id", "ts", "src", "payload")

@@ -9,16 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.vectors import let
+
 
 def parsed(text: Column) -> Column:
     """JSON text as a variant, NULL where the text as a whole is not JSON.
 
-    The parser stops after the first value and ignores what follows it. Inside an array and inside an
-    object something has to follow that no text can be for both, so both must parse.
+    The parser stops after the first value and ignores what follows it, so the text is parsed inside an
+    array. That misreads two kinds of texts: several values with commas between, which make an array of
+    more than one item, and texts that close the array themselves. Only texts that hold a ``]`` can do
+    the latter; they are parsed once more, inside an object, which they cannot close as well.
     """
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    sound = F.when(text.contains("]"), in_object.isNotNull()).otherwise(F.lit(True))
+
+    def only(array: Column) -> Column:
+        one = F.try_variant_get(array, "$[1]", "variant").isNull() & sound
+        return F.when(one, F.try_variant_get(array, "$[0]", "variant"))
+
+    return let(in_array, only)
 
 
 def checked(value: Column, text: Column, what: str = "text") -> Column:

@@ -23,7 +23,3 @@ def tokens(text: Column) -> Column:
 def token_bucket(token: Column, dim: int) -> Column:
     """A stable bucket in ``[0, dim)``: the first 32 bits of the token's MD5, modulo ``dim``."""
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
-
-
-def capitalise(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))

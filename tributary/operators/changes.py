@@ -174,27 +174,10 @@ def live(folded: DataFrame) -> DataFrame:
     return folded.filter(F.col("op") != "delete")
 
 
-def upsert_into(
-    state: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_id", small: bool = False
-) -> DataFrame:
-    """Newest row per key of ``state ∪ changes``, tombstones included; ``state`` has each key once.
-
-    The state is read once in full and once more for its keys alone, and is never folded. ``small``
-    says that the size of ``changes`` has been checked and the folded rows may be sent to every
-    task; then the state is not shuffled either.
-    """
+def upsert_into(state: DataFrame, changes: DataFrame, key: str = "id", order: str = "change_id") -> DataFrame:
+    """Newest row per key of ``state ∪ changes``, tombstones included: one fold over both, so one shuffle."""
     columns = state.columns
-    news = fold(changes.select(columns), key, order).select(columns)
-    if small:
-        news = F.broadcast(news)
-    replacing = news.select(key, F.struct(*[c for c in columns if c != key]).alias("_new"))
-    joined = state.join(replacing, key, "left")
-    newer = F.coalesce(F.col(f"_new.{order}") >= F.col(order), F.lit(False))
-    merged = joined.select(
-        key, *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in columns if c != key]
-    )
-    known = state.select(key).join(news.select(key), key, "left_semi")
-    return merged.unionByName(news.join(known, key, "left_anti"))
+    return fold(state.unionByName(changes.select(columns)), key, order).select(columns)
 
 
 def document_fields(doc: Column) -> list[Column]:
@@ -212,6 +195,19 @@ def document_rows(folded: DataFrame) -> DataFrame:
     return parsed.select("id", *document_fields(F.col("doc")))
 
 
+def document_state(effects: DataFrame) -> DataFrame:
+    """Effects with the columns of a document instead of its image; none of a deleted one."""
+    doc = F.when(F.col("op") != "delete", records.parsed(F.col("image")))
+    parsed = effects.select("id", "change_id", "op", doc.alias("doc"))
+    return parsed.select("id", "change_id", "op", *document_fields(F.col("doc")))
+
+
+def patent_state(effects: DataFrame) -> DataFrame:
+    """Effects with the nine patent columns instead of the image."""
+    image = F.when(F.col("op") != "delete", F.col("image"))
+    return typed_image(effects.withColumn("image", image), "image", PATENT_TEXTS, PATENT_INTS)
+
+
 def typed_image(images: DataFrame, image: str, texts: Sequence[str], ints: Sequence[str]) -> DataFrame:
     """Columns read from a JSON image: text fields must be strings, number fields 32-bit integers."""
     doc = F.col("_doc")
@@ -245,18 +241,14 @@ def with_previous(
     rows = df.withColumn("_stretch", F.floor(F.col(order) / width))
     inside = Window.partitionBy(key, "_stretch").orderBy(order)
     across = Window.partitionBy(key).orderBy("_stretch")
-    lagged = rows.withColumns(
-        {
-            "_before": F.lag(value).over(inside),
-            "_first": F.row_number().over(inside) == 1,
-            "_last": F.lead(F.lit(1)).over(inside).isNull(),
-        }
-    )
-    tails = lagged.filter("_last").select(key, "_stretch", F.lag(value).over(across).alias("_carried"))
+    # The last value of each stretch needs no order of the rows, only their maximum.
+    tails = rows.groupBy(key, "_stretch").agg(F.max_by(value, order).alias("_tail"))
+    tails = tails.select(key, "_stretch", F.lag("_tail").over(across).alias("_carried"))
     return (
-        lagged.join(tails, [key, "_stretch"])
+        rows.withColumns({"_before": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
+        .join(tails, [key, "_stretch"])
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")))
-        .drop("_stretch", "_before", "_first", "_last", "_carried")
+        .drop("_stretch", "_before", "_first", "_carried")
     )
 
 

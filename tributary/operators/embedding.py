@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import text as text_functions
+from tributary.functions import vectors
 
 # A model: a batch of texts to a (len(texts), dim) array of floats.
 Model = Callable[[Sequence[str]], np.ndarray]
@@ -79,7 +80,14 @@ def embed_column(text: Column, model: Model) -> Column:
 
 
 def hash_vector(text: Column, dim: int) -> Column:
-    return embed_column(text, hash_model(dim))
+    """The vectors of :func:`hash_model` by built-in functions, so that joins move below them."""
+    buckets = F.transform(text_functions.tokens(text), lambda t: text_functions.token_bucket(t, dim))
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, n: total + n * n).cast("double"))
+        return F.transform(counts, lambda n: F.when(norm > 0, n / norm).otherwise(F.lit(0.0)).cast("float"))
+
+    return vectors.let(vectors.bucket_counts(buckets, dim), scaled)
 
 
 def embed_documents(

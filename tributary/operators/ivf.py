@@ -19,7 +19,7 @@ from tributary.functions import vectors
 from tributary.operators import knn
 
 MAX_CELLS = 65_536
-TRAINING_ROWS_PER_CELL = 256
+SLICE_VALUES = 4_000_000  # scores held at once while cells are assigned
 ROWS_PER_FILE = 500_000
 
 
@@ -28,6 +28,24 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def _closest(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` cells nearest to each row, closest first, ties to the smaller number; in slices of bounded size."""
+    out = np.zeros((len(rows), n), dtype="int32")
+    step = max(1, SLICE_VALUES // len(centroids))
+    for start in range(0, len(rows), step):
+        away = -np.round(rows[start : start + step] @ centroids.T, 9)
+        if n == 1:
+            out[start : start + step, 0] = away.argmin(axis=1)
+            continue
+        kth = np.partition(away, n - 1, axis=1)[:, n - 1 : n]
+        row, cell = np.nonzero(away <= kth)
+        order = np.lexsort((cell, away[row, cell], row))
+        row, cell = row[order], cell[order]
+        begins = np.searchsorted(row, np.arange(len(away)))
+        out[start : start + step] = cell[begins[:, None] + np.arange(n)[None, :]]
+    return out
+
+
 def _nearest_cells(emb: Column, centroids: np.ndarray, n: int) -> Column:
     """The ``n`` cells whose centroids are nearest, closest first."""
 
@@ -35,9 +53,7 @@ def _nearest_cells(emb: Column, centroids: np.ndarray, n: int) -> Column:
     def cells(batch: pd.Series) -> pd.Series:
         if not len(batch):
             return pd.Series([], dtype=object)
-        scores = _unit(np.stack(batch.to_list()).astype("float64")) @ centroids.T
-        order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :n]
-        return pd.Series(list(order.astype("int32")))
+        return pd.Series(list(_closest(_unit(np.stack(batch.to_list()).astype("float64")), centroids, n)))
 
     return cells(emb)
 
@@ -83,23 +99,28 @@ class IvfIndex:
 
 
 def build(corpus: DataFrame, cells: int, seed: int = 42, iterations: int = 10) -> IvfIndex:
-    """Cluster ``corpus(id, emb)`` and give every row its cell.
-
-    Centroids are trained on a sample that is enough for ``cells`` clusters; every row is indexed.
-    """
+    """Cluster ``corpus(id, emb)``, all of it, and give every row its cell."""
     if not 1 <= cells <= MAX_CELLS:
         raise ValueError(f"cells must be 1..{MAX_CELLS}")
-    share = min(1.0, cells * TRAINING_ROWS_PER_CELL / max(1, corpus.count()))
-    training = corpus if share >= 1.0 else corpus.sample(False, share, seed)
     unit = vectors.l2_normalise(F.col("emb")).cast("array<double>")
-    features = training.select(array_to_vector(unit).alias("features")).persist()
+    features = corpus.select(array_to_vector(unit).alias("features")).persist()
     try:
         model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(features)
     finally:
         features.unpersist()
-    centroids = _unit(np.array([np.asarray(c, dtype="float64") for c in model.clusterCenters()]))
-    cell = _nearest_cells(F.col("emb"), centroids, 1)[0]
-    return IvfIndex(corpus.select("id", "emb", cell.alias("cell")), centroids)
+    return around(corpus, np.array([np.asarray(c, dtype="float64") for c in model.clusterCenters()]))
+
+
+def around(corpus: DataFrame, centroids: np.ndarray) -> IvfIndex:
+    """Cells around given centroids, one row each."""
+    unit = _unit(np.asarray(centroids, dtype="float64"))
+    return IvfIndex(corpus.select("id", "emb", _nearest_cells(F.col("emb"), unit, 1)[0].alias("cell")), unit)
+
+
+def stored(index: IvfIndex, path: str) -> IvfIndex:
+    """The index written to ``path`` and read from there: rows are assigned once, searches open probed cells only."""
+    index.write(path)
+    return load(index.rows.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> IvfIndex:

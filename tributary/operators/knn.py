@@ -1,12 +1,12 @@
 """Nearest neighbours by cosine distance, exact or over the probed cells of a partitioned index.
 
-Vectors are scored where they are read: each task multiplies its Arrow batches with the query matrix
-and keeps ``k`` rows per query, so the corpus is never shuffled and no pair outside a task's best is
-emitted. That needs the queries to fit a bound, which is checked. A larger query set is cut into
-blocks instead, the corpus into chunks, and each (chunk, block) is scored the same way.
+Vectors are scored where they are read: each task multiplies its Arrow batches with a block of queries and keeps ``k``
+rows per query, so the corpus is never shuffled and no pair outside a task's best is emitted. The queries are written
+to the shared folder first and counted there; a block holds at most ``BLOCK_VALUES`` numbers, and a larger query set
+takes one scan of the corpus per block. What the tasks found is thinned per query in spread groups, then ranked.
 
 Distances are rounded to 6 places and ties go to the smaller id, so results do not depend on how the
-corpus is partitioned. A zero vector is at distance 1.0 from everything.
+corpus is partitioned. A zero vector is at distance 1.0 from everything; NULL, NaN and infinite values fail the job.
 """
 
 from __future__ import annotations
@@ -14,26 +14,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.session import written_once
+
 PLACES = 6
-SHIPPED_QUERIES = 4096  # most queries sent to every task
-SHIPPED_VALUES = 4_000_000  # and most vector values in them (32 MB of doubles)
-SHIPPED_HITS = 100_000  # most hits sent to the tasks that fetch their texts
-BLOCK_QUERIES = 1024  # queries of one block beyond that bound
-CHUNK_ROWS = 16_384  # corpus rows of one chunk beyond that bound
+BLOCK_VALUES = 4_000_000  # numbers in a block of queries (32 MB of doubles)
 CELL_VALUES = 2_000_000  # distances held at once while scoring one batch
-MANY_CORES = 256  # on a cluster from this size on a query's candidates are thinned in two steps
+SPREAD = 64  # groups in which a query's candidates are thinned
 
 
 class VectorLengthError(ValueError):
     """Vectors of one search differ in length."""
 
 
+class VectorValueError(ValueError):
+    """A vector has a value that no distance can be taken of."""
+
+
 def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int | None) -> np.ndarray:
     """Unit rows of a list array; zero vectors stay zero."""
     if isinstance(vectors, pa.ChunkedArray):
@@ -44,83 +45,67 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int | None) -> np.ndarray:
     if len(lengths) > 1 or (len(lengths) and dim is not None and lengths[0] != dim):
         raise VectorLengthError(f"vector lengths {lengths.tolist()}, expected {dim}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    if not np.isfinite(flat).all():
+        raise VectorValueError("a vector has a value that is NULL, NaN or infinite")
     rows = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, dim or 0))
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _candidates(ids: np.ndarray, unit: np.ndarray, queries: np.ndarray, positions: np.ndarray, k: int) -> pd.DataFrame:
-    """Rows at most as far as the ``k``-th nearest of each query, ties included."""
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows per query by distance and id."""
+    found = found.sort_by([("q", "ascending"), ("dist", "ascending"), ("id", "ascending")])
+    q = found.column("q").to_numpy()
+    begins = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return found.filter(pa.array(place < k))
+
+
+def _candidates(ids: pa.Array, unit: np.ndarray, queries: np.ndarray, positions: np.ndarray, k: int) -> pa.Table:
+    """Rows at most as far as the ``k``-th nearest of each query, cut to ``k`` by distance and id."""
     found = []
     step = max(1, CELL_VALUES // max(1, len(queries)))
     for start in range(0, len(unit), step):
         part = unit[start : start + step]
         distance = np.round(1.0 - part @ queries.T, PLACES) + 0.0
-        if len(part) > k:
-            kth = np.partition(distance, k - 1, axis=0)[k - 1]
-            row, query = np.nonzero(distance <= kth)
-        else:
-            row, query = np.indices(distance.shape).reshape(2, -1)
-        found.append(
-            _best(
-                pd.DataFrame(
-                    {"q": positions[query], "id": ids[start + row], "dist": distance[row, query]}
-                ),
-                k,
-            )
-        )
-    return pd.concat(found) if len(found) > 1 else found[0]
-
-
-def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    return rows.sort_values(["q", "dist", "id"], kind="stable").groupby("q", sort=False).head(k)
-
-
-def _scorer(names: list, queries: np.ndarray, probes: np.ndarray | None, k: int, name_type: pa.DataType):
+        kth = np.partition(distance, k - 1, axis=0)[k - 1] if len(part) > k else distance.max(axis=0)
+        row, query = np.nonzero(distance <= kth)
+        near = {"q": positions[query], "id": ids.take(pa.array(start + row)), "dist": distance[row, query]}
+        found.append(_best(pa.table(near), k))
+    return pa.concat_tables(found)
+
+
+def _scorer(names: pa.Array, queries: np.ndarray, probes: np.ndarray | None, k: int):
     """A ``mapInArrow`` function over ``(id, vec[, cell])`` that yields each task's best ``(query_id, id, dist)``."""
     every = np.arange(len(queries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, id_type = None, None
+        best = None
         for batch in batches:
-            id_type = batch.schema.field("id").type
             if not batch.num_rows:
                 continue
-            ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
-            unit = _matrix(batch.column("vec"), queries.shape[1])
-            found = []
+            ids, unit = batch.column("id"), _matrix(batch.column("vec"), queries.shape[1])
+            found = [] if best is None else [best]
             if probes is None:
                 found.append(_candidates(ids, unit, queries, every, k))
             else:
                 cells = batch.column("cell").to_numpy(zero_copy_only=False)
                 for cell in np.unique(cells):
-                    asking = every[probes[:, cell]]
+                    asking, rows = every[probes[:, cell]], np.flatnonzero(cells == cell)
                     if len(asking):
-                        rows = cells == cell
-                        found.append(_candidates(ids[rows], unit[rows], queries[asking], asking, k))
+                        found.append(_candidates(ids.take(pa.array(rows)), unit[rows], queries[asking], asking, k))
             if found:
-                best = _best(pd.concat(found if best is None else [best, *found]), k)
-        if best is not None and len(best):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[q] for q in best["q"]], name_type),
-                    pa.array(best["id"].tolist(), id_type),
-                    pa.array(best["dist"].to_numpy()),
-                ],
-                ["query_id", "id", "dist"],
-            )
+                best = _best(pa.concat_tables(found), k)
+        if best is not None:
+            best = best.combine_chunks()
+            columns = [names.take(best.column("q").combine_chunks()), best.column("id").combine_chunks(), best.column("dist").combine_chunks()]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "dist"])
 
     return score
 
 
 def nearest(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    cells: int | None = None,
-    shipped: int = SHIPPED_QUERIES,
-    block: int = BLOCK_QUERIES,
-    chunk: int = CHUNK_ROWS,
+    corpus: DataFrame, queries: DataFrame, k: int, cells: int | None = None, block_values: int = BLOCK_VALUES
 ) -> DataFrame:
     """The ``k`` nearest rows of ``corpus(id, emb[, cell])`` for each row of ``queries(query_id, emb[, probe])``.
 
@@ -129,22 +114,27 @@ def nearest(
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    columns = ["query_id", "emb"] + (["probe"] if cells is not None else [])
-    taken = queries.select(columns).limit(shipped + 1).toArrow()
-    values = len(taken.column("emb").combine_chunks().flatten()) if taken.num_rows else 0
-    if taken.num_rows > shipped or values > SHIPPED_VALUES:
-        local = _score_blocks(corpus, queries.select(columns), k, cells, block, chunk)
-    else:
-        local = _score_shipped(corpus, taken, queries.schema["query_id"].dataType, k, cells)
+    asked = written_once(queries.select("query_id", "emb", *(["probe"] if cells is not None else [])))
+    numbers = asked.agg(F.coalesce(F.sum(F.size("emb")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-numbers // block_values))
+    local = None
+    for block in range(blocks):
+        taken = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        found = _score(corpus, taken, queries.schema["query_id"].dataType, k, cells)
+        local = found if local is None else local.unionByName(found)
     return _rank(local, k)
 
 
-def _score_shipped(
-    corpus: DataFrame, taken: pa.Table, id_type: T.DataType, k: int, cells: int | None
-) -> DataFrame:
+def _score(corpus: DataFrame, taken: pa.Table, id_type: T.DataType, k: int, cells: int | None) -> DataFrame:
+    shape = T.StructType(
+        [
+            T.StructField("query_id", id_type),
+            T.StructField("id", corpus.schema["id"].dataType),
+            T.StructField("dist", T.DoubleType()),
+        ]
+    )
     if not taken.num_rows:
-        return corpus.sparkSession.createDataFrame([], _hit_schema(corpus, id_type))
-    names = taken.column("query_id")
+        return corpus.sparkSession.createDataFrame([], shape)
     probes = None
     rows = corpus.select("id", F.col("emb").alias("vec"))
     if cells is not None:
@@ -152,104 +142,29 @@ def _score_shipped(
         for q, mine in enumerate(taken.column("probe").to_pylist()):
             probes[q, mine] = True
         # The condition on the partition column keeps files of other cells from being opened.
-        asked = [int(c) for c in np.nonzero(probes.any(axis=0))[0]]
-        rows = corpus.filter(F.col("cell").isin(asked)).select("id", F.col("emb").alias("vec"), "cell")
-    scorer = _scorer(names.to_pylist(), _matrix(taken.column("emb"), None), probes, k, names.type)
-    return rows.mapInArrow(scorer, _hit_schema(corpus, id_type))
-
-
-def _hit_schema(corpus: DataFrame, id_type: T.DataType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", id_type),
-            T.StructField("id", corpus.schema["id"].dataType),
-            T.StructField("dist", T.DoubleType()),
-        ]
-    )
-
-
-def _score_blocks(
-    corpus: DataFrame, queries: DataFrame, k: int, cells: int | None, block: int, chunk: int
-) -> DataFrame:
-    """The same scores when the queries are too many to ship: bounded groups (cell, chunk, block)."""
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(
-        "query_id", F.col("emb").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        *(["probe"] if cells is not None else []),
-    )
-    if cells is None:
-        chunks = F.lit(max(1, -(-corpus.count() // chunk)))
-        rows = corpus.select("id", F.col("emb").alias("vec"), F.lit(0).alias("cell"), chunks.alias("chunks"))
-        asked = asked.withColumns({"cell": F.lit(0), "chunks": chunks})
-    else:
-        # A cell is cut into as many chunks as its own size asks for; there are at most ``cells`` rows here.
-        cuts = corpus.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-        rows = corpus.select("id", F.col("emb").alias("vec"), "cell").join(F.broadcast(cuts), "cell")
-        asked = asked.withColumn("cell", F.explode("probe")).drop("probe").join(F.broadcast(cuts), "cell")
-    spread = rows.select(
-        "id",
-        "vec",
-        "cell",
-        F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    group = ["cell", "chunk", "block"]
-    schema = _hit_schema(corpus, queries.schema["query_id"].dataType)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = right.column("query_id")
-        out = pa.schema([("query_id", names.type), ("id", left.schema.field("id").type), ("dist", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        matrix = _matrix(right.column("qvec"), None)
-        unit = _matrix(left.column("vec"), matrix.shape[1])
-        ids = np.asarray(left.column("id").to_pylist(), dtype=object)
-        best = _candidates(ids, unit, matrix, np.arange(len(matrix)), k)
-        best = _best(best, k)
-        return pa.table(
-            {
-                "query_id": names.take(pa.array(best["q"].to_numpy())),
-                "id": pa.array(best["id"].tolist(), left.schema.field("id").type),
-                "dist": best["dist"].to_numpy(),
-            },
-            schema=out,
-        )
-
-    return spread.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(score, schema)
+        wanted = [int(c) for c in np.nonzero(probes.any(axis=0))[0]]
+        rows = corpus.filter(F.col("cell").isin(wanted)).select("id", F.col("emb").alias("vec"), "cell")
+    names = taken.column("query_id").combine_chunks()
+    return rows.mapInArrow(_scorer(names, _matrix(taken.column("emb"), None), probes, k), shape)
 
 
 def _rank(local: DataFrame, k: int) -> DataFrame:
-    """Global top-k of task-local top-k rows."""
+    """Global top-k of task-local top-k rows: first in spread groups, as every task may have found k for each query."""
     order = [F.asc("dist"), F.asc("id")]
-    if local.sparkSession.sparkContext.defaultParallelism > MANY_CORES:
-        # Every task contributes k rows per query: thin them in spread groups before one group per query.
-        some = Window.partitionBy("query_id", "_part").orderBy(*order)
-        local = (
-            local.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
-            .withColumn("_rank", F.row_number().over(some))
-            .filter(F.col("_rank") <= k)
-            .drop("_part", "_rank")
-        )
+    some = Window.partitionBy("query_id", "_part").orderBy(*order)
+    thinned = (
+        local.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+        .withColumn("_rank", F.row_number().over(some))
+        .filter(F.col("_rank") <= k)
+        .drop("_part", "_rank")
+    )
     per_query = Window.partitionBy("query_id").orderBy(*order)
-    return local.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
+    return thinned.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
 
 
 # ---- around a search -------------------------------------------------------------------------------
 
 
-def fetch(hits: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``rows`` joined with ``hits`` on ``id``.
-
-    There are at most ``k`` hits per query: when the queries are counted and few, the hits go to the
-    tasks that read the rows, and no row is shuffled.
-    """
-    few = SHIPPED_HITS // k
-    if queries.select("query_id").limit(few + 1).count() <= few:
-        hits = F.broadcast(hits)
-    return rows.join(hits, "id")
-
-
 def search_documents(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``(query_id, rank, id, text, meta, score)``: nearest documents, where vectors and documents are apart.
 
@@ -257,7 +172,7 @@ def search_documents(vectors: DataFrame, docs: DataFrame, queries: DataFrame, k:
     texts are fetched for the few hits only.
     """
     present = vectors.join(docs.select("id"), "id", "left_semi")
-    found = fetch(nearest(present, queries, k), docs.select("id", "text", "meta"), queries, k)
+    found = docs.select("id", "text", "meta").join(nearest(present, queries, k), "id")
     return found.select("query_id", "rank", "id", "text", "meta", F.col("dist").alias("score"))
 
 
@@ -271,22 +186,8 @@ def integrity(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     return bare.withColumn("vectors_without_doc", orphans.scalar()).withColumn("one_to_one", clean)
 
 
-def sample_queries(
-    corpus: DataFrame, step: int = 100, below: int = 2000, most: int = 20
-) -> DataFrame:
-    """The sampling operator for latency curves: rows at positions 0, step, … below ``below`` by id."""
-    head = corpus.orderBy("id").limit(below)
-    numbered = head.withColumn("_position", F.row_number().over(Window.orderBy("id")) - 1)
-    return (
-        numbered.filter(F.col("_position") % step == 0)
-        .orderBy("_position")
-        .limit(most)
-        .select(F.col("id").alias("query_id"), "emb")
-    )
-
-
 def self_nearest(vectors: DataFrame, samples: DataFrame) -> DataFrame:
-    """How many sampled vectors have their nearest neighbour at their own place (distance 0)."""
+    """How many of ``samples(query_id, emb)`` have their nearest neighbour at their own place (distance 0)."""
     first = nearest(vectors, samples, 1)
     at_self = F.sum(F.when(F.abs("dist") < 1e-5, 1).otherwise(0))
     return first.agg(F.count(F.lit(1)).alias("sampled"), at_self.cast("bigint").alias("at_self"))

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from tributary.operators import changes
 
 
-def plan_split(total: int, first: int | None = None, delta: int | None = None) -> tuple[int, int]:
-    """Sizes of the first copy and of the increment; without room for an increment, 90 to 10."""
-    n = min(first if first is not None else 50_000, total)
-    d = min(delta if delta is not None else 5_000, total - n)
-    if d == 0 and total > 1:
-        n = max(1, int(total * 0.9))
-        d = total - n
-    return n, d
-
-
 def snapshot(effects: DataFrame, upto: int) -> DataFrame:
     """State after all changes with ``change_id <= upto``, tombstones included."""
     return changes.fold(effects.filter(F.col("change_id") <= upto))

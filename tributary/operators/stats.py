@@ -11,7 +11,6 @@ from tributary.functions import scalars
 from tributary.session import written_once
 
 ACCURACY = 10_000
-SMALL_BRACKETS = 100_000  # rows of bracket table up to which it is sent to every task
 
 
 def _brackets(rows: DataFrame, shares: Sequence[float], accuracy: int) -> DataFrame:
@@ -49,8 +48,6 @@ def order_statistics(
         F.col("_v").isNotNull()
     )
     wanted = written_once(_brackets(rows, shares, accuracy))
-    if wanted.count() <= SMALL_BRACKETS:
-        wanted = F.broadcast(wanted)
     # Each task turns its rows into one count for all that lies below a bracket and one per distinct
     # value inside it; only those counts are shuffled.
     placed = rows.join(wanted, "_g").filter(F.col("_v") <= F.col("high"))
@@ -175,10 +172,3 @@ def recall(found: DataFrame, truth: DataFrame, k: int, query: str = "query_id",
         .agg((F.coalesce(F.sum("_hit"), F.lit(0)) / F.lit(float(k))).alias("share"))
     )
     return hits.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("share"), 3).alias("recall"))
-
-
-def milestones(largest: int) -> list[int]:
-    """Corpus sizes at which a latency curve is measured."""
-    # The sizes of the published curve.
-    steps = [1000, 5000, 10000, 25000, 50000, 100000, 171317]
-    return sorted({s for s in steps if s <= largest} | {largest})

@@ -1,4 +1,4 @@
-"""Normalising raw records, landing feeds, generating data.
+"""Normalising raw records and landing feeds.
 
 Raw lines are made from the test tables by Spark, one per row, with the flaws a feed has.
 """
@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import records
-from tributary.plans.inputs import table, wide_table
-from tributary.sources import feeds, patents, synthetic
+from tributary.plans.inputs import table
+from tributary.sources import feeds, patents
 
 
 def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", " ").alias("cpc_codes"),
         F.split("text", "\n").alias("cited_patent_ids"),
     )
-    return _lines(wide_table(spark, sf_dir, "documents"), F.to_json(record))
+    return _lines(table(spark, sf_dir, "documents"), F.to_json(record))
 
 
 def _lines(df: DataFrame, line: Column) -> DataFrame:
@@ -83,7 +83,7 @@ def firehose_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "src4", F.concat(F.lit("event: "), event))
         .otherwise(F.concat(F.lit("data: "), event, F.lit("  ")))
     )
-    lines = _lines(wide_table(spark, sf_dir, "documents"), line)
+    lines = _lines(table(spark, sf_dir, "documents"), line)
     found = feeds.edit_documents(lines, wiki="enwiki", namespace="0")
     return found.select(
         "id", "text", F.get_json_object("meta", "$.title").alias("title"), F.get_json_object("meta", "$.url").alias("url")
@@ -99,37 +99,14 @@ def stories_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lang != "de", F.col("text")).alias("text"),
         F.when(lang != "fr", F.concat(F.lit("http://"), "source")).alias("url"),
     )
-    lines = _lines(wide_table(spark, sf_dir, "documents"), line)
+    lines = _lines(table(spark, sf_dir, "documents"), line)
     return feeds.story_documents(lines).select("id", "text", F.get_json_object("meta", "$.url").alias("url"))
 
 
-def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
-
-
-def synth_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated patent per part."""
-    return synthetic.patents(_numbers(spark, sf_dir))
-
-
-def synth_cpc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.patent_cpc(_numbers(spark, sf_dir))
-
-
-def synth_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.patent_citations(_numbers(spark, sf_dir))
-
-
-def counter_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counter workload, one row per order."""
-    return synthetic.counter_patents(table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("x")))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        prep_patents, prep_cpc, prep_citations, firehose_docs, stories_docs, synth_patents, synth_cpc,
-        synth_citations, counter_load,
+        prep_patents, prep_cpc, prep_citations, firehose_docs, stories_docs,
     )
 }
 
@@ -161,10 +138,4 @@ SQL = {
                CASE WHEN lang = 'fr' THEN 'https://news.ycombinator.com/item?id=' || doc_id
                     ELSE 'http://' || source END AS url
         FROM documents WHERE lang <> 'es' AND source <> ''""",
-    "counter_load": """
-        SELECT 'P' || x AS patent_id, 'title ' || x AS title, 'abstract ' || x AS abstract,
-               'assignee ' || (x % 1000) AS assignee, '2020-01-01' AS grant_date, 2020 AS grant_year,
-               CAST(x % 50 + 1 AS INTEGER) AS claims_len, CAST(x % 8 + 1 AS INTEGER) AS n_cpc,
-               CAST(x % 30 AS INTEGER) AS n_citations
-        FROM (SELECT o_orderkey + 1 AS x FROM orders)""",
 }

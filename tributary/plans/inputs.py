@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tributary.functions import records
 from tributary.operators import changes, embedding
@@ -18,20 +17,9 @@ DIM = 64
 DOC_LOG = "docs"
 
 
-_schemas: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; its schema is read from the file once."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = star.read_table(spark, path).schema
-    return star.read_table(spark, path, _schemas[path])
-
-
-def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are parsed or embedded, spread over all cores."""
-    return star.spread(table(spark, sf_dir, name))
+    """A test table."""
+    return star.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def epoch_seconds(ts: str) -> Column:
@@ -59,7 +47,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     code = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     images = {"before": F.when(code != 1, image), "after": F.when(code != -1, image)}
-    return records.computed_once(wide_table(spark, sf_dir, "events"), images).select(
+    return records.computed_once(table(spark, sf_dir, "events"), images).select(
         F.col("event_id").alias("change_id"),
         code.alias("change_type"),
         F.lit(DOC_LOG).alias("table_name"),
@@ -106,7 +94,7 @@ def text_vectors(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_vectors(wide_table(spark, sf_dir, "documents"), "doc_id", "id")
+    return text_vectors(table(spark, sf_dir, "documents"), "doc_id", "id")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

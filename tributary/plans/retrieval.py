@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import vectors
 from tributary.operators import embedding, ivf, knn, prompts, stats
 from tributary.plans import inputs
-from tributary.plans.inputs import CENTROID_SQL, DIM, embed_sql, table, top_sql, wide_table
+from tributary.plans.inputs import CENTROID_SQL, DIM, embed_sql, table, top_sql
+from tributary.session import shared_dir
 
 CELLS = 16
 
 
 def hash_embed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.hash_buckets(wide_table(spark, sf_dir, "documents"), DIM, "doc_id", "text")
+    return embedding.hash_buckets(table(spark, sf_dir, "documents"), DIM, "doc_id", "text")
 
 
 def hash_embed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +27,11 @@ def hash_embed_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored vectors to text and back; the length and the sum of what comes back."""
+    """Stored vectors to text and back; the length of what comes back, and its sum to three places."""
     text = inputs.stored_vectors(spark, sf_dir).select("id", vectors.vector_to_json(F.col("emb"), 5).alias("emb"))
     back = vectors.vector_from_json(F.col("emb"))
-    return text.select("id", "emb", F.size(back).alias("dim"))
+    total = F.aggregate(back, F.lit(0.0).cast("double"), lambda a, x: a + F.round(x.cast("double"), 5))
+    return text.select("id", "emb", F.size(back).alias("dim"), F.round(total, 3).alias("total"))
 
 
 def cosine_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,31 +53,45 @@ def knn_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search on the path for query sets that are too large to ship to every task."""
-    return knn.nearest(
-        inputs.stored_vectors(spark, sf_dir), inputs.label_centroids(spark, sf_dir), 10, shipped=1, block=4, chunk=200
-    )
+    """The same search with the queries in several blocks."""
+    return knn.nearest(inputs.stored_vectors(spark, sf_dir), inputs.label_centroids(spark, sf_dir), 10, block_values=4 * DIM)
+
+
+def _index(spark: SparkSession, index: ivf.IvfIndex) -> ivf.IvfIndex:
+    return ivf.stored(index, f"{shared_dir(spark)}/index/{uuid.uuid4().hex}")
 
 
 def knn_ivf_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index with every cell probed, which must equal the exact search."""
-    index = ivf.build(inputs.stored_vectors(spark, sf_dir), CELLS)
+    index = _index(spark, ivf.build(inputs.stored_vectors(spark, sf_dir), CELLS))
     return index.search(inputs.label_centroids(spark, sf_dir), 10, probes=CELLS)
 
 
+def _query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as queries against all."""
+    asked = inputs.stored_vectors(spark, sf_dir).where(F.col("id") % 100 == 0)
+    return asked.select(F.col("id").alias("query_id"), "emb")
+
+
+def _label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits from the three of the cells around the label means that lie nearest to each query."""
+    means = inputs.label_centroids(spark, sf_dir).orderBy("query_id").limit(ivf.MAX_CELLS).collect()
+    index = _index(spark, ivf.around(inputs.stored_vectors(spark, sf_dir), [r["emb"] for r in means]))
+    return index.search(_query_set(spark, sf_dir), 10, probes=3)
+
+
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = ivf.build(inputs.stored_vectors(spark, sf_dir), CELLS)
-    return index.search(inputs.label_centroids(spark, sf_dir), 10, probes=4)
+    return _label_cells(spark, sf_dir)
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the index against the exact search, with 4 of 16 cells probed."""
-    return stats.recall(knn_ivf(spark, sf_dir), knn_centroids(spark, sf_dir), 10)
+    """Recall of the index against the exact search."""
+    exact = knn.nearest(inputs.stored_vectors(spark, sf_dir), _query_set(spark, sf_dir), 10)
+    return stats.recall(_label_cells(spark, sf_dir), exact, 10)
 
 
 def self_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = inputs.stored_vectors(spark, sf_dir)
-    return knn.self_nearest(stored, knn.sample_queries(stored))
+    return knn.self_nearest(inputs.stored_vectors(spark, sf_dir), _query_set(spark, sf_dir))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +100,15 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.docs(spark, sf_dir).join(labels, "id", "left_semi")
 
 
+def _labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their vectors; documents are cut to the labelled ones before they are embedded."""
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    return inputs.text_vectors(table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi"), "doc_id", "id")
+
+
 def search_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = knn.search_documents(
-        inputs.doc_vectors(spark, sf_dir), _labelled(spark, sf_dir), inputs.query_vectors(spark, sf_dir), 5
+        _labelled_vectors(spark, sf_dir), _labelled(spark, sf_dir), inputs.query_vectors(spark, sf_dir), 5
     )
     return found.select("query_id", "rank", "id", "text", F.get_json_object("meta", "$.source").alias("source"), "score")
 
@@ -97,7 +121,7 @@ def orphan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cited prompt per benchmark text from its three nearest labelled documents."""
     found = knn.search_documents(
-        inputs.doc_vectors(spark, sf_dir), _labelled(spark, sf_dir), inputs.query_vectors(spark, sf_dir), 3
+        _labelled_vectors(spark, sf_dir), _labelled(spark, sf_dir), inputs.query_vectors(spark, sf_dir), 3
     )
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return prompts.cited_prompts(found, asked)
@@ -128,13 +152,15 @@ _ASKED = embed_sql("qv0", "benchmark", "item_id")
 _LABELLED = embed_sql("lv", "(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))", "doc_id")
 _QUERIES = f"{_ASKED}, qv AS (SELECT id AS query_id, emb FROM qv0)"
 _STORED = "sv AS (SELECT vec_id AS id, embedding AS emb FROM embeddings)"
+_ASKED_VECTORS = "s AS (SELECT vec_id AS query_id, embedding AS emb FROM embeddings WHERE vec_id % 100 = 0)"
 _VECTOR_TEXT = "'[' || list_aggregate(list_transform({0}, lambda x: printf('%.{1}f', x::DOUBLE)), 'string_agg', ',') || ']'"
 
 SQL = {
     "hash_embed_buckets": f"WITH {_DOCS} SELECT id AS doc_id, bucket, n FROM dv_b",
     "hash_embed_vector": f"WITH {_DOCS} SELECT id, {_VECTOR_TEXT.format('emb', 6)} AS emb FROM dv",
     "vector_text": f"""
-        SELECT vec_id AS id, {_VECTOR_TEXT.format('embedding', 5)} AS emb, CAST(len(embedding) AS INTEGER) AS dim
+        SELECT vec_id AS id, {_VECTOR_TEXT.format('embedding', 5)} AS emb, CAST(len(embedding) AS INTEGER) AS dim,
+               round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 5))), 3) AS total
         FROM embeddings""",
     "cosine_to_centroid": f"""WITH {CENTROID_SQL}
         SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], emb::DOUBLE[]), 6) AS dist
@@ -143,9 +169,7 @@ SQL = {
     "knn_centroids": f"""WITH {CENTROID_SQL}, {_STORED}, {top_sql('sv', 'cent', 10)}
         SELECT query_id, id, dist, rank FROM top""",
     "self_nearest": f"""
-        WITH {_STORED},
-        p AS (SELECT id AS query_id, emb, row_number() OVER (ORDER BY id) - 1 AS pos FROM sv),
-        s AS (SELECT query_id, emb FROM p WHERE pos % 100 = 0 AND pos < 2000 ORDER BY pos LIMIT 20),
+        WITH {_STORED}, {_ASKED_VECTORS},
         {top_sql('sv', 's', 1)}
         SELECT count(*) AS sampled, count(*) FILTER (abs(dist) < 1e-5) AS at_self FROM top""",
     "search_with_text": f"""WITH {_LABELLED}, {_QUERIES}, {top_sql('lv', 'qv', 5)}
@@ -167,5 +191,23 @@ SQL = {
         SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
         WHERE l.doc_id IS NULL OR l.toxic = 1""",
 }
+_CELLS = f"""{CENTROID_SQL}, {_STORED}, {_ASKED_VECTORS},
+        c AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS cell, emb FROM cent),
+        near AS (
+          SELECT v.id, c.cell, row_number() OVER (
+            PARTITION BY v.id ORDER BY round(list_cosine_similarity(v.emb::DOUBLE[], c.emb::DOUBLE[]), 9) DESC, c.cell) AS nth
+          FROM sv v CROSS JOIN c),
+        homes AS (SELECT id, cell FROM near WHERE nth = 1),
+        found AS (
+          SELECT s.query_id, h.id, round(list_cosine_distance(v.emb::DOUBLE[], s.emb::DOUBLE[]), 6) + 0.0 AS dist
+          FROM s JOIN near n ON n.id = s.query_id AND n.nth <= 3 JOIN homes h ON h.cell = n.cell JOIN sv v ON v.id = h.id),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS INTEGER) AS rank FROM found)"""
+SQL["knn_ivf"] = f"WITH {_CELLS} SELECT query_id, id, dist, rank FROM ranked WHERE rank <= 10"
+SQL["recall_at_k"] = f"""WITH {_CELLS}, {top_sql('sv', 's', 10)},
+        shares AS (
+          SELECT t.query_id, count(r.id) / 10.0 AS share FROM top t
+          LEFT JOIN ranked r ON r.query_id = t.query_id AND r.id = t.id AND r.rank <= 10 GROUP BY t.query_id)
+        SELECT count(*) AS queries, round(avg(share), 3) AS recall FROM shares"""
 SQL["knn_blocks"] = SQL["knn_centroids"]
 SQL["knn_ivf_all_cells"] = SQL["knn_centroids"]

@@ -32,9 +32,6 @@ PATENTS = struct(
 PATENT_CPC = struct("patent_id string not null, cpc string not null, cpc_section string not null")
 PATENT_CITATIONS = struct("patent_id string not null, cited_id string not null")
 
-DOCS = struct("id string, text string, meta string, ts bigint")
-DOC_VECTORS = struct("id string, emb array<float>")
-INBOX = struct("id string, ts bigint, src string, payload string")
 OUTBOX = struct("src string, seq bigint, ts bigint, payload string")
 ACKS = struct("src string, seq bigint")
 
@@ -42,8 +39,6 @@ ACKS = struct("src string, seq bigint")
 CHANGE_LOG = struct(
     "change_id bigint, change_type int, table_name string, before string, after string"
 )
-CHANGE_EVENT = struct("op string, table string, id string, after string, before string")
-HIT = struct("id string, text string, meta string, score double")
 RUN_RESULT = struct("run_id string, name string, metric string, value double, run_ts timestamp")
 
 # What a comparison run of any capture approach reports.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary import schemas
+from tributary import schemas, tables
 
 
 def read_changes(
@@ -23,14 +23,13 @@ def changes_of(log: DataFrame, table: str | None = None, after_id: int | None =
     return log
 
 
-def stream_changes(
-    spark: SparkSession, path: str, table: str | None = None, files_per_batch: int = 1000
-) -> DataFrame:
-    """The same log as a stream of files; ``files_per_batch`` bounds one micro-batch."""
-    log = (
-        spark.readStream.schema(schemas.CHANGE_LOG)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("recursiveFileLookup", "true")
-        .parquet(path)
-    )
-    return changes_of(log, table)
+def stream_versions(spark: SparkSession, path: str, versions_per_batch: int = 1000) -> DataFrame:
+    """Committed versions of the log at ``path`` as a stream; what was written and not committed never shows."""
+    log = tables.Versions(spark, path, schemas.CHANGE_LOG)
+    return spark.readStream.schema(tables.COMMITS).option("maxFilesPerTrigger", versions_per_batch).parquet(log.commit_path)
+
+
+def changes_in(spark: SparkSession, path: str, versions: list[int], table: str | None = None) -> DataFrame:
+    """The changes of some versions of the log."""
+    log = tables.Versions(spark, path, schemas.CHANGE_LOG).read_only(versions)
+    return changes_of(log.drop("version"), table)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-LINE_CAP = 600  # fixed value: characters kept of one line
-
-
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     """``(node, file_ms, position, line)``: lines of every ``*.log`` under ``folder``.
 
@@ -37,10 +34,7 @@ def last_per_node(lines: DataFrame, n: int, rank: str = "back") -> DataFrame:
     return lines.withColumn(rank, F.row_number().over(newest_first)).filter(F.col(rank) <= n)
 
 
-def capped(line: Column) -> Column:
-    return F.substring(line, 1, LINE_CAP)
-
-
-def tail(lines: DataFrame, n: int = 120) -> DataFrame:
-    """The last ``n`` lines of each node, each cut to a fixed width; ``back`` = 1 is the newest."""
-    return last_per_node(lines, n).withColumn("line", capped(F.col("line")))
+def tail(lines: DataFrame, n: int = 120, width: int | None = None) -> DataFrame:
+    """The last ``n`` lines of each node, whole or cut to ``width`` characters; ``back`` = 1 is the newest."""
+    last = last_per_node(lines, n)
+    return last if width is None else last.withColumn("line", F.substring("line", 1, width))

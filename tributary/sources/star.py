@@ -30,16 +30,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         raise
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """``scan`` over at least as many tasks as there are cores, for costly work per row.
-
-    Files with few row groups are read by few tasks. A scan that is wide already, as any large table
-    is, stays as it is. Only for plain scans: counting the tasks of a shuffled plan would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def first_rows(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Up to ``limit`` rows of the table at ``path``; all of them when no limit is given."""
     rows = read_table(spark, path)

@@ -13,7 +13,7 @@ from tributary import schemas
 from tributary.operators import changes
 from tributary.sources import changelog
 from tributary.streaming.sinks import Sink
-from tributary.tables import committed_versions, drop_versions
+from tributary.tables import Versions
 
 
 class NoSink(ValueError):
@@ -35,12 +35,13 @@ class DrainStats:
         return self.changes / self.seconds if self.seconds > 0 else 0.0
 
 
-def append_changes(spark: SparkSession, log: DataFrame, path: str, version: int) -> bool:
+def change_versions(spark: SparkSession, path: str) -> Versions:
+    return Versions(spark, path, schemas.CHANGE_LOG)
+
+
+def append_changes(spark: SparkSession, log: DataFrame, path: str, version: int, tag: str | None = None) -> bool:
     """Add a batch of changes to the log at ``path`` as one version; False if it is there already."""
-    if version in committed_versions(spark, path):
-        return False
-    schemas.conform(log, schemas.CHANGE_LOG).write.mode("overwrite").parquet(f"{path}/version={version}")
-    return True
+    return change_versions(spark, path).write(log, version, tag)
 
 
 def fan_out(log: DataFrame, sinks: Sequence[Sink], version: int, key: str, strict: bool, stats: DrainStats) -> None:
@@ -71,7 +72,7 @@ def drain(
     table: str | None = None,
     key: str = "id",
     strict: bool = False,
-    files_per_batch: int = 1000,
+    versions_per_batch: int = 1000,
 ) -> DrainStats:
     """Drain what the log holds now into all sinks and stop.
 
@@ -84,11 +85,14 @@ def drain(
         raise NoSink("no sink configured; give at least one")
     stats = DrainStats()
     started = time.monotonic()
+
+    def send(commits: DataFrame, batch: int) -> None:
+        versions = [r["version"] for r in commits.collect()]  # at most ``versions_per_batch``
+        fan_out(changelog.changes_in(spark, log_path, versions, table), sinks, batch, key, strict, stats)
+
     query = (
-        changelog.stream_changes(spark, log_path, table, files_per_batch)
-        .writeStream.foreachBatch(
-            lambda batch, version: fan_out(batch, sinks, version, key, strict, stats)
-        )
+        changelog.stream_versions(spark, log_path, versions_per_batch)
+        .writeStream.foreachBatch(send)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -100,7 +104,7 @@ def drain(
 
 def prune(spark: SparkSession, log_path: str, drained: Sequence[int]) -> int:
     """Delete log versions that every consumer has drained; ``drained`` has each one's newest log version."""
-    return drop_versions(spark, log_path, min(drained)) if drained else 0
+    return change_versions(spark, log_path).drop(min(drained)) if drained else 0
 
 
 def land_documents(

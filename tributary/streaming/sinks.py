@@ -12,8 +12,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tributary import schemas
 from tributary.operators import changes
-from tributary.tables import MergeTable, committed_versions
+from tributary.tables import MergeTable, Versions
 
 
 class Sink(Protocol):
@@ -31,10 +32,10 @@ class UpsertSink:
         self.table = table
 
     def apply(self, decoded: DataFrame, version: int) -> None:
-        self.table.apply(changes.effects(decoded), version)
+        self.table.apply(self.table.typed(changes.effects(decoded)), version)
 
     def documents(self) -> DataFrame:
-        return changes.document_rows(self.table.state())
+        return self.table.rows().drop("change_id", "op")
 
 
 class StrictSink(UpsertSink):
@@ -43,29 +44,28 @@ class StrictSink(UpsertSink):
     def apply(self, decoded: DataFrame, version: int) -> None:
         if self.table.version() >= version:
             return
-        refused = changes.violations(decoded, self.table.rows()).filter(F.col("reason") == changes.TWICE)
+        stored = self.table.touching(changes.effects(decoded))
+        refused = changes.violations(decoded, stored).filter(F.col("reason") == changes.TWICE)
         first = refused.orderBy("change_id").limit(5).collect()
         if first:
             raise StrictViolation("; ".join(f"change {r.change_id}: {r.reason} {r.id!r}" for r in first))
         super().apply(decoded, version)
 
 
+LAKE_ROWS = schemas.struct("change_id bigint, op string, id string, image string")
+
+
 class LakeSink:
     """Appends every insert and update image, one folder per version; deletes are not applied."""
 
     def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 5_000_000):
-        self.spark, self.path, self.rows_per_file = spark, path, rows_per_file
+        self.versions = Versions(spark, path, LAKE_ROWS, rows_per_file=rows_per_file)
 
     def apply(self, decoded: DataFrame, version: int) -> None:
-        if version not in committed_versions(self.spark, self.path):
-            changes.lake_rows(decoded).write.mode("overwrite").option(
-                "maxRecordsPerFile", self.rows_per_file
-            ).parquet(f"{self.path}/version={version}")
+        self.versions.write(changes.lake_rows(decoded), version)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("change_id bigint, op string, id string, image string").parquet(
-            *[f"{self.path}/version={v}" for v in committed_versions(self.spark, self.path)]
-        )
+        return self.versions.read().drop("version")
 
 
 class IcebergSink:
@@ -86,18 +86,13 @@ class JsonlSink:
     """A change feed in text: one JSON event per line, one folder per version."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.versions = Versions(spark, path, schemas.struct("value string"), kind="text")
 
     def apply(self, decoded: DataFrame, version: int) -> None:
-        if version not in committed_versions(self.spark, self.path):
-            changes.change_events(decoded).select("value").write.mode("overwrite").text(
-                f"{self.path}/version={version}"
-            )
+        self.versions.write(changes.change_events(decoded), version)
 
     def lines(self) -> DataFrame:
-        return self.spark.read.text(
-            [f"{self.path}/version={v}" for v in committed_versions(self.spark, self.path)]
-        )
+        return self.versions.read().drop("version")
 
 
 class DeliverSink:
@@ -134,13 +129,10 @@ class ShadowSink:
     """Capture by hand: the rows of an insert-only batch, each with its version and operation."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.versions = Versions(spark, path, None)
 
     def apply(self, batch: DataFrame, version: int) -> None:
-        if version not in committed_versions(self.spark, self.path):
-            changes.capture_inserts(batch, version).drop("version").write.mode("overwrite").parquet(
-                f"{self.path}/version={version}"
-            )
+        self.versions.write(changes.capture_inserts(batch, version).drop("version"), version)
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.versions.read()

@@ -1,142 +1,187 @@
-"""A keyed table kept as Parquet: a base image plus one small folded delta per committed version.
+"""Tables as plain Parquet that Spark writes and reads: versions of rows, and a keyed table made of them.
 
-Applying a batch writes only that batch. Reading joins the base with the folded deltas; while these
-are small, by the size of their files, the base is not shuffled. ``compact`` turns base and deltas
-into a new base.
-
-A version is visible once its write has committed (its ``_SUCCESS`` marker exists). Applying a version
-that is already committed does nothing, so a repeated micro-batch changes nothing. Deleted keys stay
-as tombstones with the id of their last change: a change that arrives late and is older than what is
-stored is ignored.
+A version is a folder of rows; it exists once its row stands in the table of commits, which is written last. Writing a
+version that exists does nothing, and writing one again that was never committed replaces its folder, so repeated
+micro-batches are harmless and half-written versions are never read. Dropping a version overwrites it with nothing.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary import schemas
 from tributary.operators import changes
 
-# What the table stores per key: the last operation, its change id and its row image.
-STATE = schemas.struct("id string, change_id bigint, op string, image string")
+COMMITS = schemas.struct("version bigint, tag string")
+STATE = "id string, change_id bigint, op string"
+DOCUMENT = "text string, meta string, ts bigint"
+BUCKETS = 64
 
-SMALL_DELTA = 16 * 1024 * 1024  # bytes of delta files up to which they are sent to every task
 
+def _read(spark: SparkSession, path: str, schema: T.StructType | None, kind: str = "parquet") -> DataFrame | None:
+    """The rows under ``path``; None where nothing has been written."""
+    reader = spark.read.format(kind)
+    try:
+        return (reader.schema(schema) if schema is not None else reader).load(path)
+    except AnalysisException as failure:
+        if failure.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-def _folder(spark: SparkSession, path: str):
-    """The path and the file system that holds it, whichever it is."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
+class Versions:
+    """Rows written version by version under ``path``, each version in files by ``bucket`` if ``buckets`` is given."""
 
-def committed_versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions under ``path/version=<n>`` whose write has committed, ascending."""
-    folder, files = _folder(spark, path)
-    if not files.exists(folder):
-        return []
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = files.globStatus(marker)
-    names = [status.getPath().getParent().getName() for status in found]
-    return sorted(int(re.fullmatch(r"version=(\d+)", name).group(1)) for name in names)
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType | None, buckets: int = 0, kind: str = "parquet",
+        rows_per_file: int = 0,
+    ):
+        self.spark, self.path, self.schema, self.buckets, self.kind = spark, path.rstrip("/"), schema, buckets, kind
+        self.rows_per_file = rows_per_file
 
+    @property
+    def commit_path(self) -> str:
+        return f"{self.path}/commits"
 
-def subfolders(spark: SparkSession, path: str) -> list[str]:
-    folder, files = _folder(spark, path)
-    if not files.exists(folder):
-        return []
-    return sorted(status.getPath().getName() for status in files.listStatus(folder) if status.isDirectory())
+    def commits(self) -> DataFrame:
+        found = _read(self.spark, self.commit_path, COMMITS)
+        return found if found is not None else self.spark.createDataFrame([], COMMITS)
 
+    def newest(self, upto: int | None = None) -> int:
+        """The newest version, of those up to ``upto`` if given; -1 if there is none."""
+        found = self.commits() if upto is None else self.commits().where(F.col("version") <= upto)
+        return found.agg(F.coalesce(F.max("version"), F.lit(-1)).alias("v")).first()["v"]
 
-def drop_versions(spark: SparkSession, path: str, upto: int) -> int:
-    """Delete committed versions up to and including ``upto``; returns how many."""
-    doomed = [v for v in committed_versions(spark, path) if v <= upto]
-    for version in doomed:
-        folder, files = _folder(spark, f"{path}/version={version}")
-        files.delete(folder, True)
-    return len(doomed)
+    def has(self, version: int) -> bool:
+        return not self.commits().where(F.col("version") == version).isEmpty()
 
+    def tagged(self, tag: str) -> int | None:
+        """The version that was written with ``tag``."""
+        return self.commits().where(F.col("tag") == tag).agg(F.max("version")).first()[0]
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    folder, files = _folder(spark, path)
-    return files.getContentSummary(folder).getLength()
+    def write(self, rows: DataFrame, version: int, tag: str | None = None) -> bool:
+        """Write ``rows`` as ``version``; False if it is there already."""
+        if self.has(version):
+            return False
+        self._overwrite(rows, version)
+        marked = self.spark.createDataFrame([(version, tag)], COMMITS)
+        marked.coalesce(1).write.mode("append").parquet(self.commit_path)
+        return True
 
+    def _overwrite(self, rows: DataFrame, version: int) -> None:
+        if self.schema is not None:
+            rows = schemas.conform(rows, self.schema)
+        if self.buckets:
+            rows = rows.withColumn("bucket", bucket_of(F.col("id"), self.buckets)).repartition("bucket")
+        writer = rows.write.mode("overwrite").format(self.kind)
+        if self.buckets:
+            writer = writer.partitionBy("bucket")
+        if self.rows_per_file:
+            writer = writer.option("maxRecordsPerFile", self.rows_per_file)
+        writer.save(f"{self.path}/rows/version={version}")
+
+    def _all(self) -> DataFrame | None:
+        more = [T.StructField("version", T.LongType())] + ([T.StructField("bucket", T.IntegerType())] if self.buckets else [])
+        schema = T.StructType(self.schema.fields + more) if self.schema is not None else None
+        return _read(self.spark, f"{self.path}/rows", schema, self.kind)
+
+    def read(self, after: int = -1, upto: int | None = None) -> DataFrame:
+        """The rows of the versions in ``(after, upto]`` with their ``version``; up to the newest by default."""
+        rows = self._all()
+        if rows is None:
+            columns = [*(self.schema.fields if self.schema is not None else []), T.StructField("version", T.LongType())]
+            if self.buckets:
+                columns.append(T.StructField("bucket", T.IntegerType()))
+            return self.spark.createDataFrame([], T.StructType(columns))
+        newest = self.newest(upto)
+        return rows.where((F.col("version") > after) & (F.col("version") <= newest))
+
+    def read_only(self, versions: list[int]) -> DataFrame:
+        """The rows of some versions."""
+        return self.read().where(F.col("version").isin(versions))
+
+    def touched(self, after: int, upto: int) -> list[int]:
+        """The buckets that versions in ``(after, upto]`` have rows in, from the names of their files."""
+        rows = self._all()
+        names = rows.inputFiles() if rows is not None else []
+        found = (re.search(r"/version=(\d+)/bucket=(\d+)/", name) for name in names)
+        return sorted({int(m[2]) for m in found if m and after < int(m[1]) <= upto})
+
+    def drop(self, upto: int) -> int:
+        """Leave nothing of versions up to ``upto``; returns how many had rows. They stay committed."""
+        if upto < 0:
+            return 0
+        doomed = [r["version"] for r in self.read(upto=upto).select("version").distinct().collect()]
+        for version in doomed:
+            self._overwrite(self.spark.createDataFrame([], self.schema), version)
+        return len(doomed)
 
-class MergeTable:
-    """Rows by key with the change that last set them. Keys are text in column ``id``.
 
-    ``extra`` names further columns stored with each row, such as a vector: they commit together with
-    the row, and readers that do not select them do not read them.
-    """
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str, extra: str | None = None):
-        self.spark = spark
-        self.path = path.rstrip("/")
-        more = schemas.struct(extra).fields if extra else []
-        self.schema = T.StructType(STATE.fields + more)
 
-    @property
-    def _bases(self) -> str:
-        return f"{self.path}/base"
+class MergeTable:
+    """Rows by key with the change that last set them, in typed columns. Keys are text in column ``id``.
 
-    @property
-    def _deltas(self) -> str:
-        return f"{self.path}/delta"
+    Applying a batch writes its folded rows only, into files by a hash of the key. A read takes the newest base and
+    the deltas since; only buckets that a delta touches are folded, the others are read as they are. ``compact``
+    makes a new base. Deleted keys stay as tombstones with the id of their last change, so that a change that
+    arrives late and is older than what is stored is ignored.
+
+    ``typed`` turns effects ``(id, change_id, op, image)`` into the table's columns. ``extra`` names further columns
+    stored with each row, such as a vector.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, columns: str = DOCUMENT, extra: str | None = None,
+        typed: Callable[[DataFrame], DataFrame] = changes.document_state, buckets: int = BUCKETS,
+    ):
+        self.spark, self.path, self.typed, self.buckets = spark, path.rstrip("/"), typed, buckets
+        self.schema = schemas.struct(", ".join(filter(None, [STATE, columns, extra])))
+        self.bases = Versions(spark, f"{self.path}/base", self.schema, buckets)
+        self.deltas = Versions(spark, f"{self.path}/delta", self.schema, buckets)
 
     def version(self) -> int:
         """The newest version; -1 for an empty table."""
-        both = committed_versions(self.spark, self._bases) + committed_versions(self.spark, self._deltas)
-        return max(both, default=-1)
-
-    def apply(self, effects: DataFrame, version: int) -> bool:
-        """Commit ``effects(id, change_id, op, image[, extra])`` as ``version``; False if it is there already."""
-        if version in committed_versions(self.spark, self._deltas) or version <= max(
-            committed_versions(self.spark, self._bases), default=-1
-        ):
-            return False
-        folded = changes.fold(effects.select(*self.schema.names)).select(*self.schema.names)
-        folded.write.mode("overwrite").parquet(f"{self._deltas}/version={version}")
-        return True
+        return max(self.bases.newest(), self.deltas.newest())
 
-    def _read(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
+    def apply(self, rows: DataFrame, version: int) -> bool:
+        """Commit ``rows`` (the table's columns, several per key allowed) as ``version``; False if it is there already."""
+        if version <= self.bases.newest():
+            return False
+        return self.deltas.write(changes.fold(rows.select(*self.schema.names)), version)
 
-    def _parts(self, version: int | None) -> tuple[list[int], list[int]]:
+    def state(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Last change per key as of ``version`` (newest by default), tombstones included; of some buckets, if given."""
         newest = self.version() if version is None else version
-        bases = [v for v in committed_versions(self.spark, self._bases) if v <= newest]
-        base = bases[-1:]
-        start = base[0] if base else -1
-        deltas = [v for v in committed_versions(self.spark, self._deltas) if start < v <= newest]
-        return base, deltas
-
-    def state(self, version: int | None = None) -> DataFrame:
-        """Last change per key as of ``version`` (newest by default), tombstones included."""
-        base, deltas = self._parts(version)
-        stored = self._read([f"{self._bases}/version={v}" for v in base])
-        if not deltas:
-            return stored
-        news = self._read([f"{self._deltas}/version={v}" for v in deltas])
-        if not base:
-            return changes.fold(news).select(*self.schema.names)
-        size = sum(stored_bytes(self.spark, f"{self._deltas}/version={v}") for v in deltas)
-        return changes.upsert_into(stored, news, small=size <= SMALL_DELTA)
-
-    def rows(self, version: int | None = None) -> DataFrame:
-        """Live rows as ``(id, change_id, op, image)``."""
-        return changes.live(self.state(version))
-
-    def since(self, after: int, upto: int | None = None) -> DataFrame:
-        """What changed in versions ``(after, upto]``, folded. A base newer than ``after`` is sent whole."""
-        base, deltas = self._parts(upto)
-        if base and base[0] > after:
-            return self.state(upto)
-        wanted = [f"{self._deltas}/version={v}" for v in deltas if v > after]
-        return changes.fold(self._read(wanted)).select(*self.schema.names)
+        start = self.bases.newest(newest)
+        base = self.bases.read_only([start]).drop("version")
+        delta = self.deltas.read(start, newest).drop("version")
+        touched = self.deltas.touched(start, newest)
+        if buckets is not None:
+            base, delta = base.where(F.col("bucket").isin(buckets)), delta.where(F.col("bucket").isin(buckets))
+            touched = sorted(set(touched) & set(buckets))
+        if not touched:
+            return base.select(*self.schema.names)
+        stirred = F.col("bucket").isin(touched)
+        calm = base.where(~stirred).select(*self.schema.names)
+        return calm.unionByName(changes.fold(base.where(stirred).unionByName(delta).drop("bucket")).select(*self.schema.names))
+
+    def rows(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Live rows."""
+        return changes.live(self.state(version, buckets))
+
+    def touching(self, keys: DataFrame) -> DataFrame:
+        """The live rows whose key occurs in ``keys(id)``; only their buckets are read."""
+        asked = keys.select(bucket_of(F.col("id"), self.buckets).alias("b")).distinct().collect()  # at most ``buckets`` rows
+        return changes.touching(self.rows(buckets=sorted(r["b"] for r in asked)), keys)
 
     def compact(self, forget_below: int | None = None) -> int:
         """Write the current state as a new base and return its version.
@@ -145,35 +190,39 @@ class MergeTable:
         change can undercut any more. Older versions stay until :meth:`expire`.
         """
         version = self.version()
-        if version in committed_versions(self.spark, self._bases):
-            return version
         state = self.state()
         if forget_below is not None:
             state = state.filter((F.col("op") != "delete") | (F.col("change_id") >= forget_below))
-        state.write.mode("overwrite").parquet(f"{self._bases}/version={version}")
+        self.bases.write(state, version)
         return version
 
     def expire(self) -> int:
-        """Delete what the newest base replaces; only for versions no reader or replica still needs."""
-        bases = committed_versions(self.spark, self._bases)
-        if not bases:
-            return 0
-        gone = drop_versions(self.spark, self._bases, bases[-1] - 1)
-        return gone + drop_versions(self.spark, self._deltas, bases[-1])
+        """Drop what the newest base replaces; only for versions no reader or replica still needs."""
+        base = self.bases.newest()
+        return self.bases.drop(base - 1) + self.deltas.drop(base)
+
+    def replace(self, state: DataFrame, version: int) -> bool:
+        """Make ``state`` the table as of ``version``; nothing of what was there before stays."""
+        return self.bases.write(state, version)
 
 
 def bootstrap(master: MergeTable, replica: MergeTable) -> int:
     """Copy what the master shows now into an empty replica; returns the copied version."""
     version = master.version()
     if version >= 0 and replica.version() < version:
-        master.state(version).write.mode("overwrite").parquet(f"{replica._bases}/version={version}")
+        replica.replace(master.state(version), version)
     return version
 
 
 def pull(master: MergeTable, replica: MergeTable) -> bool:
-    """Bring ``replica`` up to the master's newest version; whether anything was new."""
+    """Bring ``replica`` up to the master's newest version; whether anything was new.
+
+    Where the master has compacted since, deletions may be forgotten there, so its state replaces the replica's.
+    """
     have, newest = replica.version(), master.version()
     if newest <= have:
         return False
-    delta = master.since(have, newest)
+    if master.bases.newest() > have:
+        return replica.replace(master.state(newest), newest)
+    delta = master.deltas.read(have, newest).select(*master.schema.names)
     return replica.apply(delta, newest) and not delta.isEmpty()

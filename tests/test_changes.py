@@ -79,9 +79,11 @@ def test_fold_equals_sequential_replay(spark, seed):
         (i, {I: "insert", U: "update", D: "delete"}[c], (b if c == D else a)["id"], b and b["id"], a)
         for i, c, b, a in rows
     )
-    folded = changes.fold(changes.effects(decoded))
+    folded = changes.fold(changes.effects(decoded, leave=False))
     got = {r.id: json.loads(r.image) for r in changes.live(folded).collect()}
     assert got == want
+    left = changes.live(changes.fold(changes.effects(decoded)))
+    assert {r.id for r in left.collect()} >= set(want)
     # In two steps, and with the second step applied twice, the result is the same.
     effects = changes.effects(decoded)
     old, delta = replication.snapshot(effects, 200), replication.increment(effects, 200)
@@ -94,13 +96,14 @@ def test_fold_equals_sequential_replay(spark, seed):
     assert not replication.convergence(folded, old).first()["converged"]
 
 
-def brute_violations(rows):
+def brute_violations(rows, leave):
     live, bad = set(), set()
     for i, code, before, after in rows:
         key = (before if code == D else after)["id"]
         if code == U and before["id"] != key:
             bad.add((key, i, "update changes the key"))
-            live.discard(before["id"])
+            if not leave:
+                live.discard(before["id"])
         if code == I and key in live:
             bad.add((key, i, "insert on a live key"))
         if code == D:
@@ -113,8 +116,9 @@ def brute_violations(rows):
 @pytest.mark.parametrize("seed, width", [(1, 7), (2, 64), (3, 1_000_000)])
 def test_violations_equal_brute_force(spark, seed, width):
     rows = random_log(seed)
-    found = changes.violations(changes.decode(change_log(spark, *rows)), width=width)
-    assert set(tuples(found)) == brute_violations(rows)
+    for leave in (True, False):
+        found = changes.violations(changes.decode(change_log(spark, *rows)), width=width, leave=leave)
+        assert set(tuples(found)) == brute_violations(rows, leave)
 
 
 def test_violations_against_existing_rows(spark):

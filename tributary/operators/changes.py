@@ -140,21 +140,26 @@ def op_counts(decoded: DataFrame) -> DataFrame:
 MOVE = "move"
 
 
-def _touched(decoded: DataFrame) -> DataFrame:
+def _touched(decoded: DataFrame, leave: bool) -> DataFrame:
     """``(id, change_id, op, image)``, one row per key a change touches; an update that moved here is a move."""
     image = F.when(F.col("op") == "delete", F.col("before")).otherwise(F.col("after"))
     moved = F.coalesce((F.col("op") == "update") & (F.col("before_id") != F.col("id")), F.lit(False))
     op = F.when(moved, MOVE).otherwise(F.col("op"))
     own = F.struct("id", op.alias("op"), image.alias("image"))
+    if leave:
+        return decoded.select("change_id", own.alias("e")).select("e.id", "change_id", "e.op", "e.image")
     left = F.struct(F.col("before_id").alias("id"), F.lit("delete").alias("op"), F.col("before").alias("image"))
     both = F.when(moved, F.array(left, own)).otherwise(F.array(own))
     return decoded.select("change_id", F.explode(both).alias("e")).select("e.id", "change_id", "e.op", "e.image")
 
 
-def effects(decoded: DataFrame) -> DataFrame:
-    """``(id, change_id, op, image)``; an update that moves a row also removes it under its old key."""
+def effects(decoded: DataFrame, leave: bool = True) -> DataFrame:
+    """``(id, change_id, op, image)``. An update replaces the row under its new key.
+
+    One that moved a row from another key leaves the old row; with ``leave=False`` it removes it.
+    """
     op = F.when(F.col("op") == MOVE, "update").otherwise(F.col("op"))
-    return _touched(decoded).withColumn("op", op)
+    return _touched(decoded, leave).withColumn("op", op)
 
 
 def touching(rows: DataFrame, keys: DataFrame, on: str | Sequence[str] = "id") -> DataFrame:
@@ -252,12 +257,14 @@ def with_previous(
     )
 
 
-def violations(decoded: DataFrame, existing: DataFrame | None = None, width: int = 1_000_000) -> DataFrame:
-    """Changes a strict table refuses: an insert on a live key, and an update that moves a row's key.
+def violations(
+    decoded: DataFrame, existing: DataFrame | None = None, width: int = 1_000_000, leave: bool = True
+) -> DataFrame:
+    """Changes to look at in a strict table: an insert on a live key, which it refuses, and an update that moves a row's key.
 
     ``existing`` holds the keys (column ``id``) that are live before the first change.
     """
-    touched = _touched(decoded).drop("image")
+    touched = _touched(decoded, leave).drop("image")
     chained = with_previous(touched, "id", "change_id", "op", width=width)
     if existing is not None:
         known = touching(existing.select("id"), touched).distinct().withColumn("_known", F.lit(True))

@@ -51,6 +51,19 @@ def cdc_upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.document_rows(changes.fold(inputs.event_effects(spark, sf_dir)))
 
 
+def cdc_moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged table when views worth more than 40 move their row to the next key: the old row is left."""
+    log = inputs.event_log(spark, sf_dir)
+    moved = table(spark, sf_dir, "events").where("event_type = 'view' and value > 40").select(
+        F.col("event_id").alias("change_id"), (F.col("user_id") + 1).cast("string").alias("_to")
+    )
+    image = F.when(F.col("_to").isNull(), F.col("after")).otherwise(
+        F.concat(F.lit('{"id":"'), F.col("_to"), F.lit('",'), F.regexp_replace("after", '^\\{"id":"[^"]*",', ""))
+    )
+    log = log.join(moved, "change_id", "left").withColumn("after", image).drop("_to")
+    return changes.document_rows(changes.fold(changes.effects(changes.decode(log))))
+
+
 def cdc_deleted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = changes.fold(inputs.event_effects(spark, sf_dir).select("id", "change_id", "op"))
     return folded.filter(F.col("op") == "delete").select("id", "change_id")
@@ -187,7 +200,7 @@ def stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cdc_decode, cdc_op_counts, cdc_skipped, cdc_fold, cdc_upsert_snapshot, cdc_deleted_keys, cdc_violations,
+        cdc_decode, cdc_op_counts, cdc_skipped, cdc_fold, cdc_upsert_snapshot, cdc_moved_keys, cdc_deleted_keys, cdc_violations,
         cdc_append_vs_merged, lake_append, capture_shadow, cdc_typed_image, replica_bootstrap, replica_delta, replica_converged, prune_log,
         change_feed_json, outbox_pending, outbox_prefix, inbox_upsert, stream_drain,
     )
@@ -230,6 +243,12 @@ SQL = {
         WHERE reason IS NOT NULL GROUP BY 1""",
     "cdc_fold": f"{LOG_SQL} SELECT id, change_id, op FROM last_all",
     "cdc_upsert_snapshot": f"{LOG_SQL} SELECT id, text, meta, ts FROM last_all WHERE op <> 'delete'",
+    "cdc_moved_keys": f"""{LOG_SQL},
+        placed AS (
+          SELECT change_id, op, text, meta, log.ts AS ts, CASE WHEN text = 'view' AND value > 40 THEN CAST(user_id + 1 AS VARCHAR) ELSE id END AS id
+          FROM log JOIN events ON event_id = change_id),
+        last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_id DESC) AS rn FROM placed)
+        SELECT id, text, meta, ts FROM last WHERE rn = 1 AND op <> 'delete'""",
     "cdc_deleted_keys": f"{LOG_SQL} SELECT id, change_id FROM last_all WHERE op = 'delete'",
     "cdc_violations": f"""{LOG_SQL}
         SELECT id, change_id, 'insert on a live key' AS reason FROM (

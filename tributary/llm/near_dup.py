@@ -3,8 +3,8 @@
 A document is the set of its 5-word shingles. Documents with equal sets are one class from the start. Each class has
 64 minwise tokens; a tree sends it down the paths of the tokens that its nodes choose: a node picks two coordinates by
 a hash of its path, and classes that agree on one go to the same child, so similar classes stay together while nodes
-shrink. Small nodes are compared exhaustively on signatures; in a larger one the classes close to its first member are
-linked to it and leave, and the rest goes on. Independent trees repeat this to the wanted recall: a pair of similarity
+shrink. Small nodes are compared exhaustively on signatures; in a larger one the classes close to a member drawn by hash
+are linked to it and leave, and the rest goes on. Independent trees repeat this to the wanted recall: a pair of similarity
 0.85 stays together in one tree with a chance of about 0.97, and is missed by four of them about once in a million.
 
 The trees only gather candidates into clusters. Within each cluster links are confirmed on the full sets: small
@@ -36,10 +36,10 @@ LEAST = 85  # per cent of the union that a link must share
 TOKENS = 64
 TREES = 4
 DEPTH = 8
-LEAF = 64  # classes compared exhaustively on signatures
+LEAF = 256  # classes compared exhaustively on signatures
 GROUP = 256  # classes compared exhaustively on full sets
 LIKE = 38  # agreeing tokens that make a candidate; 0.85 gives 54 on average with a deviation of 2.9
-CLOSE = 48  # agreeing tokens with a node's first member from which a class leaves the node
+CLOSE = 44  # agreeing tokens with a node's drawn member from which a class leaves the node
 
 _U = np.uint64
 
@@ -121,16 +121,16 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _children(rows: DataFrame, depth: int) -> DataFrame:
-    """``(tree, node, c)`` one level down; ``rows`` have ``(tree, node, c, tokens)``.
+    """``(tree, node, c, bits)`` one level down; ``rows`` have ``(tree, node, c, tokens, bits)``.
 
     Each depth of each tree has eight coordinates of its own, of which a node takes two.
     """
     base = F.pmod((F.lit(depth) + 2 * F.col("tree")) * 8, F.lit(TOKENS))
     first = F.pmod(F.xxhash64("tree", "node"), F.lit(8))
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", "tree", F.lit(1)), F.lit(7)), F.lit(8))
-    sent = rows.select("tree", "node", "c", "tokens", F.explode(F.array(base + first, base + second)).alias("i"))
+    sent = rows.select("tree", "node", "c", "tokens", "bits", F.explode(F.array(base + first, base + second)).alias("i"))
     child = F.xxhash64("tree", "node", "i", F.get("tokens", F.col("i").cast("int")))
-    return sent.select("tree", child.alias("node"), "c")
+    return sent.select("tree", child.alias("node"), "c", "bits")
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,35 +213,38 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``agree``, the agreeing tokens of ``bits`` and ``pivot_bits``; columns ``tree, node, c, pivot, bits, pivot_bits``."""
+    """Adds ``agree``, the agreeing tokens of ``bits`` and ``pivot_bits``, the last column of the input."""
     for batch in batches:
-        agree = _agreeing(_bytes(batch.column(4)), _bytes(batch.column(5)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(agree.astype("i4"))], ["tree", "node", "c", "pivot", "agree"])
+        agree = _agreeing(_bytes(batch.column(5)), _bytes(batch.column(6)))
+        names = ["tree", "node", "c", "n", "pivot", "bits", "agree"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(agree.astype("i4"))], names)
 
 
 def candidate_links(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``(u, v)`` links that gather like classes; ``classes`` has ``(c, tokens, bits)`` and is read several times."""
+    """``(u, v)`` links that gather like classes; ``classes`` has ``(c, tokens, bits)`` and is read several times.
+
+    Each level is one grouping and one join on the node, written once; nodes of one class end there.
+    """
     roots = F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")
-    going = classes.select(roots, F.lit(0).cast("bigint").alias("node"), "c", "tokens")
-    bits = classes.select("c", "bits")
+    going = classes.select(roots, F.lit(0).cast("bigint").alias("node"), "c", "tokens", "bits")
     links = []
     for level in range(depth):
         rows = _children(going, level)
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("pivot")).where("n > 1")
-        rows = written_once(rows.join(sizes, "node").select("tree", "node", "c", "n", "pivot"))
-        small = rows.where(F.col("n") <= leaf).join(bits, "c").select("node", "c", "bits")
+        sizes = rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min_by(F.struct("c", "bits"), F.xxhash64("tree", "c")).alias("first")
+        ).select("node", "n", F.col("first.c").alias("pivot"), F.col("first.bits").alias("pivot_bits"))
+        known = rows.join(sizes.where("n > 1"), "node").select("tree", "node", "c", "n", "pivot", "bits", "pivot_bits")
+        known = written_once(known.mapInArrow(_close, "tree int, node bigint, c bigint, n bigint, pivot bigint, bits binary, agree int"))
+        small = known.where(F.col("n") <= leaf).select("node", "c", "bits")
         links.append(small.repartition("node").sortWithinPartitions("node", "c").mapInArrow(_leaf_links, "u bigint, v bigint"))
-        large = rows.where(F.col("n") > leaf)
-        if large.isEmpty():
-            break
-        first = classes.select(F.col("c").alias("pivot"), F.col("bits").alias("pivot_bits"))
-        pivots = large.select("node", "pivot").distinct().join(first, "pivot").select("node", "pivot_bits")
-        near = large.join(bits, "c").join(pivots, "node").select("tree", "node", "c", "pivot", "bits", "pivot_bits")
-        near = written_once(near.mapInArrow(_close, "tree int, node bigint, c bigint, pivot bigint, agree int"))
         # At the last level what is left of a node stays together.
         together = F.col("agree") >= (LIKE if level < depth - 1 else 0)
-        links.append(near.where(together & (F.col("c") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("c").alias("v")))
-        going = near.where(F.col("agree") < CLOSE).join(classes.select("c", "tokens"), "c").select("tree", "node", "c", "tokens")
+        near = known.where((F.col("n") > leaf) & together & (F.col("c") != F.col("pivot")))
+        links.append(near.select(F.col("pivot").alias("u"), F.col("c").alias("v")))
+        rest = known.where((F.col("n") > leaf) & (F.col("agree") < CLOSE)).select("tree", "node", "c", "bits")
+        if rest.isEmpty():
+            break
+        going = rest.join(classes.select("c", "tokens"), "c")
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)

@@ -51,13 +51,13 @@ def headline(spark) -> dict[str, float]:
 def patent_load(spark, n: int):
     """``n`` patents computed from a counter, with titles and texts of the test tables."""
     x = F.col("id")
-    parts = spark.read.parquet(f"{SF_DIR}/part.parquet").select(F.col("p_partkey").alias("k"), "p_name", "p_mfgr")
+    parts = spark.read.parquet(f"{SF_DIR}/part.parquet").select(F.col("p_partkey").alias("k"), "p_name", "p_brand")
     texts = spark.read.parquet(f"{SF_DIR}/documents.parquet").select(F.col("doc_id").alias("d"), F.substring("text", 1, 600).alias("abstract"))
     size, docs = parts.count(), texts.count()
-    rows = spark.range(n).join(parts, x % size + 1 == F.col("k")).join(texts, x % docs == F.col("d"))
+    rows = spark.range(n).join(parts, x % size == F.col("k")).join(texts, x % docs == F.col("d"))
     return rows.select(
         F.concat(F.lit("US-"), x + 9_000_000, F.lit("-B2")).alias("patent_id"), F.col("p_name").alias("title"), "abstract",
-        F.concat("p_mfgr", F.lit(" "), x % 160).alias("assignee"), F.concat((2015 + x % 11).cast("string"), F.lit("-01-01")).alias("grant_date"),
+        F.concat("p_brand", F.lit(" "), x % 160).alias("assignee"), F.concat((2015 + x % 11).cast("string"), F.lit("-01-01")).alias("grant_date"),
         (2015 + x % 11).cast("int").alias("grant_year"), (x % 30_000).cast("int").alias("claims_len"),
         (x % 46 + 1).cast("int").alias("n_cpc"), (x % 78).cast("int").alias("n_citations"),
     )

@@ -78,7 +78,7 @@ def test_latent_space_spans_the_strongest_directions(spark):
     coded = coded.select("id", coded["w"].cast("array<int>").alias("w"))
     idf = X.inverse_frequencies(coded)
     space = X.latent_space(coded, idf, rank=16)
-    found = X.cut(np.array(sum(codes, []), "i4"), np.arange(0, 32 * 300 + 1, 32))
+    found = X.cut(np.array(sum(codes, []), "i4"), np.arange(0, 32 * 300 + 1, 32), idf)
     vectors = X._window_sums(found, space)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     alike = vectors @ vectors.T

@@ -3,7 +3,8 @@
 Texts are cut into windows of two blocks of words, each window a TF-IDF vector over hashed words. A randomised singular
 value decomposition of all windows (one pass: the Gram matrix times a random matrix, then Nyström's formula) gives a
 latent space whose directions are scaled to equal variance. Windows whose cosine with a window of a benchmark item
-reaches ``COSINE`` are candidates. A candidate is a leak if the longest common subsequence of the item and the words
+reaches ``COSINE`` are candidates; of these, windows stay that hold ``CONTAINED`` of the weight of the item window's
+words. A candidate is a leak if the longest common subsequence of the item and the words
 around the window covers ``SURE`` of the item, or ``LIKELY`` of it while the item's answer, its last words, stands
 there.
 
@@ -33,17 +34,19 @@ from tributary.session import written_once
 BLOCK = 16  # words; a window is two blocks
 FEATURES = 4096  # a power of two
 RANK = 64
-COSINE = 0.45
+COMMON = 8
+COSINE = 0.55  # of the cosine that a window reaches which holds the item window whole
+CONTAINED = 0.4  # of an item window's weight that a candidate window must hold
 SURE, LIKELY = 0.75, 0.55
 ANSWER = 3  # last words of an item
-STEP = 4  # words between an item's windows
+STEP = 8  # words between an item's windows
 ITEM_WORDS = 100_000  # words of items that are searched for at once
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def word_codes(text: Column) -> Column:
-    """A 32-bit code of each word, A-Z in lower case and without punctuation."""
-    words = F.array_remove(F.split(C.ascii_lower(C.whole(text)), _BREAK), "")
+    """A 32-bit code of each word, in lower case and without punctuation."""
+    words = F.array_remove(F.split(F.lower(C.whole(text)), _BREAK), "")
     return F.transform(words, lambda w: F.hash(w))
 
 
@@ -53,13 +56,16 @@ class Cut:
 
     features: np.ndarray  # of each word
     starts: np.ndarray  # of blocks
+    kept: np.ndarray  # places of the words that have a weight
+    kept_starts: np.ndarray  # of blocks, among the kept words
+    kept_sizes: np.ndarray  # of blocks
     left: np.ndarray  # first block of each window
     right: np.ndarray  # second block; equal to the first for a text of one block
     owner: np.ndarray  # text of each window
     first: np.ndarray  # place of the window's first word in its text
 
 
-def cut(codes: np.ndarray, ends: np.ndarray) -> Cut:
+def cut(codes: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> Cut:
     """``codes`` of texts that end at ``ends[1:]``."""
     counts = np.diff(ends)
     blocks = -(-counts // BLOCK)
@@ -70,7 +76,12 @@ def cut(codes: np.ndarray, ends: np.ndarray) -> Cut:
     opens = ~last | (nth == 0)  # every block but a text's last begins a window
     left = np.flatnonzero(opens)
     right = np.where(last[left], left, left + 1)
-    return Cut((codes.view("u4") & (FEATURES - 1)).astype("u2"), starts, left, right, owner[left], nth[left] * BLOCK)
+    features = (codes.view("u4") & (FEATURES - 1)).astype("u2")
+    weighed = np.take(idf > 0, features)
+    before = np.append(0, np.cumsum(weighed))
+    kept_starts = before[starts]
+    sizes = np.diff(np.append(kept_starts, before[-1]))
+    return Cut(features, starts, np.flatnonzero(weighed), kept_starts, sizes, left, right, owner[left], nth[left] * BLOCK)
 
 
 def _batches(batch: pa.RecordBatch, column: int, words: int = 200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -85,11 +96,14 @@ def _batches(batch: pa.RecordBatch, column: int, words: int = 200_000) -> Iterat
 
 
 def _window_sums(found: Cut, rows: np.ndarray) -> np.ndarray:
-    """Sums over each window of ``rows[feature]``."""
-    blocks = np.add.reduceat(rows[found.features], found.starts, axis=0)
-    single = found.left == found.right
+    """Sums over the kept words of each window of ``rows[feature]``."""
+    blocks = np.zeros((len(found.starts), rows.shape[1]), "f4")
+    full = found.kept_sizes > 0
+    if full.any():
+        words = np.take(rows, found.features[found.kept], axis=0, mode="clip")
+        blocks[full] = np.add.reduceat(words, found.kept_starts[full], axis=0)
     sums = blocks[found.left] + blocks[found.right]
-    sums[single] *= 0.5
+    sums[found.left == found.right] *= 0.5
     return sums
 
 
@@ -136,7 +150,8 @@ def _task(group: int = 32) -> int:
 
 
 def inverse_frequencies(coded: DataFrame) -> np.ndarray:
-    """For each feature the logarithm of all words over its words."""
+    """For each feature the logarithm of all words over its words; 0 for features ``COMMON`` times as frequent as
+    those that occur are on average, which say nothing of a passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(FEATURES, "i8")
@@ -148,7 +163,9 @@ def inverse_frequencies(coded: DataFrame) -> np.ndarray:
     counts = _summed(coded.select("w").mapInArrow(run, "part int, salt int, bytes binary"), "i8")
     if not counts.size:
         counts = np.zeros(FEATURES, "i8")
-    return np.log((counts.sum() + 1) / (counts + 1)).astype("f4")
+    idf = np.log((counts.sum() + 1) / (counts + 1)).astype("f4")
+    idf[counts * (counts > 0).sum() >= COMMON * max(1, counts.sum())] = 0
+    return idf
 
 
 def latent_space(coded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
@@ -163,20 +180,22 @@ def latent_space(coded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
             for _, codes, ends in _batches(batch, 0):
                 if not len(codes):
                     continue
-                found = cut(codes, ends)
+                found = cut(codes, ends, idf)
                 sums = _window_sums(found, table)
                 seen = sums[:, :rank] / np.maximum(sums[:, rank:], 1e-6)  # row times omega over its squared length
                 back = np.zeros((len(found.starts), rank), "f4")
                 back[found.left] += seen
                 two = found.left != found.right
                 back[found.right[two]] += seen[two]
-                order = np.argsort(found.features, kind="stable")
-                sizes = np.diff(np.append(found.starts, len(codes)))
-                block = np.repeat(np.arange(len(found.starts)), sizes)[order]
-                ranked = found.features[order]
+                if not len(found.kept):
+                    continue
+                ranked = found.features[found.kept]
+                order = np.argsort(ranked, kind="stable")
+                block = np.repeat(np.arange(len(found.starts)), found.kept_sizes)[order]
+                ranked = ranked[order]
                 begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
                 which = ranked[begins]
-                total[which] += np.add.reduceat(back[block], begins, axis=0) * idf[which, None]
+                total[which] += np.add.reduceat(np.take(back, block, axis=0, mode="clip"), begins, axis=0) * idf[which, None]
         yield _parts(total.ravel(), _task())
 
     z = _summed(coded.select("w").mapInArrow(run, "part int, salt int, bytes binary"), "f4")
@@ -188,8 +207,10 @@ def latent_space(coded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
     kept = values > values[-1] * 1e-8
     half = z @ (vectors[:, kept] / np.sqrt(values[kept]))  # half @ half.T approximates the Gram matrix
     u, s, _ = np.linalg.svd(half, full_matrices=False)
-    kept = s > s[0] * 1e-6
-    return (idf[:, None] * (u[:, kept] / s[kept])).astype("f4")
+    kept = s > s[0] * 1e-6 if len(s) else s > 0
+    space = np.zeros((FEATURES, rank), "f4")
+    space[:, : kept.sum()] = idf[:, None] * (u[:, kept] / s[kept])
+    return space
 
 
 def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
@@ -216,16 +237,57 @@ class Item:
         return found
 
 
-def _windows(items: list[Item], space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the items' windows, and the item of each."""
-    vectors, owner = [], []
+@dataclass(frozen=True)
+class Asked:
+    """The windows of the items: unit vectors, the item of each, the features in it, their weight, and the cosine to reach."""
+
+    vectors: np.ndarray
+    owner: np.ndarray
+    holds: np.ndarray
+    weight: np.ndarray
+    bound: np.ndarray
+
+
+def _windows(items: list[Item], space: np.ndarray, idf: np.ndarray, cosine: float = COSINE) -> Asked:
+    vectors, owner, holds, weight, square = [], [], [], [], []
     for number, item in enumerate(items):
         f = np.array(item.words, dtype="i8") & (FEATURES - 1)
         for start in range(0, max(1, len(f) - 2 * BLOCK + STEP), STEP):
-            vectors.append(space[f[start : start + 2 * BLOCK]].sum(axis=0))
+            part = f[start : start + 2 * BLOCK]
+            vectors.append(space[part].sum(axis=0))
             owner.append(number)
+            inside = np.zeros(FEATURES, bool)
+            inside[part] = True
+            holds.append(inside)
+            weight.append(idf[part].sum())
+            square.append((idf[part] ** 2).sum())
     block = np.array(vectors, "f4").reshape(len(owner), space.shape[1])
-    return block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9), np.array(owner)
+    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
+    # A short item fills its window in part only: its cosine is at most the root of its share of a usual window.
+    usual = 2 * BLOCK * float((np.exp(-idf) * idf**2).sum())
+    bound = cosine * np.sqrt(np.minimum(1.0, np.array(square) / max(usual, 1e-9)))
+    return Asked(block, np.array(owner), np.array(holds), np.array(weight, "f4"), bound.astype("f4"))
+
+
+def candidates(found: Cut, space: np.ndarray, asked: Asked, idf: np.ndarray, step: int = 4096) -> list[tuple[int, int]]:
+    """``(window, item)`` pairs whose cosine reaches the bound and whose window holds enough of the item window's weight."""
+    sums = _window_sums(found, space)
+    sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    sizes = np.diff(np.append(found.starts, len(found.features)))
+    begin = found.starts[found.left]
+    length = sizes[found.left] + np.where(found.left == found.right, 0, sizes[found.right])
+    pairs: set[tuple[int, int]] = set()
+    for start in range(0, len(sums), step):
+        window, hit = np.nonzero(sums[start : start + step] @ asked.vectors.T >= asked.bound)
+        window += start
+        held = np.zeros(len(window), "f4")
+        for i in range(2 * BLOCK):
+            there = i < length[window]
+            feature = found.features[np.minimum(begin[window] + i, len(found.features) - 1)]
+            held += np.where(there & asked.holds[hit, feature], idf[feature], 0)
+        enough = held >= CONTAINED * asked.weight[hit]
+        pairs.update(zip(window[enough].tolist(), asked.owner[hit[enough]].tolist()))
+    return sorted(pairs)
 
 
 def _answered(answer: tuple[int, ...], words: list[int]) -> bool:
@@ -233,28 +295,24 @@ def _answered(answer: tuple[int, ...], words: list[int]) -> bool:
     return any(tuple(words[i : i + n]) == answer for i in range(len(words) - n + 1))
 
 
-def _search(coded: DataFrame, items: list[Item], space: np.ndarray, cosine: float) -> DataFrame:
+def _search(coded: DataFrame, items: list[Item], space: np.ndarray, idf: np.ndarray, cosine: float) -> DataFrame:
     """``(id, item, share, first, last, answered)`` of every leak of these items; ``item`` is a place in the list."""
-    vectors, owner = _windows(items, space)
-    sent = coded.sparkSession.sparkContext.broadcast((vectors, owner, space, [i.words for i in items]))
+    asked = _windows(items, space, idf, cosine)
+    windows = (asked.vectors, asked.owner, asked.holds, asked.weight, asked.bound)
+    sent = coded.sparkSession.sparkContext.broadcast((*windows, space, [i.words for i in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, owner, space, words = sent.value
+        *windows, space, words = sent.value
+        asked = Asked(*windows)
         masks = [Item(None, w).masks() for w in words]
         for batch in batches:
             out: list[tuple] = []
             for begin, codes, ends in _batches(batch, 1):
                 if not len(codes):
                     continue
-                found = cut(codes, ends)
-                sums = _window_sums(found, space)
-                sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-                pairs: set[tuple[int, int]] = set()
-                for start in range(0, len(sums), 4096):
-                    window, hit = np.nonzero(sums[start : start + 4096] @ vectors.T >= cosine)
-                    pairs.update(zip((window + start).tolist(), owner[hit].tolist()))
+                found = cut(codes, ends, idf)
                 best: dict[tuple[int, int], tuple] = {}
-                for window, item in sorted(pairs):
+                for window, item in candidates(found, space, asked, idf):
                     text = int(found.owner[window])
                     n = len(words[item])
                     low = max(0, int(found.first[window]) - n)
@@ -288,7 +346,8 @@ def leaks(
     in order between words ``first`` and ``last`` of the document, and whether its answer does."""
     spark = docs.sparkSession
     coded = written_once(docs.select(F.col(key).alias("id"), word_codes(F.col(text)).alias("w")))
-    space = latent_space(coded, inverse_frequencies(coded))
+    idf = inverse_frequencies(coded)
+    space = latent_space(coded, idf)
     asked = benchmark.select(F.col(item).alias("item_id"), word_codes(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     asked = written_once(asked.distinct())
     blocks = asked.agg(F.ceil(F.coalesce(F.sum(F.size("w")), F.lit(0)) / ITEM_WORDS).cast("int")).first()[0]
@@ -302,7 +361,7 @@ def leaks(
         if not items:
             continue
         names = spark.createDataFrame([(i, x.item_id) for i, x in enumerate(items)], f"n int, {item} {item_kind.simpleString()}")
-        hits = _search(coded, items, space, cosine).join(F.broadcast(names), F.col("item") == F.col("n"))
+        hits = _search(coded, items, space, idf, cosine).join(F.broadcast(names), F.col("item") == F.col("n"))
         found = found.unionByName(hits.select(F.col("id").alias(key), item, "share", "first", "last", "answered"))
     return found.distinct()
 

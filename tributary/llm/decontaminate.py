@@ -33,9 +33,9 @@ from tributary.session import written_once
 
 BLOCK = 16  # words; a window is two blocks
 FEATURES = 4096  # a power of two
-RANK = 64
+RANK = 48
 COMMON = 8
-COSINE = 0.55  # of the cosine that a window reaches which holds the item window whole
+COSINE = 0.5  # of the cosine that a window reaches which holds the item window whole
 CONTAINED = 0.4  # of an item window's weight that a candidate window must hold
 SURE, LIKELY = 0.75, 0.55
 ANSWER = 3  # last words of an item

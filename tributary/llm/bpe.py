@@ -19,6 +19,7 @@ import heapq
 import json
 import os
 import re
+import struct
 import sys
 import unicodedata
 import uuid
@@ -35,18 +36,18 @@ from tributary.llm import columns as C
 from tributary.llm import lexicon
 
 FREQUENT = 100_000  # words in the lexicon
-REMEMBERED = 200_000  # words whose ids a worker keeps at hand
+REMEMBERED = 300_000  # words whose ids a worker keeps at hand
 
 # What the supported files say of white space, and their pattern of words.
 _WHITE = "\t\n\x0b\x0c\r\x85  "
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _ranges(categories: str) -> str:
-    """The characters of the general categories that begin with one of the letters, for a set in a pattern."""
+def _ranges(categories: str, end: int) -> str:
+    """The characters below ``end`` of the general categories that begin with one of the letters, for a set in a pattern."""
     found, start = [], None
-    for point in range(sys.maxunicode + 2):
-        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] in categories
+    for point in range(end + 1):
+        inside = point < end and unicodedata.category(chr(point))[0] in categories
         if inside and start is None:
             start = point
         elif not inside and start is not None:
@@ -55,12 +56,13 @@ def _ranges(categories: str) -> str:
     return "".join(found)
 
 
-def word_pattern() -> re.Pattern:
-    letters, numbers = _ranges("L"), _ranges("N")
+def word_pattern(end: int = sys.maxunicode + 1) -> re.Pattern:
+    """The pattern of words, for texts of characters below ``end``: sets of few characters are looked up faster."""
+    letters, numbers = _ranges("L", end), _ranges("N", end)
     white = "".join(f"\\U{ord(c):08x}" for c in _WHITE) + "".join(
         f"\\U{p:08x}" for p in range(0x3001) if unicodedata.category(chr(p)) == "Zs"
     )
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
+    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{white}{letters}{numbers}]+")
 
 
 def byte_letters() -> list[str]:
@@ -109,7 +111,7 @@ class Encoder:
         self.ranks = {pair: rank for rank, pair in enumerate(data["merges"])}
         self.words = words
         self.letters = byte_letters()
-        self.find = word_pattern().findall
+        self.find = [word_pattern(end).findall for end in (0x80, 0x10000, sys.maxunicode + 1)]
         specials = "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True))
         self.specials = re.compile(f"({specials})") if specials else None
         size = max([*self.vocab.values(), *self.added.values()]) + 1
@@ -120,25 +122,32 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a letter's lower case does not hang on its place
-        return self.find(text.lower())
+        if text.isascii():
+            return self.find[0](text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a letter's lower case does not hang on its place
+        return self.find[1 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 2](text)
 
     def merged(self, word: str) -> list[int]:
         """The ids of a word by merging the pair of lowest rank, the leftmost of equals, until none is left."""
-        letters = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        letters[-1] += "</w>"
-        symbols: list[str | None] = letters
+        if word.isascii() and word.isprintable():
+            symbols = list(word)  # these characters stand for themselves
+        else:
+            symbols = [self.letters[b] for b in word.encode("utf-8", "replace")]
+        symbols[-1] += "</w>"
         if len(symbols) <= 48:
-            rank = self.ranks.get
-            while len(symbols) > 1:
-                best, at = None, -1
-                for i in range(len(symbols) - 1):
-                    r = rank((symbols[i], symbols[i + 1]))
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
+            rank, none = self.ranks.get, len(self.ranks)
+            ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
+            while ranks:
+                least = min(ranks)
+                if least == none:
                     break
+                at = ranks.index(least)
                 symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                del ranks[at]
+                if at:
+                    ranks[at - 1] = rank((symbols[at - 1], symbols[at]), none)
+                if at < len(ranks):
+                    ranks[at] = rank((symbols[at], symbols[at + 1]), none)
         else:
             symbols = self._long(symbols)
         vocab = self.vocab
@@ -195,7 +204,7 @@ class _Known(dict):
         words = self.encoder.words
         ids = words.ids(word.encode("utf-8", "replace")) if words is not None else None
         if ids is None:
-            ids = np.asarray(self.encoder.merged(word), dtype="<u4").tobytes()
+            ids = struct.pack(f"<{len(merged := self.encoder.merged(word))}I", *merged)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = ids
@@ -237,7 +246,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
         for batch in batches:
             for value in _texts(batch, 0):
                 counted.update(pieces(value))
-                if len(counted) > 500_000:
+                if len(counted) > 300_000:
                     yield told()
                     counted.clear()
         yield told()

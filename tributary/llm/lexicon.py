@@ -103,25 +103,21 @@ class Lexicon:
         self._first, self._targets, self._before = take(states + 1, "I"), take(arcs, "I"), take(arcs, "I")
         self._ends = take(words + 1, "I")
         self._ids = take(4 * ids, "B")
-        self._labels, self._flags = take(arcs, "B"), take(states, "B")
+        self._labels_at = at  # labels are looked for in the map itself
+        take(arcs, "B")
+        self._flags = take(states, "B")
         self.states, self.words = states, words
 
     def ids(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers; None for a word that is not in the file."""
-        first, labels, targets, before = self._first, self._labels, self._targets, self._before
-        state, number = self._root, 0
+        first, targets, before, find = self._first, self._targets, self._before, self._map.find
+        state, number, at = self._root, 0, self._labels_at
         for label in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                middle = (low + high) >> 1
-                if labels[middle] < label:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == first[state + 1] or labels[low] != label:
+            arc = find(label.to_bytes(), at + first[state], at + first[state + 1])  # a state's arcs lie together
+            if arc < 0:
                 return None
-            number += before[low]
-            state = targets[low]
+            number += before[arc - at]
+            state = targets[arc - at]
         if not self._flags[state]:
             return None
         return bytes(self._ids[4 * self._ends[number] : 4 * self._ends[number + 1]])

@@ -5,7 +5,6 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -41,20 +40,24 @@ def test_weights_are_probabilities(model):
 
 
 @pytest.mark.parametrize("word", ["the", "nation", "thhaen", "étion", "日x\U0001f600", "a1!b", "\x00"])
-def test_sums_over_all_segmentations(model, word):
+@pytest.mark.parametrize("short", [40, 0])
+def test_sums_over_all_segmentations(model, word, short, monkeypatch):
     lattice = L.Lattice(model)
+    words = sorted([word, word + "x", word[:1], "the", "then", "theory"])
+    assert list(lattice.all_logs(words)) == [L.Lattice(model).log(w) for w in words]
     listed = list(_segmentations(model, "▁" + word))
     total = math.fsum(math.exp(v) for v, _ in listed)
     assert lattice.log(word) == pytest.approx(math.log(total))
-    pieces, spelled = {}, np.zeros(256)
-    lattice.add_expected(word, 3.0, pieces, spelled)
+    monkeypatch.setattr(L, "SHORT", short)
+    pieces, spelled = L.Lattice(model).expected([(word, 1.0), (word, 2.0)])
+    where = {p: i for i, p in enumerate(model.pieces)}
     want = Counter()
     for value, parts in listed:
         for part in parts:
             want[part] += 3 * math.exp(value) / total
     for part, n in want.items():
         if part in model.pieces:
-            assert pieces[part] == pytest.approx(n)
+            assert pieces[where[part]] == pytest.approx(n)
         else:
             assert all(spelled[b] > 0 for b in part.encode())
 

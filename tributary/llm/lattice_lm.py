@@ -20,11 +20,9 @@ looked at.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from string import ascii_lowercase, ascii_uppercase
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +33,9 @@ from pyspark.sql import functions as F
 from tributary.llm import columns as C
 from tributary.session import written_once
 
-HOT = 50_000
+HOT = 100_000
 START = "▁"  # begins a word's first piece
 SMOOTHING = 0.1  # added to each piece's expected count
-_WORD = "[^\x20\x09-\x0d]+"
 
 
 @dataclass(frozen=True)
@@ -73,82 +70,145 @@ def _normed(logs: dict) -> dict:
     return {k: v - total for k, v in logs.items()}
 
 
+SHORT = 40  # characters up to which products of probabilities stay far from the smallest float
+
+
+def _shared(a: str, b: str) -> int:
+    """How many characters two words begin with in common."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class Lattice:
-    """Forward and backward sums over the segmentations of a word."""
+    """Sums over the segmentations of words.
+
+    What a beginning of a word sums up to does not depend on what follows, so of words in order each takes over the
+    sums of the beginning it shares with the one before; the work is that of the words' distinct beginnings.
+    """
 
     def __init__(self, model: Pieces):
         self.model = model
-        self.walk: dict[str, float | None] = {}  # beginnings of pieces; the logarithm where a piece ends
-        for piece, value in model.pieces.items():
-            for end in range(1, len(piece)):
-                self.walk.setdefault(piece[:end], None)
-            self.walk[piece] = value
-
-    def edges(self, word: str) -> list[list[tuple[int, float]]]:
-        """For each place of the word the pieces from there: ``(end, log)``. A character that is no piece is spelled in bytes."""
-        walk, n, out = self.walk, len(word), []
-        for i in range(n):
-            found, j = [], i + 1
-            while j <= n:
-                value = walk.get(word[i:j], 0.0)
-                if value == 0.0:
-                    break
-                if value is not None:
-                    found.append((j, value))
-                j += 1
-            if not found or found[0][0] != i + 1:
-                found.insert(0, (i + 1, sum(self.model.bytes[b] for b in word[i].encode("utf-8", "replace"))))
-            out.append(found)
-        return out
-
-    @staticmethod
-    def forward(edges: list[list[tuple[int, float]]]) -> list[float]:
-        """Logarithms of the summed probability of each beginning of the word."""
-        log1p, exp, none = math.log1p, math.exp, -math.inf
-        sums = [none] * (len(edges) + 1)
-        sums[0] = 0.0
-        for i, found in enumerate(edges):
-            here = sums[i]
-            for j, value in found:
-                new, old = here + value, sums[j]
-                if old == none:
-                    sums[j] = new
-                elif new > old:
-                    sums[j] = new + log1p(exp(old - new))
-                else:
-                    sums[j] = old + log1p(exp(new - old))
-        return sums
+        self.logs = list(model.pieces.values())
+        self.spelled: dict[str, int] = {}  # characters that are no piece: numbers behind those of the pieces
+        self.ending: dict = {}  # pieces by their characters from the last to the first; "" holds the number
+        for number, piece in enumerate(model.pieces):
+            node = self.ending
+            for character in reversed(piece):
+                node = node.setdefault(character, {})
+            node[""] = number
+
+    def _spelled(self, character: str) -> int:
+        number = self.spelled.get(character)
+        if number is None:
+            number = self.spelled[character] = len(self.logs)
+            self.logs.append(sum([self.model.bytes[b] for b in character.encode("utf-8", "replace")]))
+        return number
+
+    def arriving(self, text: str, end: int) -> list[tuple[int, int]]:
+        """``(start, number)`` of the pieces that end at a place. A character that is no piece is spelled in bytes."""
+        found, node, i = [], self.ending, end
+        while i > 0:
+            i -= 1
+            node = node.get(text[i])
+            if node is None:
+                break
+            number = node.get("")
+            if number is not None:
+                found.append((i, number))
+        if not found or found[0][0] != end - 1:
+            found.append((end - 1, self._spelled(text[end - 1])))
+        return found
+
+    def _arrived(self, text: str, end: int, sums: list[float]) -> float:
+        """The logarithm of the summed probability of the beginning that ends at ``end``."""
+        found = self.arriving(text, end)
+        logs = self.logs
+        if len(found) == 1:
+            start, number = found[0]
+            return sums[start] + logs[number]
+        ways = [sums[start] + logs[number] for start, number in found]
+        most, exp = max(ways), math.exp
+        return most + math.log(sum([exp(way - most) for way in ways]))
+
+    def all_logs(self, words: Iterable[str]) -> Iterator[float]:
+        """The logarithm of each word's probability, over all segmentations."""
+        sums, before = [0.0], ""
+        for word in words:
+            text = START + word
+            shared = _shared(before, text)
+            del sums[shared + 1 :]
+            for end in range(shared + 1, len(text) + 1):
+                sums.append(self._arrived(text, end, sums))
+            before = text
+            yield sums[-1]
 
     def log(self, word: str) -> float:
-        """The logarithm of the word's probability, over all segmentations."""
-        return self.forward(self.edges(START + word))[-1]
-
-    def add_expected(self, word: str, n: float, pieces: dict[str, float], spelled: np.ndarray) -> None:
-        """Adds ``n`` times the expected number of each piece in the word."""
-        text = START + word
-        edges = self.edges(text)
-        sums = self.forward(edges)
-        behind = [-math.inf] * (len(edges) + 1)
-        behind[-1] = 0.0
-        total, exp, log1p = sums[-1], math.exp, math.log1p
-        for i in range(len(edges) - 1, -1, -1):
-            here, before = -math.inf, sums[i] - total
-            for j, value in edges[i]:
-                new = value + behind[j]
-                if here == -math.inf:
-                    here = new
-                elif new > here:
-                    here = new + log1p(exp(here - new))
-                else:
-                    here += log1p(exp(new - here))
-                part = text[i:j]
-                expected = n * exp(before + new)
-                if part in pieces or part in self.model.pieces:
-                    pieces[part] = pieces.get(part, 0.0) + expected
-                else:
-                    for b in part.encode("utf-8", "replace"):
-                        spelled[b] += expected
-            behind[i] = here
+        return next(self.all_logs([word]))
+
+    def expected(self, words: Iterable[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """How often each piece and each single byte is expected in ``(word, times)``, over all segmentations.
+
+        A word's weight goes back from its end over the pieces that arrive there. Weights of words with a common
+        beginning are added up before they go on.
+        """
+        counts: dict[int, float] = {}
+        arriving, sums, weight, before = [[]], [1.0], [0.0], ""
+
+        def leave(keep: int) -> None:
+            """Sends the weight of the places beyond ``keep`` back."""
+            for end in range(len(sums) - 1, keep, -1):
+                here = weight.pop()
+                sums.pop()
+                for start, number, chance in arriving.pop():
+                    part = chance * here
+                    weight[start] += part
+                    counts[number] = counts.get(number, 0.0) + sums[start] * part
+
+        exp = math.exp
+        for word, times in words:
+            text = START + word
+            if len(text) > SHORT:
+                self._long(text, times, counts)
+                continue
+            shared = _shared(before, text)
+            leave(shared)
+            for end in range(shared + 1, len(text) + 1):
+                found = [(start, number, exp(self.logs[number])) for start, number in self.arriving(text, end)]
+                arriving.append(found)
+                sums.append(sum([sums[start] * chance for start, _, chance in found]))
+                weight.append(0.0)
+            weight[-1] += times / sums[-1]
+            before = text
+        leave(0)
+        pieces, spelled = np.zeros(len(self.model.pieces)), np.zeros(256)
+        characters = {number: c for c, number in self.spelled.items()}
+        for number, n in counts.items():
+            if number < len(pieces):
+                pieces[number] += n
+            else:
+                for b in characters[number].encode("utf-8", "replace"):
+                    spelled[b] += n
+        return pieces, spelled
+
+    def _long(self, text: str, times: float, counts: dict[int, float]) -> None:
+        """The same for one long word, with logarithms."""
+        arriving, sums, exp = [[]], [0.0], math.exp
+        for end in range(1, len(text) + 1):
+            arriving.append(self.arriving(text, end))
+            sums.append(self._arrived(text, end, sums))
+        weight = [-math.inf] * len(sums)
+        weight[-1] = math.log(times) - sums[-1]
+        for end in range(len(text), 0, -1):
+            here = weight[end]
+            for start, number in arriving[end]:
+                part, old = self.logs[number] + here, weight[start]
+                low, high = (old, part) if old < part else (part, old)
+                weight[start] = high + math.log1p(exp(low - high))
+                counts[number] = counts.get(number, 0.0) + exp(sums[start] + part)
 
 
 def is_held_out(key: str, folds: int = 7, held_out: int = 2) -> Column:
@@ -156,9 +216,10 @@ def is_held_out(key: str, folds: int = 7, held_out: int = 2) -> Column:
 
 
 def word_counts(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
-    """``(word, c, every)``: occurrences in training documents, and in all."""
+    """``(word, c, every)``: occurrences in training documents, and in all; in order within each task."""
     rows = docs.select((~held_out).cast("bigint").alias("learns"), F.explode(C.words(C.ascii_lower(C.whole(text)))).alias("word"))
-    return rows.groupBy("word").agg(F.sum("learns").alias("c"), F.count(F.lit(1)).alias("every"))
+    counted = rows.groupBy("word").agg(F.sum("learns").alias("c"), F.count(F.lit(1)).alias("every"))
+    return counted.sortWithinPartitions("word")
 
 
 def fitted(counts: DataFrame, ends: int, start: Pieces) -> Pieces:
@@ -166,14 +227,10 @@ def fitted(counts: DataFrame, ends: int, start: Pieces) -> Pieces:
     names = list(start.pieces)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, pieces, spelled = Lattice(start), {}, np.zeros(256)
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lattice.add_expected(word, n, pieces, spelled)
-        where = {p: i for i, p in enumerate(names)}
-        ids = [where[p] for p in pieces] + [len(names) + b for b in range(256) if spelled[b]]
-        values = list(pieces.values()) + [v for v in spelled if v]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(values, pa.float64())], ["piece", "n"])
+        words = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        values = np.concatenate(Lattice(start).expected(words))
+        ids = np.flatnonzero(values)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype("i4")), pa.array(values[ids])], ["piece", "n"])
 
     told = counts.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, n double")
     summed = {r["piece"]: r["n"] for r in told.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # one row a piece
@@ -191,7 +248,7 @@ def _scored(counts: DataFrame, model: Pieces) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model)
         for batch in batches:
-            logs = pa.array([lattice.log(w) for w in batch.column(0).to_pylist()], pa.float64())
+            logs = pa.array(list(lattice.all_logs(batch.column(0).to_pylist())), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), logs], ["word", "c", "log"])
 
     return counts.select("word", "c").mapInArrow(run, "word string, c bigint, log double")
@@ -208,46 +265,42 @@ def scores(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     top = counts.orderBy(F.desc("every"), "word").limit(hot)
     divisor = float(total + distinct + 1)
     often = {r["word"]: (r["c"] > 0, math.log10((r["c"] + 1) / divisor), r["log"] / math.log(10)) for r in _scored(top, model).collect()}
-    known = docs.sparkSession.sparkContext.broadcast(often)  # at most ``hot`` words
-    end = (int(ends > 0), math.log10((ends + 1) / divisor), model.end / math.log(10))
+    # Words as bytes: a split of bytes is at space and U+0009 to U+000D, and their lower case changes A-Z alone.
+    known = docs.sparkSession.sparkContext.broadcast(
+        (
+            {w.encode(): i for i, w in enumerate(often)},
+            np.array([v for v in often.values()] or np.zeros((0, 3)), dtype="f8"),
+        )
+    )  # at most ``hot`` words
+    end = np.array([ends > 0, math.log10((ends + 1) / divisor), model.end / math.log(10)], dtype="f8")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, find = known.value, re.compile(_WORD).findall
-        lower = str.maketrans(ascii_uppercase, ascii_lowercase)
+        index, told = known.value
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("at", "word", "n", "known", "base", "score")}
-            for at, value in enumerate(batch.column(0)):
-                found = Counter(find((value.as_py() or "").translate(lower)))
-                n, seen, base, score = 1, *end
-                for word, times in found.items():
-                    hit = table.get(word)
-                    if hit is None:
-                        out["at"].append(at)
-                        out["word"].append(word)
-                        out["n"].append(times)
-                    else:
-                        n += times
-                        seen += times * hit[0]
-                        base += times * hit[1]
-                        score += times * hit[2]
-                out["at"].append(at)
-                out["word"].append(None)
-                out["n"].append(n)
-                out["known"].append(seen)
-                out["base"].append(base)
-                out["score"].append(score)
-            heads = np.array([w is None for w in out["word"]])
-            place = np.cumsum(heads) - 1
-
-            def of_heads(name: str, kind: pa.DataType) -> pa.Array:
-                return pa.array(out[name], kind).take(pa.array(place, mask=~heads))
-
-            at = pa.array(out["at"], pa.int32())
+            words, sizes = [], []
+            for value in batch.column(0):
+                found = (value.as_py() or "").encode().lower().split()
+                words += found
+                sizes.append(len(found))
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.fromiter(map(index.get, words, repeat(-1)), dtype="i4", count=len(words))
+            usual = place >= 0
+            rows = np.bincount(at[usual], minlength=len(sizes)) + 1
+            sums = [np.bincount(at[usual], told[place[usual], i], len(sizes)) + end[i] for i in range(3)]
+            rare = np.flatnonzero(~usual)
+            m, k = len(rare), len(sizes)
+            back = pa.array(np.append(at[rare], np.arange(k)).astype("i4"))
+            text = pa.array([words[i] for i in rare.tolist()], pa.binary()).cast(pa.string())
+
+            def of_heads(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+                return pa.concat_arrays([pa.nulls(m, kind), pa.array(values, kind)])
+
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at),
-                    pa.array(out["word"], pa.string()), pa.array(out["n"], pa.int64()),
-                    of_heads("known", pa.int64()), of_heads("base", pa.float64()), of_heads("score", pa.float64()),
+                    *[batch.column(i).take(back) for i in (1, 2, 3)],
+                    pa.concat_arrays([text, pa.nulls(k, pa.string())]),
+                    pa.array(np.append(np.ones(m, "i8"), rows)),
+                    of_heads(np.rint(sums[0]).astype("i8"), pa.int64()), of_heads(sums[1], pa.float64()), of_heads(sums[2], pa.float64()),
                 ],
                 ["id", "out", "row", "word", "n", "known", "base", "score"],
             )

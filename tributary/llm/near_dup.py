@@ -36,7 +36,7 @@ LEAST = 85  # per cent of the union that a link must share
 TOKENS = 64
 TREES = 4
 DEPTH = 8
-LEAF = 256  # classes compared exhaustively on signatures
+LEAF = 1024  # classes compared exhaustively on signatures
 GROUP = 256  # classes compared exhaustively on full sets
 LIKE = 38  # agreeing tokens that make a candidate; 0.85 gives 54 on average with a deviation of 2.9
 CLOSE = 44  # agreeing tokens with a node's drawn member from which a class leaves the node

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from string import ascii_lowercase, ascii_uppercase
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tributary.functions.text import ascii_lower
+from tributary.functions.vectors import let
+
+__all__ = ["SPACES", "ascii_lower", "count_of", "let", "running_sums", "share", "whole", "words"]
+
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -16,16 +18,6 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(text, ascii_uppercase, ascii_lowercase)
-
-
 def words(text: Column) -> Column:
     """The runs of characters other than space and U+0009 to U+000D."""
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
@@ -72,8 +64,3 @@ def running_sums(numbers: Column, stretch: int = 256) -> Column:
         return F.when(F.size(values) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(let(parts, joined))
 
     return let(numbers, in_stretches)
-
-
-def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Column:
-    """A hash that tells rows apart which share an id but not their text."""
-    return F.xxhash64(docs[key], docs[text])

@@ -36,7 +36,7 @@ from tributary.llm import columns as C
 from tributary.llm import lexicon
 
 FREQUENT = 100_000  # words in the lexicon
-REMEMBERED = 300_000  # words whose ids a worker keeps at hand
+REMEMBERED = 120_000  # words whose ids a worker keeps at hand
 
 # What the supported files say of white space, and their pattern of words.
 _WHITE = "\t\n\x0b\x0c\r\x85  "
@@ -246,7 +246,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
         for batch in batches:
             for value in _texts(batch, 0):
                 counted.update(pieces(value))
-                if len(counted) > 300_000:
+                if len(counted) > 200_000:
                     yield told()
                     counted.clear()
         yield told()

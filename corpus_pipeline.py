@@ -15,6 +15,7 @@ from tributary.llm import bpe, columns, decontaminate, line_dedup, near_dup, qua
 from tributary.session import written_once
 
 VOCABULARY = "word_bpe_49k.json"
+NEAR = 80  # per cent of the shingles of two documents that make them near duplicates
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    return near_dup.without_copies(docs)
+    return near_dup.without_copies(docs, least=NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import helpers as H
 from tributary.llm import components, near_dup, queries
 
@@ -122,3 +123,32 @@ def test_kept_rows(spark, hard):
     kept = near_dup.without_copies(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {k for k, v in _components(hard).items() if v[2]}
+
+
+def _pairs_at(similarities, n=200):
+    """Pairs of texts of ``n`` shingles each, of which as many differ as the similarity asks for."""
+    texts = {}
+    for i, share in enumerate(similarities):
+        words = H.prose(4000 + i, n + 4).split()
+        apart = round(n * (1 - share) / (1 + share))  # shingles of each text that the other has not
+        texts[2 * i] = " ".join(words)
+        texts[2 * i + 1] = " ".join(words[: n + 4 - apart] + [f"y{i}x{j}" for j in range(apart)])
+    return texts
+
+
+def test_the_stage_takes_similarities_from_80_on_and_the_query_from_85(spark):
+    texts = _pairs_at([0.76, 0.78, 0.805, 0.81, 0.82, 0.83, 0.84, 0.86, 0.9] * 4)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    sets = {k: _set(t) for k, t in texts.items()}
+
+    def kept(least):
+        return {k for k in texts if k % 2 == 0 or 100 * len(sets[k] & sets[k - 1]) < least * len(sets[k] | sets[k - 1])}
+
+    assert len(kept(85)) - len(kept(80)) == 20
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, H.SF_DIR).collect()} == kept(80)
+    assert {r["doc_id"] for r in near_dup.without_copies(docs).collect()} == kept(85)
+
+
+def test_bounds_follow_the_least_similarity():
+    assert (near_dup.LIKE, near_dup.CLOSE, near_dup.TREES) == (38, 44, 4)
+    assert (near_dup.alike_from(80), near_dup.leaves_from(80), near_dup.trees_for(80)) == (32, 40, 5)

@@ -5,7 +5,9 @@ A document is the set of its 5-word shingles. Documents with equal sets are one
 a hash of its path, and classes that agree on one go to the same child, so similar classes stay together while nodes
 shrink. Small nodes are compared exhaustively on signatures; in a larger one the classes close to a member drawn by hash
 are linked to it and leave, and the rest goes on. Independent trees repeat this to the wanted recall: a pair of similarity
-0.85 stays together in one tree with a chance of about 0.97, and is missed by four of them about once in a million.
+0.85 stays together in one tree with a chance of about 0.97, and is missed by four of them about once in a million. The
+least similarity is an argument; agreeing tokens asked for and number of trees follow it, so a pair of similarity 0.80
+meets in five trees to the same recall.
 
 The trees only gather candidates into clusters. Within each cluster links are confirmed on the full sets: small
 clusters pair by pair, skipping pairs that are connected already. A large cluster is first compared with its most
@@ -20,6 +22,7 @@ one output row; further columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,16 +37,35 @@ from tributary.session import written_once
 WORDS = 5
 LEAST = 85  # per cent of the union that a link must share
 TOKENS = 64
-TREES = 4
 DEPTH = 8
 LEAF = 1024  # classes compared exhaustively on signatures
 GROUP = 256  # classes compared exhaustively on full sets
-LIKE = 38  # agreeing tokens that make a candidate; 0.85 gives 54 on average with a deviation of 2.9
-CLOSE = 44  # agreeing tokens with a node's drawn member from which a class leaves the node
+MISSED = 1e-6  # of the pairs at the bound
 
 _U = np.uint64
 
 
+def alike_from(least: int) -> int:
+    """Agreeing tokens that make a candidate: 5.7 deviations below what a pair at ``least`` per cent has on average."""
+    share = least / 100
+    return int(TOKENS * share - 5.7 * math.sqrt(TOKENS * share * (1 - share)))
+
+
+def leaves_from(least: int) -> int:
+    """Agreeing tokens with a node's drawn member from which a class leaves the node: what is similar to the class agrees
+    with the drawn member at ``alike_from`` tokens, too."""
+    return int(100 * alike_from(least) / least)
+
+
+def trees_for(least: int) -> int:
+    """Trees that miss a pair at ``least`` per cent, all of them, at a rate of ``MISSED``; one level parts it at the square of its difference."""
+    share = least / 100
+    return max(1, math.ceil(math.log(MISSED) / math.log(4 / 3 * (1 - share) ** 2))) if least < 100 else 1
+
+
+LIKE, CLOSE, TREES = alike_from(LEAST), leaves_from(LEAST), trees_for(LEAST)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit integers."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -125,7 +147,8 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
 
     Each depth of each tree has eight coordinates of its own, of which a node takes two.
     """
-    base = F.pmod((F.lit(depth) + 2 * F.col("tree")) * 8, F.lit(TOKENS))
+    turn = F.lit(depth) + 2 * F.col("tree") + F.floor(F.col("tree") / 4).cast("int")
+    base = F.pmod(turn * 8, F.lit(TOKENS))
     first = F.pmod(F.xxhash64("tree", "node"), F.lit(8))
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", "tree", F.lit(1)), F.lit(7)), F.lit(8))
     sent = rows.select("tree", "node", "c", "tokens", "bits", F.explode(F.array(base + first, base + second)).alias("i"))
@@ -194,7 +217,7 @@ def _bounds(table: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaf_links(batches: Iterator[pa.RecordBatch], like: int) -> Iterator[pa.RecordBatch]:
     """Links that connect the like classes of each small node; columns ``node, c, bits``."""
     for table in _runs(batches, 1):
         bounds = _bounds(table, 1)
@@ -205,7 +228,7 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, u, v = _Sets(len(c)), [], []
         for step in range(1, int(sizes.max())):
             at = np.flatnonzero(left >= step)
-            for i in at[_agreeing(bits[at], bits[at + step]) >= LIKE].tolist():
+            for i in at[_agreeing(bits[at], bits[at + step]) >= like].tolist():
                 if sets.join(i, i + step):
                     u.append(c[i])
                     v.append(c[i + step])
@@ -220,12 +243,17 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(agree.astype("i4"))], names)
 
 
-def candidate_links(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``(u, v)`` links that gather like classes; ``classes`` has ``(c, tokens, bits)`` and is read several times.
+def candidate_links(classes: DataFrame, least: int = LEAST, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """``(u, v)`` links that gather like classes, those of similarity ``least`` per cent and more; ``classes`` has ``(c, tokens, bits)`` and is read several times.
 
     Each level is one grouping and one join on the node, written once; nodes of one class end there.
     """
-    roots = F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")
+    like, leaves = alike_from(least), leaves_from(least)
+
+    def leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _leaf_links(batches, like)
+
+    roots = F.explode(F.array(*[F.lit(t) for t in range(trees_for(least))])).alias("tree")
     going = classes.select(roots, F.lit(0).cast("bigint").alias("node"), "c", "tokens", "bits")
     links = []
     for level in range(depth):
@@ -236,12 +264,12 @@ def candidate_links(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, de
         known = rows.join(sizes.where("n > 1"), "node").select("tree", "node", "c", "n", "pivot", "bits", "pivot_bits")
         known = written_once(known.mapInArrow(_close, "tree int, node bigint, c bigint, n bigint, pivot bigint, bits binary, agree int"))
         small = known.where(F.col("n") <= leaf).select("node", "c", "bits")
-        links.append(small.repartition("node").sortWithinPartitions("node", "c").mapInArrow(_leaf_links, "u bigint, v bigint"))
+        links.append(small.repartition("node").sortWithinPartitions("node", "c").mapInArrow(leaf_links, "u bigint, v bigint"))
         # At the last level what is left of a node stays together.
-        together = F.col("agree") >= (LIKE if level < depth - 1 else 0)
+        together = F.col("agree") >= (like if level < depth - 1 else 0)
         near = known.where((F.col("n") > leaf) & together & (F.col("c") != F.col("pivot")))
         links.append(near.select(F.col("pivot").alias("u"), F.col("c").alias("v")))
-        rest = known.where((F.col("n") > leaf) & (F.col("agree") < CLOSE)).select("tree", "node", "c", "bits")
+        rest = known.where((F.col("n") > leaf) & (F.col("agree") < leaves)).select("tree", "node", "c", "bits")
         if rest.isEmpty():
             break
         going = rest.join(classes.select("c", "tokens"), "c")
@@ -251,20 +279,20 @@ def candidate_links(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, de
     return found
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets share ``LEAST`` per cent of their union."""
+def _linked(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """Whether two sets share ``least`` per cent of their union."""
     small, large = sorted((len(a), len(b)))
-    if 100 * small < LEAST * large:
+    if 100 * small < least * large:
         return False
     both = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * both >= LEAST * (len(a) + len(b) - both)
+    return 100 * both >= least * (len(a) + len(b) - both)
 
 
 def _as_set(value: pa.Scalar) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), "<u8")
 
 
-def _exact_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """``(u, v)`` confirmed links that connect each cluster's classes; columns ``cluster, c, set``."""
     for table in _runs(batches, 1):
         bounds, c = _bounds(table, 1), table.column(1).to_numpy()
@@ -274,18 +302,19 @@ def _exact_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             united = _Sets(len(found))
             for i in range(len(found)):
                 for j in range(i + 1, len(found)):
-                    if united.of(i) != united.of(j) and _linked(found[i], found[j]):
+                    if united.of(i) != united.of(j) and _linked(found[i], found[j], least):
                         united.join(i, j)
                         u.append(c[begin + i])
                         v.append(c[begin + j])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _exact_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact_blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Confirmed links of a block of unlinked classes with a block of all; columns ``cluster, block, other, side, c, linked, bits, set``.
 
     Classes linked with the centre are connected already.
     """
+    like = alike_from(least)
     for table in _runs(batches, 3):
         bounds, c = _bounds(table, 3), table.column(4).to_numpy()
         side, centred, sets = table.column(3).to_numpy(), table.column(5).to_numpy(), table.column(7)
@@ -298,18 +327,18 @@ def _exact_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             united = _Sets(len(names))
             place = {i: 0 if centred[i] else names[c[i]] for i in here.tolist()}
             for i in ours.tolist():
-                for j in others[_agreeing(bits[others], bits[i][None, :]) >= LIKE].tolist():
-                    if united.of(place[i]) != united.of(place[j]) and _linked(_as_set(sets[i]), _as_set(sets[j])):
+                for j in others[_agreeing(bits[others], bits[i][None, :]) >= like].tolist():
+                    if united.of(place[i]) != united.of(place[j]) and _linked(_as_set(sets[i]), _as_set(sets[j]), least):
                         united.join(place[i], place[j])
                         u.append(c[i])
                         v.append(c[j])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _to_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_centre(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Columns ``cluster, c, centre, set, centre_set`` to ``cluster, c, centre, linked``."""
     for batch in batches:
-        linked = [_linked(_as_set(a), _as_set(b)) for a, b in zip(batch.column(3), batch.column(4))]
+        linked = [_linked(_as_set(a), _as_set(b), least) for a, b in zip(batch.column(3), batch.column(4))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], ["cluster", "c", "centre", "linked"])
 
 
@@ -324,8 +353,10 @@ def _centres(members: DataFrame) -> DataFrame:
     return told.groupBy("cluster").agg(F.max_by("c", F.struct(agree.alias("agree"), (-F.col("c")).alias("c"))).alias("centre"))
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, key: str, text: str, group: int = GROUP) -> DataFrame:
-    """``(u, v)`` links of similar classes, enough to connect all that links connect; ``clusters`` has ``(c, cluster)``."""
+def confirmed_links(
+    docs: DataFrame, classes: DataFrame, clusters: DataFrame, key: str, text: str, group: int = GROUP, least: int = LEAST
+) -> DataFrame:
+    """``(u, v)`` links of classes of similarity ``least`` per cent and more, enough to connect all that links connect; ``clusters`` has ``(c, cluster)``."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     clusters = written_once(clusters.join(sizes, "cluster").select("c", "cluster", "size"))
 
@@ -338,7 +369,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, ke
     found = texts.select("cluster", "size", "c", _word_hashes(F.col("text")).alias("w"))
     sets = written_once(found.mapInArrow(run, "cluster bigint, size bigint, c bigint, set binary").where(F.length("set") > 0))
     little = sets.where(F.col("size") <= group).select("cluster", "c", "set")
-    links = little.repartition("cluster").sortWithinPartitions("cluster", "c").mapInArrow(_exact_groups, "u bigint, v bigint")
+    links = little.repartition("cluster").sortWithinPartitions("cluster", "c").mapInArrow(lambda batches: _exact_groups(batches, least), "u bigint, v bigint")
     great = clusters.where(F.col("size") > group)
     if great.isEmpty():
         return links
@@ -349,7 +380,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, ke
         centres.select("cluster", F.col("centre").alias("c")), ["cluster", "c"]
     ).select("cluster", F.col("c").alias("centre"), "centre_set")
     stars = great_sets.join(heart, "cluster").select("cluster", "c", "centre", "set", "centre_set")
-    stars = written_once(stars.mapInArrow(_to_centre, "cluster bigint, c bigint, centre bigint, linked boolean"))
+    stars = written_once(stars.mapInArrow(lambda batches: _to_centre(batches, least), "cluster bigint, c bigint, centre bigint, linked boolean"))
     links = links.unionByName(stars.where("linked and c <> centre").select(F.col("centre").alias("u"), F.col("c").alias("v")))
 
     # What is not linked with the centre is compared with everything, block by block.
@@ -365,18 +396,18 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, ke
         "cluster", F.explode(F.sequence(F.lit(0), few - 1)).alias("block"), own(many).alias("other"), F.lit(1).alias("side"), *carried
     )
     blocks = ours.unionByName(others).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "side", "c")
-    return links.unionByName(blocks.mapInArrow(_exact_blocks, "u bigint, v bigint"))
+    return links.unionByName(blocks.mapInArrow(lambda batches: _exact_blocks(batches, least), "u bigint, v bigint"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` of every row; ids are integers."""
     signed = written_once(signatures(docs, key, text))
     alike = ["k1", "k2", "n_shingles"]
     present = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = present.groupBy(*alike).agg(F.min("id").cast("bigint").alias("c"), F.any_value("tokens").alias("tokens"), F.any_value("bits").alias("bits"))
     classes = written_once(classes)
-    clusters = components(candidate_links(classes)).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
-    links = confirmed_links(docs, classes, written_once(clusters), key, text)
+    clusters = components(candidate_links(classes, least)).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    links = confirmed_links(docs, classes, written_once(clusters), key, text, least=least)
     found = components(links)
     of_class = classes.select(*alike, "c").join(found.select(F.col("node").alias("c"), "component"), "c", "left")
     of_class = of_class.select(*alike, F.coalesce("component", "c").alias("component"))
@@ -386,7 +417,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select("*", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, with all their columns."""
-    gone = near_duplicates(docs, key, text).where(~F.col("kept")).select(key).distinct()
+    gone = near_duplicates(docs, key, text, least).where(~F.col("kept")).select(key).distinct()
     return docs.join(gone, key, "left_anti")

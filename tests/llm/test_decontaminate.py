@@ -84,3 +84,32 @@ def test_latent_space_spans_the_strongest_directions(spark):
     alike = vectors @ vectors.T
     same = np.equal.outer(found.owner % 3, found.owner % 3)
     assert alike[same].mean() > alike[~same].mean() + 0.05
+
+
+def _planted(seed, sizes, changed):
+    """Items, documents that hold one each with a share of its words replaced and its answer kept, and the pairs."""
+    rng, items, docs = random.Random(seed), [], []
+    for i, n in enumerate(sizes):
+        words = H.prose(7000 + 100 * seed + i, n).split()
+        items.append((i, " ".join(words)))
+        for at in rng.sample(range(max(0, n - X.ANSWER)), int(n * changed)):
+            words[at] = f"other{at}"
+        docs.append((i, H.prose(20_000 + 100 * seed + i, 300) + " " + " ".join(words) + " " + H.prose(30_000 + 100 * seed + i, 200)))
+    return items, docs
+
+
+def _pairs(spark, items, docs, **more):
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in X.leaks(docs, benchmark, **more).collect()}
+
+
+def test_every_item_with_its_answer_is_found_with_two_fifths_replaced(spark):
+    rng = random.Random(8)
+    items, docs = _planted(1, [rng.randint(15, 60) for _ in range(80)], 0.4)
+    assert {(i, i) for i, _ in items} <= _pairs(spark, items, docs)
+
+
+def test_short_exact_passages_are_found_without_a_cosine(spark):
+    items, docs = _planted(2, [4, 5, 6, 7, 8, 9, 10, 12] * 5, 0.0)
+    assert {(i, i) for i, _ in items} <= _pairs(spark, items, docs, cosine=2.0)  # no window reaches it

@@ -4,7 +4,9 @@ Texts are cut into windows of two blocks of words, each window a TF-IDF vector o
 value decomposition of all windows (one pass: the Gram matrix times a random matrix, then Nyström's formula) gives a
 latent space whose directions are scaled to equal variance. Windows whose cosine with a window of a benchmark item
 reaches ``COSINE`` are candidates; of these, windows stay that hold ``CONTAINED`` of the weight of the item window's
-words. A candidate is a leak if the longest common subsequence of the item and the words
+words. Windows that share a run of ``RUN`` words with an item are candidates without a cosine or a weight, so an item whose
+answer stands in a document is always compared, and so is one of which up to a quarter of the words were replaced or left
+out: what is left of it holds such a run (two words for items of up to ``SHORT`` words). A candidate is a leak if the longest common subsequence of the item and the words
 around the window covers ``SURE`` of the item, or ``LIKELY`` of it while the item's answer, its last words, stands
 there.
 
@@ -33,13 +35,15 @@ from tributary.session import written_once
 
 BLOCK = 16  # words; a window is two blocks
 FEATURES = 4096  # a power of two
-RANK = 48
+RANK = 64
 COMMON = 8
 COSINE = 0.5  # of the cosine that a window reaches which holds the item window whole
 CONTAINED = 0.4  # of an item window's weight that a candidate window must hold
 SURE, LIKELY = 0.75, 0.55
 ANSWER = 3  # last words of an item
-STEP = 8  # words between an item's windows
+STEP = 4  # words between an item's windows
+RUN, SHORT = 3, 8
+SLOTS = 1 << 20  # of the table that runs are looked up in first
 ITEM_WORDS = 100_000  # words of items that are searched for at once
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -269,6 +273,61 @@ def _windows(items: list[Item], space: np.ndarray, idf: np.ndarray, cosine: floa
     return Asked(block, np.array(owner), np.array(holds), np.array(weight, "f4"), bound.astype("f4"))
 
 
+def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code of each run of ``size`` words."""
+    total = np.full(max(0, len(codes) - size + 1), size, dtype="u8")
+    for i in range(size if len(total) else 0):
+        total = (total + codes[i : len(total) + i].view("u4")) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(32)
+    return total
+
+
+@dataclass(frozen=True)
+class Runs:
+    """The runs of one size of the items: their codes in order, the items of each, and a table of slots they take."""
+
+    size: int
+    codes: np.ndarray
+    begins: np.ndarray
+    items: np.ndarray
+    taken: np.ndarray
+
+
+def item_runs(items: list[tuple[int, ...]]) -> list[Runs]:
+    by_size: dict[int, set[tuple[int, int]]] = {}
+    for number, words in enumerate(items):
+        size = RUN if len(words) > SHORT else min(2, len(words))
+        runs = run_codes(np.array(words, "i4"), size)
+        by_size.setdefault(size, set()).update((code, number) for code in runs.tolist())
+    out = []
+    for size, pairs in sorted(by_size.items()):
+        ordered = sorted(pairs)
+        codes, begins = np.unique(np.array([c for c, _ in ordered], "u8"), return_index=True)
+        taken = np.zeros(SLOTS, bool)
+        taken[codes & np.uint64(SLOTS - 1)] = True
+        out.append(Runs(size, codes, np.append(begins, len(ordered)), np.array([i for _, i in ordered]), taken))
+    return out
+
+
+def shared_runs(found: Cut, codes: np.ndarray, ends: np.ndarray, runs: list[Runs]) -> set[tuple[int, int]]:
+    """``(window, item)`` pairs of the windows whose text shares a run with an item there."""
+    pairs: set[tuple[int, int]] = set()
+    for asked in runs:
+        here = run_codes(codes, asked.size)
+        at = np.flatnonzero(np.take(asked.taken, (here & np.uint64(SLOTS - 1)).view("i8")))
+        place = np.minimum(np.searchsorted(asked.codes, here[at]), len(asked.codes) - 1)
+        same = asked.codes[place] == here[at]
+        at, place = at[same], place[same]
+        block = np.searchsorted(found.starts, at, side="right") - 1
+        window = np.searchsorted(found.left, block, side="right") - 1  # a text's last block is in the window before
+        inside = at + asked.size <= ends[found.owner[window] + 1]
+        window, place = window[inside], place[inside]
+        each = np.unique(np.stack([window, place], axis=1), axis=0)
+        for w, p in each.tolist():
+            pairs.update((w, i) for i in asked.items[asked.begins[p] : asked.begins[p + 1]].tolist())
+    return pairs
+
+
 def candidates(found: Cut, space: np.ndarray, asked: Asked, idf: np.ndarray, step: int = 4096) -> list[tuple[int, int]]:
     """``(window, item)`` pairs whose cosine reaches the bound and whose window holds enough of the item window's weight."""
     sums = _window_sums(found, space)
@@ -299,10 +358,12 @@ def _search(coded: DataFrame, items: list[Item], space: np.ndarray, idf: np.ndar
     """``(id, item, share, first, last, answered)`` of every leak of these items; ``item`` is a place in the list."""
     asked = _windows(items, space, idf, cosine)
     windows = (asked.vectors, asked.owner, asked.holds, asked.weight, asked.bound)
-    sent = coded.sparkSession.sparkContext.broadcast((*windows, space, [i.words for i in items]))
+    words = [i.words for i in items]
+    sent = coded.sparkSession.sparkContext.broadcast((*windows, space, words, item_runs(words)))
+    latent = bool(space.any())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *windows, space, words = sent.value
+        *windows, space, words, runs = sent.value
         asked = Asked(*windows)
         masks = [Item(None, w).masks() for w in words]
         for batch in batches:
@@ -312,7 +373,10 @@ def _search(coded: DataFrame, items: list[Item], space: np.ndarray, idf: np.ndar
                     continue
                 found = cut(codes, ends, idf)
                 best: dict[tuple[int, int], tuple] = {}
-                for window, item in candidates(found, space, asked, idf):
+                pairs = shared_runs(found, codes, ends, runs)
+                if latent:
+                    pairs.update(candidates(found, space, asked, idf))
+                for window, item in sorted(pairs):
                     text = int(found.owner[window])
                     n = len(words[item])
                     low = max(0, int(found.first[window]) - n)
@@ -355,7 +419,7 @@ def leaks(
     found = spark.createDataFrame(
         [], f"{key} {id_kind.simpleString()}, {item} {item_kind.simpleString()}, share double, first int, last int, answered boolean"
     )
-    for block in range(blocks if space.any() else 0):
+    for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(blocks)) == block).orderBy("item_id", "w").collect()
         items = [Item(r["item_id"], tuple(r["w"])) for r in rows]
         if not items:

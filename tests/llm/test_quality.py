@@ -75,3 +75,16 @@ def test_held_out_rows_are_not_learned_from(spark):
     used = quality_ranking.learning_rows(labels)
     assert used.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).count() == 0
     assert 0 < used.count() < labels.count()
+
+
+def test_the_bound_covers_all_labelled_rows(spark):
+    """Also where the weights are fitted on a few of them."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    ranking = quality_ranking.fit(docs, labels, sample=20)
+    scored = quality_ranking.described(docs).select("doc_id", ranking.total(F.col("x")).alias("s")).join(labels, "doc_id")
+    rows = scored.select("s", "quality").collect()
+    scores, bad = sorted(r["s"] for r in rows), sum(r["quality"] == 0 for r in rows)
+    assert len(rows) > 40 and 0 < bad < len(rows)
+    assert ranking.bound == (scores[bad - 1] + scores[bad]) / 2

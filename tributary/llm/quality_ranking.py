@@ -5,8 +5,9 @@ logistic function of the difference of their scores, so the weights minimise the
 features. Documents are accepted from a quantile of the scores on, the share of bad labels.
 
 Features are shares and logarithms of counts of the text alone, built-in expressions over one row; scoring shuffles
-nothing. The fit takes at most ``SAMPLE`` labelled rows of each label, those first by hash, so its cost on the
-driver is bounded; the counts behind the quantile cover all labels.
+nothing. The weights are fitted on at most ``SAMPLE`` labelled rows of each label, those first by hash, so the cost on the
+driver is bounded. The bound is the exact quantile of the scores of all labelled rows that have a document; only their
+ids and scores are shuffled.
 
 Null texts count as empty and get a score like any text. Each input row gives one output row, repeated rows and null
 ids included; further columns are not looked at. Label rows with null fields are left out; a document labelled twice
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tributary.llm import columns as C
 from tributary.llm.quality_rules import STOP_WORDS
+from tributary.operators import stats
+from tributary.session import written_once
 
 SAMPLE = 8_000
 OPPONENTS = 8  # bad documents each good one meets, and the other way round
@@ -66,10 +69,13 @@ class Ranking:
     bound: float
     accept: float = 0.3
 
+    def total(self, x: Column) -> Column:
+        """The weighted sum of the features."""
+        return sum((F.get(x, F.lit(i)) * w for i, w in enumerate(self.weights)), F.lit(0.0))
+
     def score(self, x: Column) -> Column:
         """0 to 1; ``accept`` at the bound."""
-        total = sum((F.get(x, F.lit(i)) * w for i, w in enumerate(self.weights)), F.lit(0.0))
-        return 1 / (1 + F.exp(-(total - self.bound + float(np.log(self.accept / (1 - self.accept))))))
+        return 1 / (1 + F.exp(-(self.total(x) - self.bound + float(np.log(self.accept / (1 - self.accept))))))
 
 
 def fit_pairs(good: np.ndarray, bad: np.ndarray, opponents: int = OPPONENTS, penalty: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -102,6 +108,16 @@ def quantile_bound(scores: np.ndarray, weights: np.ndarray, share: float) -> flo
     return float((scores[k - 1] + scores[k]) / 2) if k else float(scores[0])
 
 
+def bound_of_all(scored: DataFrame) -> float:
+    """The value with the share of rows labelled bad below it, half-way between its neighbours; ``scored`` has ``(y, s)``
+    with both labels and is read several times."""
+    counts = {r["y"]: r["n"] for r in scored.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    n = counts[0] + counts[1]
+    around = [(counts[0] - 0.5) / n, (counts[0] + 0.5) / n]  # the ranks counts[0] - 1 and counts[0]
+    rows = stats.order_statistics(scored.withColumn("g", F.lit(0)), "g", "s", around).collect()
+    return sum(r["s"] for r in rows) / 2
+
+
 def learning_rows(labels: DataFrame, key: str = "doc_id", folds: int = 5, held_out: int = 0) -> DataFrame:
     """Label rows that may be learned from."""
     return labels.where(F.crc32(F.col(key).cast("string").cast("binary")) % folds != held_out)
@@ -129,9 +145,11 @@ def fit(
     if not (y == 0).any() or not (y == 1).any():
         return Ranking((0.0,) * n, 0.0)
     w = fit_pairs(x[y == 1], x[y == 0])
-    weight = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
-    bound = quantile_bound(x @ w, weight, totals[0] / (totals[0] + totals[1]))
-    return Ranking(tuple(float(v) for v in w), bound)
+    weights = tuple(float(v) for v in w)
+    # Texts are scored before the join, so that none is shuffled.
+    totalled = described(docs, key, text).select(key, Ranking(weights, 0.0).total(F.col("x")).alias("s"))
+    bound = bound_of_all(written_once(totalled.join(named, key).select("y", "s")))
+    return Ranking(weights, bound)
 
 
 def ranked(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -171,3 +171,9 @@ def test_generation(spark):
     assert tuples(df.select(embedding.generate_column(F.col("prompt"), shout))) == [("P1",), ("P2",)]
     assert tuples(df.select(embedding.generate_column(F.col("prompt"), None))) == [("",), ("",)]
     assert "offline" in df.select(embedding.generate_column(F.col("prompt"), embedding.offline_answers)).first()[0]
+
+
+def test_more_cells_than_allowed_are_refused(spark, corpus, monkeypatch):
+    monkeypatch.setattr(ivf, "MAX_CELLS", 3)
+    with pytest.raises(ValueError, match="cells must be"):
+        ivf.around(frame(spark, corpus), np.eye(4, len(corpus[0])))

@@ -113,6 +113,8 @@ def build(corpus: DataFrame, cells: int, seed: int = 42, iterations: int = 10) -
 
 def around(corpus: DataFrame, centroids: np.ndarray) -> IvfIndex:
     """Cells around given centroids, one row each."""
+    if not 1 <= len(centroids) <= MAX_CELLS:
+        raise ValueError(f"cells must be 1..{MAX_CELLS}")
     unit = _unit(np.asarray(centroids, dtype="float64"))
     return IvfIndex(corpus.select("id", "emb", _nearest_cells(F.col("emb"), unit, 1)[0].alias("cell")), unit)
 
@@ -124,7 +126,7 @@ def stored(index: IvfIndex, path: str) -> IvfIndex:
 
 
 def load(spark: SparkSession, path: str) -> IvfIndex:
-    table = spark.read.parquet(f"{path}/centroids").orderBy("cell").limit(MAX_CELLS).collect()
+    table = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     return IvfIndex(spark.read.parquet(f"{path}/rows"), np.array([row.centroid for row in table]))
 
 

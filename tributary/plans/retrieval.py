@@ -75,7 +75,7 @@ def _query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits from the three of the cells around the label means that lie nearest to each query."""
-    means = inputs.label_centroids(spark, sf_dir).orderBy("query_id").limit(ivf.MAX_CELLS).collect()
+    means = inputs.label_centroids(spark, sf_dir).orderBy("query_id").collect()
     index = _index(spark, ivf.around(inputs.stored_vectors(spark, sf_dir), [r["emb"] for r in means]))
     return index.search(_query_set(spark, sf_dir), 10, probes=3)
 

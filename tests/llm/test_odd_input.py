@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers as H
-from tributary.llm import bpe, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules, token_counts
 
 
 def _labels(spark, docs):
@@ -30,9 +30,10 @@ OPERATORS = {
     "private": lambda s, d: private_data.find(d),
     "masked": lambda s, d: private_data.masked(d),
     "near": lambda s, d: near_dup.near_duplicates(d),
+    "counts": lambda s, d: token_counts.counted(d, public_tokenizers.path("byte_bpe_50k.json")),
     "copies": lambda s, d: near_dup.without_copies(d),
 }
-ROW_BY_ROW = ["rules", "lines", "bpe", "lm", "ranking", "private", "masked", "near"]
+ROW_BY_ROW = ["rules", "lines", "bpe", "lm", "ranking", "private", "masked", "near", "counts"]
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -65,6 +66,8 @@ def test_defined_results_of_empty_texts(spark):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (0, r["doc_id"], True)
     vocabulary = bpe.with_lexicon(docs, public_tokenizers.path("word_bpe_49k.json"))
     assert {r["n_tokens"] for r in bpe.digests(docs, vocabulary).collect()} == {0}
+    for r in token_counts.counted(docs, public_tokenizers.path("byte_bpe_50k.json")).collect():
+        assert (r["n_bytes"] > 0, r["n_tokens"] > 0, r["over_limit"]) == (r["doc_id"] == 3, r["doc_id"] == 3, False)
     for r in lattice_lm.scores(docs, public_tokenizers.path("piece_bpe_32k.model")).collect():
         assert r["n_tokens"] == 1
     for r in quality_ranking.ranked(docs, quality_ranking.fit(docs, _labels(spark, docs).limit(0))).collect():

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules
+from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_ranking": op8_quality_ranking,
     "op9_private_data": op9_private_data,
     "op10_near_dup": op10_near_dup,
+    "op11_token_counts": op11_token_counts,
 }
 
 SQL: dict[str, str] = {

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules, token_counts
+from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules, source_divergence, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_quality_rules": op2_quality_rules,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op9_private_data": op9_private_data,
     "op10_near_dup": op10_near_dup,
     "op11_token_counts": op11_token_counts,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -118,4 +123,39 @@ SQL: dict[str, str] = {
         SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
             count(*) AS lines_in, count(*) FILTER (WHERE gone) AS lines_removed FROM told GROUP BY doc_id
     """,
+    "op13_source_divergence": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS n_row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), found AS (
+            SELECT n_row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+        ), kept AS (
+            SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT n_row) >= {source_divergence.LEAST_DOCS}
+        ), counted AS (
+            SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+        ), size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), g AS (SELECT DISTINCT lang, source FROM d
+        ), total AS (
+            SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN counted USING (lang, source) GROUP BY lang, source
+        ), shares AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v)::HUGEINT AS p
+            FROM total JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+        ), whole AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)::HUGEINT) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * any_value(v))::HUGEINT AS q
+            FROM counted JOIN size USING (lang) GROUP BY lang, term
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), both_parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts
+        )
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP}
+    """,
 }

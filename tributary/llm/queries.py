@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, private_data, quality_ranking, quality_rules, source_divergence, token_counts
+from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, prefix_trie, private_data, quality_ranking, quality_rules, source_divergence, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(documents(spark, sf_dir))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op9_private_data": op9_private_data,
     "op10_near_dup": op10_near_dup,
     "op11_token_counts": op11_token_counts,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -123,6 +128,42 @@ SQL: dict[str, str] = {
         SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
             count(*) AS lines_in, count(*) FILTER (WHERE gone) AS lines_removed FROM told GROUP BY doc_id
     """,
+    "op12_prefix_trie": """
+        WITH RECURSIVE turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), lengths AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id
+        ), crc(conv_id, step, v) AS (
+            SELECT conv_id, 0, 4294967295::BIGINT FROM lengths
+            UNION ALL
+            SELECT conv_id, step + 1, xor(x >> 1, 3988292384 * (x & 1)) FROM (
+                SELECT conv_id, step, CASE WHEN step % 8 = 0 THEN xor(v, ascii(substr(conv_id::VARCHAR, step // 8 + 1, 1))::BIGINT) ELSE v END AS x
+                FROM crc WHERE step < 8 * length(conv_id::VARCHAR)
+            )
+        ), taken AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS head, xor(v, 4294967295) % 9 AS h FROM crc WHERE step = 8 * length(conv_id::VARCHAR)
+        ), rebuilt AS (
+            SELECT p.conv_id, 0 AS own, pos, role, text FROM taken p JOIN turns t ON t.conv_id = p.head AND pos <= h
+            UNION ALL
+            SELECT p.conv_id, 1, pos, role, text FROM taken p JOIN turns t ON t.conv_id = p.conv_id AND pos > h
+        ), listed AS (
+            SELECT conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY own, pos) FILTER (WHERE pos IS NOT NULL), []) AS turns
+            FROM lengths LEFT JOIN rebuilt r USING (conv_id) GROUP BY conv_id
+        ), member AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS path FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM listed)
+        ), node AS (
+            SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends,
+                coalesce(octet_length(encode(path[d].text)), 0) AS size FROM member GROUP BY path, d
+        ), told AS (
+            SELECT v.*, (SELECT count(*) FROM node c WHERE c.d = v.d + 1 AND c.path[1:v.d] = v.path) AS n_children FROM node v
+        )
+        SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, s.n_leaves, s.saved_tokens,
+            sha256(coalesce(v.ends, '')) AS ends_sha256
+        FROM told v LEFT JOIN node p ON p.d = v.d - 1 AND p.path = v.path[1:v.d - 1]
+        JOIN (
+            SELECT a.path, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.size)::BIGINT AS saved_tokens
+            FROM told a JOIN told b ON b.d >= a.d AND b.path[1:a.d] = a.path GROUP BY a.path, a.d
+        ) s ON s.path = v.path AND s.d = v.d
+    """,
     "op13_source_divergence": f"""
         WITH d AS (
             SELECT row_number() OVER () AS n_row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

@@ -122,7 +122,7 @@ def nearest(
         taken = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
         found = _score(corpus, taken, queries.schema["query_id"].dataType, k, cells)
         local = found if local is None else local.unionByName(found)
-    return _rank(local, k)
+    return ranked(local, k)
 
 
 def _score(corpus: DataFrame, taken: pa.Table, id_type: T.DataType, k: int, cells: int | None) -> DataFrame:
@@ -148,7 +148,7 @@ def _score(corpus: DataFrame, taken: pa.Table, id_type: T.DataType, k: int, cell
     return rows.mapInArrow(_scorer(names, _matrix(taken.column("emb"), None), probes, k), shape)
 
 
-def _rank(local: DataFrame, k: int) -> DataFrame:
+def ranked(local: DataFrame, k: int) -> DataFrame:
     """Global top-k of task-local top-k rows: first in spread groups, as every task may have found k for each query."""
     order = [F.asc("dist"), F.asc("id")]
     some = Window.partitionBy("query_id", "_part").orderBy(*order)

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm import helpers as H
-from tributary.llm import bpe, lexicon, queries
+from tributary.llm import bpe, columns, lexicon, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -41,6 +41,32 @@ def test_random_texts(library, encoder):
         assert encoder.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_character(library, encoder):
+    texts = [f"a{chr(p)}b1{chr(p)} {chr(p)}{chr(p)}" for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i : i + 50_000]
+        for text, want in zip(part, library.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids, text
+
+
+def test_forgotten_words_change_nothing(library, encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    text = H.prose(6, 400)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_most_frequent_is_cut_at_a_count(spark):
+    rows = [(f"w{i}", n) for i, n in enumerate([5, 5, 5, 7, 300, 301, 100_000, 2**40, 1, 1])]
+    df = spark.createDataFrame(rows, "word string, n bigint").repartition(3)
+
+    def kept(most):
+        return sorted(r["n"] for r in columns.most_frequent(df, "n", most).collect())
+
+    assert kept(0) == [] and kept(1) == [2**40] and kept(3) == [100_000, 2**40] and kept(4) == [300, 301, 100_000, 2**40]
+    assert kept(5) == [7, 300, 301, 100_000, 2**40] == kept(7) and kept(8)[:3] == [5, 5, 5] and len(kept(10)) == 10
+    assert columns.most_frequent(df.limit(0), "n", 5).collect() == []
+
+
 def test_long_words_take_the_heap(library, encoder):
     rng = random.Random(7)
     for n in (49, 200, 20_000):

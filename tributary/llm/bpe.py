@@ -20,7 +20,6 @@ import json
 import os
 import re
 import struct
-import sys
 import unicodedata
 import uuid
 from collections import Counter
@@ -32,37 +31,21 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm import characters, lexicon
 from tributary.llm import columns as C
-from tributary.llm import lexicon
+from tributary.session import written_once
 
-FREQUENT = 100_000  # words in the lexicon
-REMEMBERED = 120_000  # words whose ids a worker keeps at hand
+FREQUENT = 100_000  # words in the lexicon at most
+PART = 500  # texts that are encoded and decoded before they leave the worker
+REMEMBERED = 50_000  # words besides the lexicon's whose ids a worker keeps at hand
 
-# What the supported files say of white space, and their pattern of words.
-_WHITE = "\t\n\x0b\x0c\r\x85  "
+# The supported files' pattern of words, and the same for sets of characters with letters first.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-
-def _ranges(categories: str, end: int) -> str:
-    """The characters below ``end`` of the general categories that begin with one of the letters, for a set in a pattern."""
-    found, start = [], None
-    for point in range(end + 1):
-        inside = point < end and unicodedata.category(chr(point))[0] in categories
-        if inside and start is None:
-            start = point
-        elif not inside and start is not None:
-            found.append(f"\\U{start:08x}-\\U{point - 1:08x}")
-            start = None
-    return "".join(found)
-
-
-def word_pattern(end: int = sys.maxunicode + 1) -> re.Pattern:
-    """The pattern of words, for texts of characters below ``end``: sets of few characters are looked up faster."""
-    letters, numbers = _ranges("L", end), _ranges("N", end)
-    white = "".join(f"\\U{ord(c):08x}" for c in _WHITE) + "".join(
-        f"\\U{p:08x}" for p in range(0x3001) if unicodedata.category(chr(p)) == "Zs"
-    )
-    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{white}{letters}{numbers}]+")
+_RULE = r"[<L>]+|'(?:s|t|re|ve|m|ll|d)|[<N>]|[^<S><L><N>]+"
+# Lower case of the letters that came with Unicode 16 and 17, for older tables.
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+_LOWER |= {p: p + 0x20 for p in range(0x10D50, 0x10D66)} | {p: p + 0x1B for p in range(0x16EA0, 0x16EB9)}
+_NEWER = re.compile(f"[{''.join(map(chr, _LOWER))}]")
 
 
 def byte_letters() -> list[str]:
@@ -95,10 +78,15 @@ def read_vocabulary(path: str) -> dict:
     )
     if not told:
         raise ValueError(f"{path} has steps that are not supported")
-    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    vocab, ends = model["vocab"], model["end_of_word_suffix"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     return {
-        "vocab": model["vocab"],
-        "merges": merges,
+        "vocab": vocab,
+        "letters": [vocab[letter] for letter in byte_letters()],
+        "endings": [vocab[letter + ends] for letter in byte_letters()],
+        "ranks": {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)},
+        "made": [vocab[a + b] for a, b in merges],
+        "words": characters.patterns(_RULE),
         "added": {a["content"]: a["id"] for a in data["added_tokens"]},
     }
 
@@ -107,16 +95,15 @@ class Encoder:
     """Encodes and decodes in one process. ``words`` is a lexicon or None."""
 
     def __init__(self, data: dict, words: lexicon.Lexicon | None = None):
-        self.vocab, self.added = data["vocab"], data["added"]
-        self.ranks = {pair: rank for rank, pair in enumerate(data["merges"])}
+        self.added = data["added"]
+        self.ranks, self.made, self.letters, self.endings = data["ranks"], data["made"], data["letters"], data["endings"]
         self.words = words
-        self.letters = byte_letters()
-        self.find = [word_pattern(end).findall for end in (0x80, 0x10000, sys.maxunicode + 1)]
+        self.find = [re.compile(rule).findall for rule in data["words"]]
         specials = "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True))
         self.specials = re.compile(f"({specials})") if specials else None
-        size = max([*self.vocab.values(), *self.added.values()]) + 1
-        self.tokens = [""] * size
-        for token, number in [*self.vocab.items(), *self.added.items()]:
+        named = data["vocab"] | self.added
+        self.tokens = [""] * (max(named.values()) + 1)
+        for token, number in named.items():
             self.tokens[number] = token
         self.known = _Known(self)
 
@@ -125,55 +112,49 @@ class Encoder:
         if text.isascii():
             return self.find[0](text.lower())
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a letter's lower case does not hang on its place
-        return self.find[1 if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else 2](text)
+        if _NEWER.search(text):
+            text = text.translate(_LOWER)
+        return self.find[characters.narrowest(text)](text)
 
     def merged(self, word: str) -> list[int]:
         """The ids of a word by merging the pair of lowest rank, the leftmost of equals, until none is left."""
-        if word.isascii() and word.isprintable():
-            symbols = list(word)  # these characters stand for themselves
-        else:
-            symbols = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        symbols[-1] += "</w>"
-        if len(symbols) <= 48:
-            rank, none = self.ranks.get, len(self.ranks)
-            ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
-            while ranks:
-                least = min(ranks)
-                if least == none:
-                    break
-                at = ranks.index(least)
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-                del ranks[at]
-                if at:
-                    ranks[at - 1] = rank((symbols[at - 1], symbols[at]), none)
-                if at < len(ranks):
-                    ranks[at] = rank((symbols[at], symbols[at + 1]), none)
-        else:
-            symbols = self._long(symbols)
-        vocab = self.vocab
-        return [vocab[s] for s in symbols if s in vocab]
-
-    def _long(self, symbols: list) -> list[str]:
-        """The same for many symbols, with the pairs in a heap."""
-        n = len(symbols)
+        code = word.encode("utf-8", "replace")
+        letters = self.letters
+        symbols = [letters[b] for b in code]
+        symbols[-1] = self.endings[code[-1]]
+        if len(symbols) > 48:
+            return self._long(symbols)
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
+            new = symbols[at] = made[least]
+            del symbols[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank(symbols[at - 1] << 32 | new, none)
+            if at < len(ranks):
+                ranks[at] = rank(new << 32 | symbols[at + 1], none)
+        return symbols
+
+    def _long(self, symbols: list[int]) -> list[int]:
+        """The same for many symbols, with the pairs in a heap. A merged symbol's second place becomes -1."""
+        n, rank, made = len(symbols), self.ranks.get, self.made
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := rank(symbols[i] << 32 | symbols[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            least, i = heapq.heappop(heap)
             j = after[i]
-            if j < 0 or symbols[i] != a or symbols[j] != b:
+            if j < 0 or symbols[i] < 0 or rank(symbols[i] << 32 | symbols[j]) != least:
                 continue
-            symbols[i], symbols[j] = a + b, None
+            symbols[i], symbols[j] = made[least], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) >= 0:
-                    r = self.ranks.get((symbols[left], symbols[right]))
-                    if r is not None:
-                        heapq.heappush(heap, (r, left, symbols[left], symbols[right]))
-        return [s for s in symbols if s is not None]
+                if left >= 0 and (right := after[left]) >= 0 and (r := rank(symbols[left] << 32 | symbols[right])) is not None:
+                    heapq.heappush(heap, (r, left))
+        return [s for s in symbols if s >= 0]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -194,20 +175,25 @@ class Encoder:
 
 
 class _Known(dict):
-    """Word to ids, remembered while there is room."""
+    """Word to ids: the lexicon's words as they come, others while there is room."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.frequent: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) >= len(self.frequent) + REMEMBERED:
+            self.clear()
+            self.update(self.frequent)
         words = self.encoder.words
         ids = words.ids(word.encode("utf-8", "replace")) if words is not None else None
         if ids is None:
             ids = struct.pack(f"<{len(merged := self.encoder.merged(word))}I", *merged)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
+        else:
+            self.frequent[word] = ids
+        if len(word) <= 64:
+            self[word] = ids
         return ids
 
 
@@ -256,7 +242,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 
 
 def with_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT, text: str = "text") -> Vocabulary:
-    """The vocabulary of ``path`` with a lexicon of the ``frequent`` most frequent words of ``docs``."""
+    """The vocabulary of ``path`` with a lexicon of at most ``frequent`` words, the most frequent of ``docs``."""
     context = docs.sparkSession.sparkContext
     plain = Vocabulary(context.broadcast(read_vocabulary(path)), None)
 
@@ -268,8 +254,8 @@ def with_lexicon(docs: DataFrame, path: str, frequent: int = FREQUENT, text: str
                 [pa.array(words, pa.string()), pa.array([merged(w) for w in words], pa.list_(pa.int32()))], ["word", "ids"]
             )
 
-    counted = word_counts(docs, plain, text).where("n > 1 and length(word) <= 64")
-    top = counted.orderBy(F.desc("n"), "word").limit(frequent).select("word").mapInArrow(encode, "word string, ids array<int>")
+    counted = written_once(word_counts(docs, plain, text).where("n > 1 and length(word) <= 64"))
+    top = C.most_frequent(counted, "n", frequent).select("word").mapInArrow(encode, "word string, ids array<int>")
     words = {r["word"]: r["ids"] for r in top.collect()}  # at most ``frequent`` words
     if not words:
         return plain
@@ -296,23 +282,40 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text:
     return rows.mapInArrow(run, rows.select(key, F.lit(b"").alias("ids")).schema)
 
 
+def _tokens(coded: pa.Array, decode) -> pa.Array:
+    return pa.array([decode(v.as_py() or b"") for v in coded], pa.string())
+
+
 def decoded(coded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``(key, ids, text)``: the ids and their tokens joined by spaces. Null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = vocabulary.encoder().decode
         for batch in batches:
-            texts = pa.array([decode(v.as_py() or b"") for v in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], [key, "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _tokens(batch.column(1), decode)], [key, "ids", "text"])
 
     rows = coded.select(F.col(key), F.col(ids).alias("ids"))
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias("text")).schema)
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, ids, text)``, encoded and decoded again in one worker a task: two workers would hold two encoders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = vocabulary.encoder()
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                ids = pa.array([encoder.encode(t) for t in _texts(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _tokens(ids, encoder.decode)], [key, "ids", "text"])
+
+    rows = docs.select(F.col(key), C.whole(text).alias("t"))
+    return rows.mapInArrow(run, rows.select(key, F.lit(b"").alias("ids"), F.lit("").alias("text")).schema)
+
+
 def digests(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)`` of every row, encoded and decoded again."""
-    both = decoded(encoded(docs, vocabulary, key, text), vocabulary, key)
-    return both.select(
+    return round_trip(docs, vocabulary, key, text).select(
         key,
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

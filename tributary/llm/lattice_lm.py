@@ -262,7 +262,7 @@ def scores(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     model = fitted(counts, ends, read_pieces(path))
-    top = counts.orderBy(F.desc("every"), "word").limit(hot)
+    top = C.most_frequent(counts, "every", hot)
     divisor = float(total + distinct + 1)
     often = {r["word"]: (r["c"] > 0, math.log10((r["c"] + 1) / divisor), r["log"] / math.log(10)) for r in _scored(top, model).collect()}
     # Words as bytes: a split of bytes is at space and U+0009 to U+000D, and their lower case changes A-Z alone.

@@ -107,17 +107,27 @@ class Lexicon:
         take(arcs, "B")
         self._flags = take(states, "B")
         self.states, self.words = states, words
+        self._begun: dict[bytes, tuple[int, int] | None] = {}  # states after beginnings of three bytes, 2^24 at most
 
     def ids(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers; None for a word that is not in the file."""
-        first, targets, before, find = self._first, self._targets, self._before, self._map.find
-        state, number, at = self._root, 0, self._labels_at
+        begin = word[:3]
+        if begin not in self._begun:
+            self._begun[begin] = self._after(begin, self._root, 0)
+        reached = self._begun[begin]
+        reached = reached and self._after(word[3:], *reached)
+        if reached is None or not self._flags[reached[0]]:
+            return None
+        number = reached[1]
+        return bytes(self._ids[4 * self._ends[number] : 4 * self._ends[number + 1]])
+
+    def _after(self, word: bytes, state: int, number: int) -> tuple[int, int] | None:
+        """The state that the bytes lead to and the number of words passed; None where no arc fits."""
+        first, targets, before, find, at = self._first, self._targets, self._before, self._map.find, self._labels_at
         for label in word:
             arc = find(label.to_bytes(), at + first[state], at + first[state + 1])  # a state's arcs lie together
             if arc < 0:
                 return None
             number += before[arc - at]
             state = targets[arc - at]
-        if not self._flags[state]:
-            return None
-        return bytes(self._ids[4 * self._ends[number] : 4 * self._ends[number + 1]])
+        return state, number

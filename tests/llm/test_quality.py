@@ -70,6 +70,33 @@ def test_pairs_recover_an_order():
     assert quality_ranking.quantile_bound(np.array([1.0, 2.0, 3.0, 4.0]), np.ones(4), 0.5) == 2.5
 
 
+def test_weights_and_scores_in_plain_numpy(spark):
+    """The gradient of the mean logistic loss over the pairs is 0 at the weights; scores are the logistic function."""
+    docs = H.corpus(spark, "documents")
+    labels = H.corpus(spark, "labels").where("quality in (0, 1)")
+    found = {r["doc_id"]: r["x"] for r in quality_ranking.described(docs).collect()}
+    rows = sorted((r["quality"], found[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in found)
+    y, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    ranking = quality_ranking.fit(docs, labels)
+    good, bad = x[y == 1], x[y == 0]
+    scale = np.concatenate([good, bad]).std(axis=0)
+    scale[scale == 0] = 1
+    rng = np.random.default_rng(8)
+    pairs = [(g, bad[k]) for _ in range(quality_ranking.OPPONENTS) for g, k in zip(good, rng.integers(0, len(bad), len(good)))]
+    pairs += [(good[k], b) for _ in range(quality_ranking.OPPONENTS) for b, k in zip(bad, rng.integers(0, len(good), len(bad)))]
+    w = np.array(ranking.weights) * scale
+    gradient = 1e-2 * w
+    for g, b in pairs:
+        d = (g - b) / scale
+        gradient = gradient - d / (1 + np.exp(d @ w)) / len(pairs)
+    assert np.abs(gradient).max() < 1e-4
+    totals = np.sort(x @ np.array(ranking.weights))
+    assert np.isclose(ranking.bound, (totals[len(bad) - 1] + totals[len(bad)]) / 2)
+    for r in quality_ranking.ranked(docs, ranking).collect():
+        want = 1 / (1 + np.exp(-(np.dot(found[r["doc_id"]], ranking.weights) - ranking.bound + np.log(0.3 / 0.7))))
+        assert np.isclose(r["score"], want) and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     labels = H.corpus(spark, "labels")
     used = quality_ranking.learning_rows(labels)

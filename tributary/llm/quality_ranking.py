@@ -127,6 +127,11 @@ def fit(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> Ranking:
     """A ranking learned from the labelled documents; ``labels`` has the rows that may be learned from."""
+    return fit_described(written_once(described(docs, key, text)), labels, sample, key, label)
+
+
+def fit_described(found: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", label: str = "quality") -> Ranking:
+    """The same from ``(key, x)`` of every document, which is read twice."""
     named = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col(key).isNotNull() & F.col("y").isin(0, 1))
     totals = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [
@@ -136,34 +141,45 @@ def fit(
     n = len(features(F.lit(""), F.array(F.lit(""))))
     if not rows or not totals.get(0) or not totals.get(1):
         return Ranking((0.0,) * n, 0.0)
-    spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame(rows, named.schema))  # at most twice ``sample`` ids
-    found = described(docs.select(F.col(key), F.col(text)).join(few.select(key).distinct(), key, "left_semi"), key, text)
-    learned = found.join(few, key).select("y", "x").collect()
+    few = F.broadcast(found.sparkSession.createDataFrame(rows, named.schema))  # at most twice ``sample`` ids
+    learned = sorted(found.join(few, key).select("y", "x").collect())  # pairs do not hang on the order of tasks
     y = np.array([r["y"] for r in learned])
     x = np.array([r["x"] for r in learned], dtype="float64").reshape(len(learned), n)
     if not (y == 0).any() or not (y == 1).any():
         return Ranking((0.0,) * n, 0.0)
     w = fit_pairs(x[y == 1], x[y == 0])
     weights = tuple(float(v) for v in w)
-    # Texts are scored before the join, so that none is shuffled.
-    totalled = described(docs, key, text).select(key, Ranking(weights, 0.0).total(F.col("x")).alias("s"))
+    totalled = found.select(key, Ranking(weights, 0.0).total(F.col("x")).alias("s"))
     bound = bound_of_all(written_once(totalled.join(named, key).select("y", "s")))
     return Ranking(weights, bound)
 
 
 def ranked(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score, predicted)`` of every row."""
-    scored = described(docs, key, text).select(key, ranking.score(F.col("x")).alias("score"))
+    return ranked_described(described(docs, key, text), ranking, key)
+
+
+def ranked_described(found: DataFrame, ranking: Ranking, key: str = "doc_id") -> DataFrame:
+    """The same from ``(key, x)`` of every document."""
+    scored = found.select(key, ranking.score(F.col("x")).alias("score"))
     return scored.select(key, "score", (F.col("score") >= ranking.accept).cast("int").alias("predicted"))
 
 
+def _with_features(docs: DataFrame, name: str, text: str) -> DataFrame:
+    """``docs`` with the array of features of the text as a further column."""
+    t = C.whole(text)
+    made = C.let(C.words(t), lambda words: F.array(*[v.cast("double") for v in features(t, words).values()]))
+    return docs.withColumn(name, made)
+
+
 def accepted(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the ranking accepts, with all their columns."""
-    t = C.whole(text)
+    made = _with_features(docs, "__features", text)
+    return made.where(ranking.score(F.col("__features")) >= ranking.accept).drop("__features")
 
-    def score(words: Column) -> Column:
-        values = F.array(*[v.cast("double") for v in features(t, words).values()])
-        return C.let(values, ranking.score)
 
-    return docs.where(C.let(C.words(t), score) >= ranking.accept)
+def accepted_by_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that a ranking accepts which was learned from them; each text is described once."""
+    made = written_once(_with_features(docs, "__features", text))
+    ranking = fit_described(made.select(key, F.col("__features").alias("x")), labels, key=key)
+    return made.where(ranking.score(F.col("__features")) >= ranking.accept).drop("__features")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import bpe, chat, decontaminate, lattice_lm, license_scan, line_dedup, near_dup, prefix_trie, private_data, quality_ranking, quality_rules, source_divergence, token_counts
+from tributary.session import written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,9 +59,9 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    found = written_once(quality_ranking.described(documents(spark, sf_dir)))  # every text once
     labels = quality_ranking.learning_rows(table(spark, sf_dir, "labels"))
-    scored = quality_ranking.ranked(docs, quality_ranking.fit(docs, labels))
+    scored = quality_ranking.ranked_described(found, quality_ranking.fit_described(found, labels))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 

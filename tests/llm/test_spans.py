@@ -61,6 +61,44 @@ def test_changed_notice_is_found_on_neighbouring_diagonals(spark):
     assert found[1]["labels"] == "" and found[1]["score"] == 0.0
 
 
+def _covered(text, template):
+    """The longest rising run of template places over all stretches of the text, by trying every start."""
+    k = license_scan.TEXT_GRAM
+    words, own = license_scan.template_words(text), license_scan.template_words(template.text)
+    places = {}
+    for t in range(len(own) - k + 1):
+        places.setdefault(tuple(own[t : t + k]), []).append(t)
+    hits = [(p, t) for p in range(len(words) - k + 1) for t in places.get(tuple(words[p : p + k]), [])]
+    best = 0
+    for start, _ in hits:
+        ends = {}
+        for p, t in hits:
+            if start <= p <= start + 2 * (len(own) - k + 1) + license_scan.SLACK:
+                ends[t] = max(ends.get(t, 0), 1 + max((n for u, n in ends.items() if u < t), default=0))
+        best = max(best, *ends.values())
+    return best / (len(own) - k + 1)
+
+
+def test_spans_are_verified(spark):
+    by_label = {t.label: t for t in license_scan.TEMPLATES}
+    isc = by_label["isc"]
+    words = isc.text.split()
+    k = license_scan.TEXT_GRAM
+    grams = [" ".join(words[i : i + k]) for i in range(0, len(words) - k, k)]
+    texts = [
+        "permission to use copy modify " * 40, " ".join(reversed(grams)), " ".join(grams[1::2] + grams[::2]), isc.text,
+        " ".join(words[: len(words) * 2 // 3]), " ".join(words[: len(words) // 4]), " ".join(words[:5] * 9 + words), " ".join(words + words),
+        " filler ".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12)), isc.text + " " + H.prose(4, 20_000),
+    ]
+    found = _licences(spark, texts)
+    for i, text in enumerate(texts):
+        covered = _covered(text, isc) if i < 9 else 1.0
+        assert ("isc" in found[i]["labels"].split(",")) == (covered >= license_scan.LEAST_COVERED), (i, covered, found[i])
+        if covered >= license_scan.LEAST_COVERED:
+            assert found[i]["score"] == pytest.approx(covered)
+    assert found[0]["labels"] == "" and found[0]["score"] == 0.0 and found[1]["labels"] == "" and found[3]["score"] == 1.0
+
+
 def _spans(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
 

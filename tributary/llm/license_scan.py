@@ -3,7 +3,9 @@
 Every rolling k-gram of words of every text is joined by its hash to the places of that k-gram in the templates. A
 match at word p of the text and word t of the template votes for the diagonal p - t: matches of one place of the
 template in the text share it. Votes are counted by (text, template, diagonal); neighbouring diagonals, which
-insertions and omissions part, are merged; a merged span counts if enough of the template's k-grams voted in it.
+insertions and omissions part, are merged. A merged span is verified: the longest run of its votes whose template places
+rise with the words of the text, within ``STRETCHED`` lengths of the template, must hold enough of the template's
+k-grams, so a gram that is repeated, or grams in another order, count once.
 
 Phrases are templates of few words with 2-grams: all of them must vote on one diagonal, so the words stand there one
 after another. License texts have 5-grams. Hashes only find candidates: words are compared before a vote counts.
@@ -22,7 +24,7 @@ import re
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +33,7 @@ from tributary.llm import columns as C
 PHRASE_GRAM, TEXT_GRAM = 2, 5
 SLACK = 8  # words by which neighbouring diagonals may differ
 LEAST_COVERED = 0.5
+STRETCHED = 2  # lengths of a template that its words may be spread over
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -157,26 +160,54 @@ def votes(docs: DataFrame, templates: tuple[Template, ...], key: str, text: str)
     words_equal = F.slice("w", F.col("p") + 1, F.col("k")) == F.col("gram")
     hits = hits.where(F.when(F.col("at") < 0, F.col("k") == 0).otherwise((F.col("k") > 0) & words_equal))
     return hits.groupBy(key, "row", "n_words", "template", (F.col("p") - F.col("place")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("p").alias("first"), F.max(F.col("p") + F.col("k")).alias("last")
+        F.count(F.lit(1)).alias("n"), F.min("p").alias("first"), F.max(F.col("p") + F.col("k")).alias("last"),
+        F.collect_list("place").alias("places"),  # at most one vote for each place of the template
     )
 
 
+def in_order(hits: Column, n_grams: Column) -> Column:
+    """Of ``(p, place)`` in the order of p: how many places the longest rising run has, where it starts and ends.
+
+    The best run that ends at each place is kept; of equally long ones the one that starts last.
+    """
+
+    def run(n: Column, start: Column, end: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    none = run(F.lit(0), F.lit(0), F.lit(0))
+
+    def step(best: Column, hit: Column) -> Column:
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), hit["place"])), none)
+        longer = C.let(before, lambda b: run(b["n"] + 1, F.when(b["n"] == 0, hit["p"]).otherwise(b["start"]), hit["p"]))
+        return C.let(longer, lambda x: F.transform(best, lambda old, i: F.when(i == hit["place"], F.greatest(old, x)).otherwise(old)))
+
+    return F.array_max(F.aggregate(hits, F.array_repeat(none, n_grams), step))
+
+
 def spans(counted: DataFrame, templates: tuple[Template, ...], key: str) -> DataFrame:
     """Merged and verified spans: ``(key, row, n_words, label, is_base, first, last, covered)``, label null for the text itself."""
     told = counted.join(F.broadcast(facts(counted.sparkSession, templates)), "template", "left")
     along = Window.partitionBy(key, "row", "template").orderBy("diagonal")
     away = F.col("diagonal") - F.lag("diagonal").over(along) > SLACK
     begins = (F.coalesce(away, F.lit(True)) | F.col("phrase")).cast("int")
+    placed = F.transform("places", lambda t: F.struct((F.col("diagonal") + t).alias("p"), t.alias("place")))
     merged = (
         told.select("*", begins.alias("begins"))
         .select("*", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("span"))
         .groupBy(key, "row", "n_words", "template", "label", "is_base", "phrase", "n_grams", "span")
-        .agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(
+            F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+            F.flatten(F.collect_list(F.when(~F.col("phrase"), placed))).alias("hits"),
+        )
     )
-    covered = F.least(F.col("n") / F.col("n_grams"), F.lit(1.0))
-    least = F.when(F.col("phrase"), F.lit(1.0)).otherwise(F.lit(LEAST_COVERED))
-    found = merged.select("*", covered.alias("covered"))
-    return found.where(F.col("label").isNull() | (F.col("covered") >= least)).select(
+    least = F.when(F.col("phrase"), F.lit(1.0)).otherwise(F.lit(LEAST_COVERED)) * F.col("n_grams")
+    found = merged.where(F.col("label").isNull() | (F.col("n") >= least))
+    longest = F.when(F.col("label").isNotNull() & ~F.col("phrase"), in_order(F.sort_array("hits"), F.col("n_grams")))
+    found = found.withColumn("run", longest)
+    near = F.col("run.end") - F.col("run.start") <= STRETCHED * F.col("n_grams") + SLACK
+    n = F.when(F.col("phrase"), F.col("n")).otherwise(F.when(near, F.col("run.n")).otherwise(F.lit(0)))
+    found = found.withColumn("covered", n / F.col("n_grams"))
+    return found.where(F.col("label").isNull() | (n >= least)).select(
         key, "row", "n_words", "label", "is_base", "phrase", "first", "last", "covered"
     )
 

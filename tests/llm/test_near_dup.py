@@ -19,7 +19,7 @@ def _set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def _components(texts):
+def _components(texts, least=85):
     sets = {k: _set(t) for k, t in texts.items()}
     over = {k: k for k in sets}
 
@@ -35,7 +35,7 @@ def _components(texts):
     for k, s in sets.items():
         shared = Counter(o for x in s for o in where[x] if o < k)
         for o, both in shared.items():
-            if 100 * both >= 85 * (len(s) + len(sets[o]) - both):
+            if 100 * both >= least * (len(s) + len(sets[o]) - both):
                 a, b = of(k), of(o)
                 over[max(a, b)] = min(a, b)
     return {k: (len(sets[k]), of(k), of(k) == k) for k in sets}

@@ -60,7 +60,7 @@ def test_line_stage_leaves_texts_without_common_lines(spark, steps):
 
 
 def test_copies_and_leaks_go(spark, steps):
-    kept = {k for k, v in _components(_texts(steps[1])).items() if v[2]}
+    kept = {k for k, v in _components(_texts(steps[1]), corpus_pipeline.NEAR).items() if v[2]}
     assert set(_texts(steps[2])) == kept
     items = [r["text"] for r in H.corpus(spark, "benchmark").collect()]
     left = _texts(steps[3])

@@ -21,7 +21,7 @@ NEAR = 80  # per cent of the shingles of two documents that make them near dupli
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking accepts; it learns from the labelled documents among ``docs``."""
     labels = quality_ranking.learning_rows(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_ranking.accepted(docs, quality_ranking.fit(docs, labels))
+    return quality_ranking.accepted_by_labels(docs, labels)
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, as little-endian 32-bit integers, and digests of them and of what they decode to."""
     vocabulary = bpe.with_lexicon(docs, public_tokenizers.path(VOCABULARY))
-    both = bpe.decoded(bpe.encoded(docs, vocabulary), vocabulary)
+    both = bpe.round_trip(docs, vocabulary)
     return both.select(
         "doc_id",
         "ids",

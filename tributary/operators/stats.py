@@ -93,6 +93,37 @@ def latency_summary(
     )
 
 
+SKETCH_K = 200  # accuracy of the sketches below
+RANK_ERROR = 0.0266  # twice the rank error that a sketch of this size keeps with 99 % confidence
+
+
+def add_sketches(samples: DataFrame, path: str, version: str, group: str, value: str) -> None:
+    """Append one quantile sketch per version and group to the table at ``path``; only these samples are read."""
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch")
+    samples.groupBy(version, group).agg(sketch).write.mode("append").partitionBy(version).parquet(path)
+
+
+def merged_sketches(stored: DataFrame, group: str) -> DataFrame:
+    """``(group, sketch)`` over the versions in ``stored``: sketches are merged, samples are not read again."""
+    return stored.groupBy(group).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentiles(merged: DataFrame, group: str, shares: Sequence[float]) -> DataFrame:
+    """``(group, share, value)`` from sketches."""
+    told = [F.struct(F.lit(float(s)).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))).alias("value")) for s in shares]
+    return merged.select(group, F.explode(F.array(*told)).alias("e")).select(group, "e.share", "e.value")
+
+
+def within_bounds(merged: DataFrame, samples: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """``(group, share, n, within)``: whether the sketched percentiles have ranks within the error, by one count over all samples."""
+    told = sketched_percentiles(merged, group, shares).select(group, "share", F.col("value").alias("_at"))
+    ranks = samples.select(group, F.col(value).alias("_v")).join(F.broadcast(told), group).groupBy(group, "share").agg(  # one row a group and share
+        F.count("_v").alias("n"), F.count(F.when(F.col("_v") < F.col("_at"), 1)).alias("_below"), F.count(F.when(F.col("_v") <= F.col("_at"), 1)).alias("_upto")
+    )
+    low, high = F.col("_below") / F.col("n") - RANK_ERROR, F.col("_upto") / F.col("n") + RANK_ERROR
+    return ranks.select(group, "share", "n", F.col("share").between(low, high).alias("within"))
+
+
 def best_of(runs: DataFrame, query: str = "query", seconds: str = "seconds") -> DataFrame:
     return runs.groupBy(query).agg(F.min(seconds).alias("best"), F.count(F.lit(1)).alias("repeats"))
 

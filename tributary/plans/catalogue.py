@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.plans import analytics, feeds, ingest, observe, retrieval
+from tributary.plans import analytics, feeds, ingest, movement, observe, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PARTS = (analytics, feeds, retrieval, ingest, observe)
+_PARTS = (analytics, feeds, retrieval, ingest, observe, movement)
 
 
 def queries() -> dict[str, Query]:

@@ -57,15 +57,15 @@ def _json_line(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def firehose_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as edit events, filtered to one wiki and namespace.
+def firehose_lines(spark: SparkSession, sf_dir: str, unnamed: str = "fr") -> DataFrame:
+    """Documents as lines of edit events.
 
-    German ones are of another type, French ones have no event id, Spanish ones a namespace of the
+    German ones are of another type, those in the language ``unnamed`` have no event id, Spanish ones a namespace of the
     wrong JSON type; lines of one source are malformed and those of another lack the prefix.
     """
     lang, source = F.col("lang"), F.col("source")
     meta = F.struct(
-        F.when(lang != "fr", F.concat(F.lit("e"), "doc_id")).alias("id"),
+        F.when(lang != unnamed, F.concat(F.lit("e"), "doc_id")).alias("id"),
         F.when(source != "src1", F.concat(F.lit("http://"), "source")).alias("uri"),
     )
     common = [
@@ -83,8 +83,12 @@ def firehose_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "src4", F.concat(F.lit("event: "), event))
         .otherwise(F.concat(F.lit("data: "), event, F.lit("  ")))
     )
-    lines = _lines(table(spark, sf_dir, "documents"), line)
-    found = feeds.edit_documents(lines, wiki="enwiki", namespace="0")
+    return _lines(table(spark, sf_dir, "documents"), line)
+
+
+def firehose_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as edit events, filtered to one wiki and namespace."""
+    found = feeds.edit_documents(firehose_lines(spark, sf_dir), wiki="enwiki", namespace="0")
     return found.select(
         "id", "text", F.get_json_object("meta", "$.title").alias("title"), F.get_json_object("meta", "$.url").alias("url")
     )

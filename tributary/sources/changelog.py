@@ -23,6 +23,17 @@ def changes_of(log: DataFrame, table: str | None = None, after_id: int | None =
     return log
 
 
+def write_changes(log: DataFrame, path: str, width: int = 1_000_000) -> None:
+    """Append changes as a log in folders by table, in files by ranges of ``width`` change ids.
+
+    A reader of one table opens its folder alone; within it, the ids in a file's footer rule out files before ``after_id``.
+    A table with a large share of the changes is written by as many tasks as it has ranges.
+    """
+    ranges = F.floor(F.col("change_id") / width)
+    ordered = schemas.conform(log, schemas.CHANGE_LOG).repartition("table_name", ranges).sortWithinPartitions("table_name", "change_id")
+    ordered.write.mode("append").partitionBy("table_name").parquet(path)
+
+
 def stream_versions(spark: SparkSession, path: str, versions_per_batch: int = 1000) -> DataFrame:
     """Committed versions of the log at ``path`` as a stream; what was written and not committed never shows."""
     log = tables.Versions(spark, path, schemas.CHANGE_LOG)

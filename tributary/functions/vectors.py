@@ -13,23 +13,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def bucket_counts(buckets: Column, dim: int) -> Column:
-    """How often each of the numbers 0 to ``dim - 1`` stands in an array of them, in order.
-
-    Every number is added once and the array sorted; the distance of its first place to the next
-    number's is its count plus one.
-    """
-    ordered = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim))))
-
-    def firsts(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim)), lambda b: F.array_position(s, b))
-
-    def counts(at: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.get(at, b + 1) - F.get(at, b) - 1)
-
-    return let(let(ordered, firsts), counts)
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 

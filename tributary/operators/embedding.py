@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import text as text_functions
-from tributary.functions import vectors
 
 # A model: a batch of texts to a (len(texts), dim) array of floats.
 Model = Callable[[Sequence[str]], np.ndarray]
 
-REMEMBERED = 1_000_000  # tokens whose bucket a batch keeps at hand
+REMEMBERED = 200_000  # tokens whose bucket a task keeps at hand
 
 _LETTERS = re.compile("[a-z]+")
 _FOLD = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
@@ -54,8 +53,9 @@ class _Buckets(dict):
 def hash_model(dim: int) -> Model:
     """The offline model: bucket counts scaled to length 1; a text without tokens is all zeros."""
 
+    buckets = _Buckets(dim)
+
     def embed(texts: Sequence[str]) -> np.ndarray:
-        buckets = _Buckets(dim)
         out = np.zeros((len(texts), dim), dtype="float64")
         for row, text in enumerate(texts):
             found = [buckets[token] for token in _LETTERS.findall((text or "").translate(_FOLD))]
@@ -80,14 +80,8 @@ def embed_column(text: Column, model: Model) -> Column:
 
 
 def hash_vector(text: Column, dim: int) -> Column:
-    """The vectors of :func:`hash_model` by built-in functions, so that joins move below them."""
-    buckets = F.transform(text_functions.tokens(text), lambda t: text_functions.token_bucket(t, dim))
-
-    def scaled(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, n: total + n * n).cast("double"))
-        return F.transform(counts, lambda n: F.when(norm > 0, n / norm).otherwise(F.lit(0.0)).cast("float"))
-
-    return vectors.let(vectors.bucket_counts(buckets, dim), scaled)
+    """The vectors of :func:`hash_model`, one call per Arrow batch: cut the rows before, joins do not move below it."""
+    return embed_column(text, hash_model(dim))
 
 
 def embed_documents(

@@ -66,6 +66,45 @@ def test_windows_hold_their_budget_and_repeat_history(spark):
     assert _read(chat.windows(spark.createDataFrame(rows, SCHEMA), 120, 30)) == _expected(rows)
 
 
+def _greedy(sizes, system, budget, history, span):
+    """Windows of one conversation as lists of new turns, filled one after another."""
+    out, start, part, held, room = [], 0, None, 0, 0
+    for i, size in enumerate(sizes):
+        if start // (span * budget) != part or held + size > room:
+            part, held = start // (span * budget), 0
+            room = max(budget - history - system, 1) if start else budget
+            out.append([])
+        out[-1].append(i)
+        held += size
+        start += size
+    return out
+
+
+def test_windows_are_full(spark, monkeypatch):
+    """Against filling by hand: fitting conversations are whole, longer ones fill their windows."""
+    monkeypatch.setattr(chat, "SPAN", 3)
+    talks = {c: [5 + (7 * c + 13 * i) % 40 for i in range(1 + c * c % 70)] for c in range(40)}
+    rows = [(c, i, "assistant" if i % 2 else "user", " ".join(f"w{c}x{i}" for _ in range(n - 4))) for c, ns in talks.items() for i, n in enumerate(ns)]
+    found = defaultdict(list)
+    for r in sorted(chat.windows(spark.createDataFrame(rows, SCHEMA), 200, 40).collect(), key=lambda r: (r["conv_id"], r["window"])):
+        found[r["conv_id"]].append(r)
+    fills = []
+    for c, ns in talks.items():
+        want = _greedy(ns, 0, 200, 40, 3)
+        assert [len(chat.read_turns(r["text"])) - r["n_repeated"] for r in found[c]] == [len(w) for w in want]
+        if sum(ns) <= 200:
+            assert len(found[c]) == 1
+        for r, w in zip(found[c], want):
+            before, k = 0, w[0]
+            while k and before + ns[k - 1] <= 40:
+                k -= 1
+                before += ns[k]
+            assert r["n_repeated"] == w[0] - k and r["n_tokens"] == before + sum(ns[i] for i in w) <= 200
+        fills += [r["n_tokens"] / 200 for r in found[c][:-1]]
+    assert sum(fills) / len(fills) > 0.8
+    assert _read(chat.windows(spark.createDataFrame(rows, SCHEMA), 200, 40)) == _expected(rows)
+
+
 def test_texts_hold_no_control_strings(spark):
     found = chat.windows(spark.createDataFrame(ODD, SCHEMA)).collect()
     for r in found:

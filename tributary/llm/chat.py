@@ -1,11 +1,11 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes windows of whole turns. Prefix sums of the turns' tokens place every turn on a line that is
-divided into cells of half the room for new turns: a turn within a cell belongs to the cell's window, a turn that
-crosses into the next cell opens that cell's window, and a turn longer than a cell has a window of its own. So spans
-follow from each turn's own place; no turn waits for the spans before it. A window repeats the conversation's first
-system turn and the turns before it within the history limit; the loss mask has the assistant texts that are new in
-it, so each is a target once.
+A conversation becomes windows of whole turns. Prefix sums of the turns' tokens give every turn its place. A conversation
+that fits the budget is one window. A longer one is divided by its prefix sums into stretches of ``SPAN`` budgets; within
+a stretch a window takes turns until the next one would not fit, and the only state is what the window holds so far, so
+stretches are worked apart and each begins a window. A window repeats the conversation's first system turn and the
+turns before it within the history limit; the loss mask has the assistant texts that are new in it, so each is a target
+once.
 
 A window holds at most ``budget`` tokens; it is larger only where a single turn is, or the system turn leaves no room.
 Prefix sums are taken within stretches of turn numbers and then over stretches, so a conversation that holds a large
@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tributary.llm import columns as C
+from tributary.session import written_once
 
 BUDGET, HISTORY = 1024, 128
 OPEN, CLOSE = "<s>", "</s>"
 TARGET, SYSTEM = "assistant", "system"
 _CONTROL = r"([<\[])(?=/?(?:s>|INST\]|<?/?SYS>>|\|))"
+MARKS = 4  # tokens of what marks a turn
+SPAN = 64  # budgets of a stretch
 _STRETCH = 256  # turn numbers whose rows are summed together
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -55,7 +58,7 @@ def _role(text: str) -> str:
 
 def token_count(text: Column) -> Column:
     """Words and single marks, and what marks a turn."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 4
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + MARKS
 
 
 def placed(turns: DataFrame, tokens: Callable[[Column], Column] = token_count) -> DataFrame:
@@ -97,33 +100,51 @@ def placed(turns: DataFrame, tokens: Callable[[Column], Column] = token_count) -
     )
 
 
+def _filled(names: list[str], budget: int):
+    """A ``mapInArrow`` function over turns sorted by conversation, stretch and place: adds where each turn's window begins."""
+    conv_at, part_at, start_at, size_at, room_at = map(names.index, ("conv", "part", "start", "tokens", "room"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begin, held, room = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for conv, part, start, size, most in zip(*(batch.column(i).to_pylist() for i in (conv_at, part_at, start_at, size_at, room_at))):
+                if now != (conv, part) or held + size > room:
+                    # The conversation's first window repeats nothing and may be full.
+                    now, begin, held, room = (conv, part), start, 0, most if start else budget
+                held += size
+                out.append(begin)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "window"])
+
+    return run
+
+
 def windows(
     turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = token_count
 ) -> DataFrame:
     """``(conv_id, window, text, targets, n_tokens, n_repeated)`` of ``(conv_id, turn, role, text)``.
 
-    Windows of a conversation are ordered by ``window``. ``targets`` are the spans of new assistant texts in ``text``,
+    Windows of a conversation are ordered by ``window``, the tokens before it. ``targets`` are the spans of new assistant texts in ``text``,
     in code points, the end exclusive. The first ``n_repeated`` turns of a window stand in an earlier window too.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
-    room = F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0))
-    rows = placed(turns, tokens).withColumn("cell", F.greatest(F.floor(room / 2), F.lit(1)).cast("bigint"))
-    start, size, cell = F.col("start"), F.col("tokens"), F.col("cell")
-    k = F.floor(start / cell)
-    inside = k == F.floor((start + size - 1) / cell)
-    own = F.when(inside, 2 * k + 1).when(size <= cell, 2 * k + 3).otherwise(2 * k + 2)
-    rows = rows.select("*", own.alias("own"), k.alias("k"), F.least(F.lit(history).cast("bigint"), cell).alias("reach"))
-    # Windows that may repeat the turn begin within ``reach`` tokens behind its start, so in this cell or the next.
-    near = (F.col("k") + 1) * cell - start <= F.col("reach")
-    later = F.filter(F.sequence(F.lit(1), F.lit(4)), lambda d: (F.col("own") + d <= 2 * F.col("k") + 5) & (near | (F.col("own") + d <= 2 * F.col("k") + 3)))
-    rows = rows.select("*", F.explode(F.concat(F.array(F.lit(0)), later)).alias("d"))
-    turn = F.struct("start", (F.col("d") == 0).alias("new"), "role", "piece", "head", "chars", "char_start", "tokens", "is_system", "after_system")
-    grouped = rows.groupBy("conv", (F.col("own") + F.col("d")).alias("window")).agg(
-        F.sort_array(F.collect_list(turn)).alias("turns"), F.min(F.when(F.col("d") == 0, F.col("start"))).alias("begins"),
-        F.max("reach").alias("reach"), F.any_value("system").alias("system"),
-    ).where(F.col("begins").isNotNull())
-    kept = F.filter("turns", lambda t: t["new"] | (t["start"] >= F.col("begins") - F.col("reach")))
-    grouped = grouped.select("conv", "window", "system", kept.alias("turns"))
+    room = F.greatest(F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0)), F.lit(1)).cast("bigint")
+    rows = placed(turns, tokens).withColumns({"room": room, "part": F.floor(F.col("start") / (SPAN * budget))})
+    ordered = rows.repartition("conv", "part").sortWithinPartitions("conv", "part", "start")
+    names = ordered.columns
+    rows = written_once(ordered.mapInArrow(_filled(names, budget), ordered.withColumn("window", F.lit(0).cast("bigint")).schema))
+
+    # Turns within ``history`` tokens before a window: each window asks for two of the buckets that turns lie in.
+    size = max(history, 1)
+    begins = rows.where((F.col("start") == F.col("window")) & (F.col("start") > 0)).select(F.col("conv").alias("c"), F.col("window").alias("begin"))
+    begins = begins.withColumn("bucket", F.explode(F.array(F.floor(F.col("begin") / size), F.floor(F.col("begin") / size) - 1)))
+    same = F.col("conv").eqNullSafe(F.col("c")) & (F.floor(F.col("start") / size) == F.col("bucket"))
+    before = (F.col("start") >= F.col("begin") - history) & (F.col("start") < F.col("begin"))
+    again = rows.drop("window").join(begins, same & before).withColumn("window", F.col("begin")).withColumn("new", F.lit(False))
+    turn = F.struct("start", "new", "role", "piece", "head", "chars", "char_start", "tokens", "is_system", "after_system")
+    used = ["conv", "window", "system", turn.alias("turn")]
+    rows = rows.withColumn("new", F.lit(True)).select(*used).unionByName(again.select(*used))
+    grouped = rows.groupBy("conv", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.any_value("system").alias("system"))
     # A window before the system turn does not repeat it: it would stand ahead of its place.
     leads = F.coalesce(F.get("turns", F.lit(0))["after_system"] & ~F.exists("turns", lambda t: t["is_system"]), F.lit(False))
     grouped = grouped.select("*", F.when(leads, F.col("system.chars")).otherwise(F.lit(0)).alias("lead"), leads.alias("leads"))

@@ -26,7 +26,8 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat.digests(chat.windows(turns.unionByName(own)))
+    model = token_counts.token_column(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.digests(chat.windows(turns.unionByName(own), tokens=lambda text: model(text) + chat.MARKS))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

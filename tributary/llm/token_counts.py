@@ -18,11 +18,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import characters
@@ -137,15 +138,31 @@ class _Known(dict):
         return n
 
 
+def token_column(spark: SparkSession, path: str) -> Callable[[Column], Column]:
+    """A function from a text column to its number of tokens, one call per Arrow batch."""
+    vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))  # a file of fixed size
+
+    @F.pandas_udf("bigint")
+    def tokens(batch: pd.Series) -> pd.Series:
+        count = _shared(vocabulary.value).count
+        return pd.Series([count(t or "") for t in batch], dtype="int64")
+
+    return tokens
+
+
+def _shared(data: dict) -> Counter:
+    """The counter of this worker, which its later tasks find."""
+    if "counter" not in data:
+        data["counter"] = Counter(data)
+    return data["counter"]
+
+
 def counted(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_bytes, n_tokens, over_limit)`` of every row by the vocabulary file at ``path``."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = vocabulary.value
-        if "counter" not in shared:
-            shared["counter"] = Counter(shared)  # later tasks of this worker find it
-        count = shared["counter"].count
+        count = _shared(vocabulary.value).count
         for batch in batches:
             texts = batch.column(1)
             tokens = pa.array([count(t.as_py()) for t in texts], pa.int64())

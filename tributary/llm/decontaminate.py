@@ -43,6 +43,7 @@ SURE, LIKELY = 0.75, 0.55
 ANSWER = 3  # last words of an item
 STEP = 4  # words between an item's windows
 RUN, SHORT = 3, 8
+CACHED = 1024  # blocks whose vectors are summed at once
 SLOTS = 1 << 20  # of the table that runs are looked up in first
 ITEM_WORDS = 100_000  # words of items that are searched for at once
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -60,9 +61,7 @@ class Cut:
 
     features: np.ndarray  # of each word
     starts: np.ndarray  # of blocks
-    kept: np.ndarray  # places of the words that have a weight
-    kept_starts: np.ndarray  # of blocks, among the kept words
-    kept_sizes: np.ndarray  # of blocks
+    slots: np.ndarray  # of each block the features of its words that have a weight; free slots hold FEATURES
     left: np.ndarray  # first block of each window
     right: np.ndarray  # second block; equal to the first for a text of one block
     owner: np.ndarray  # text of each window
@@ -81,11 +80,11 @@ def cut(codes: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> Cut:
     left = np.flatnonzero(opens)
     right = np.where(last[left], left, left + 1)
     features = (codes.view("u4") & (FEATURES - 1)).astype("u2")
-    weighed = np.take(idf > 0, features)
-    before = np.append(0, np.cumsum(weighed))
-    kept_starts = before[starts]
-    sizes = np.diff(np.append(kept_starts, before[-1]))
-    return Cut(features, starts, np.flatnonzero(weighed), kept_starts, sizes, left, right, owner[left], nth[left] * BLOCK)
+    sizes = np.diff(np.append(starts, len(features)))
+    slots = np.full((len(starts), BLOCK), FEATURES, "u2")
+    slots[np.repeat(np.arange(len(starts)), sizes), np.arange(len(features)) - np.repeat(starts, sizes)] = features
+    slots[~np.take(np.append(idf > 0, False), slots)] = FEATURES
+    return Cut(features, starts, slots, left, right, owner[left], nth[left] * BLOCK)
 
 
 def _batches(batch: pa.RecordBatch, column: int, words: int = 200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -100,17 +99,32 @@ def _batches(batch: pa.RecordBatch, column: int, words: int = 200_000) -> Iterat
 
 
 def _window_sums(found: Cut, rows: np.ndarray) -> np.ndarray:
-    """Sums over the kept words of each window of ``rows[feature]``."""
+    """Sums over the weighed words of each window of ``rows[feature]``, some blocks at a time so that they stay in the cache."""
+    padded = np.concatenate([rows, np.zeros((1, rows.shape[1]), "f4")])
     blocks = np.zeros((len(found.starts), rows.shape[1]), "f4")
-    full = found.kept_sizes > 0
-    if full.any():
-        words = np.take(rows, found.features[found.kept], axis=0, mode="clip")
-        blocks[full] = np.add.reduceat(words, found.kept_starts[full], axis=0)
+    held = np.empty((CACHED, rows.shape[1]), "f4")
+    for start in range(0, len(blocks), CACHED):
+        part, sums = found.slots[start : start + CACHED], blocks[start : start + CACHED]
+        for slot in range(BLOCK):
+            np.take(padded, part[:, slot], axis=0, out=held[: len(part)], mode="clip")
+            sums += held[: len(part)]
     sums = blocks[found.left] + blocks[found.right]
     sums[found.left == found.right] *= 0.5
     return sums
 
 
+def _feature_sums(found: Cut, back: np.ndarray, total: np.ndarray) -> None:
+    """Adds each block's row of ``back`` to the rows of ``total`` of its weighed words."""
+    block, slot = np.nonzero(found.slots < FEATURES)
+    features = found.slots[block, slot]
+    order = np.argsort(features, kind="stable")
+    block, features = block[order], features[order]
+    for start in range(0, len(features), 4 * CACHED):
+        which = features[start : start + 4 * CACHED]
+        begins = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        total[which[begins]] += np.add.reduceat(np.take(back, block[start : start + 4 * CACHED], axis=0, mode="clip"), begins, axis=0)
+
+
 def _summed(parts: DataFrame, kind: str) -> np.ndarray:
     """The sum of arrays that tasks return in parts ``(part, salt, bytes)``, first of some tasks and then of all."""
 
@@ -191,15 +205,8 @@ def latent_space(coded: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
                 back[found.left] += seen
                 two = found.left != found.right
                 back[found.right[two]] += seen[two]
-                if not len(found.kept):
-                    continue
-                ranked = found.features[found.kept]
-                order = np.argsort(ranked, kind="stable")
-                block = np.repeat(np.arange(len(found.starts)), found.kept_sizes)[order]
-                ranked = ranked[order]
-                begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-                which = ranked[begins]
-                total[which] += np.add.reduceat(np.take(back, block, axis=0, mode="clip"), begins, axis=0) * idf[which, None]
+                _feature_sums(found, back, total)
+        total *= idf[:, None]
         yield _parts(total.ravel(), _task())
 
     z = _summed(coded.select("w").mapInArrow(run, "part int, salt int, bytes binary"), "f4")
@@ -243,13 +250,14 @@ class Item:
 
 @dataclass(frozen=True)
 class Asked:
-    """The windows of the items: unit vectors, the item of each, the features in it, their weight, and the cosine to reach."""
+    """The windows of the items: unit vectors by the cosine to reach, the item of each, the features in it, their weight,
+    and whether a cosine is asked for at all."""
 
     vectors: np.ndarray
     owner: np.ndarray
     holds: np.ndarray
     weight: np.ndarray
-    bound: np.ndarray
+    always: np.ndarray
 
 
 def _windows(items: list[Item], space: np.ndarray, idf: np.ndarray, cosine: float = COSINE) -> Asked:
@@ -270,7 +278,9 @@ def _windows(items: list[Item], space: np.ndarray, idf: np.ndarray, cosine: floa
     # A short item fills its window in part only: its cosine is at most the root of its share of a usual window.
     usual = 2 * BLOCK * float((np.exp(-idf) * idf**2).sum())
     bound = cosine * np.sqrt(np.minimum(1.0, np.array(square) / max(usual, 1e-9)))
-    return Asked(block, np.array(owner), np.array(holds), np.array(weight, "f4"), bound.astype("f4"))
+    bound = bound.astype("f4")
+    block /= np.where(bound > 0, bound, 1)[:, None]
+    return Asked(block, np.array(owner), np.array(holds), np.array(weight, "f4"), np.flatnonzero(bound == 0))
 
 
 def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -328,7 +338,7 @@ def shared_runs(found: Cut, codes: np.ndarray, ends: np.ndarray, runs: list[Runs
     return pairs
 
 
-def candidates(found: Cut, space: np.ndarray, asked: Asked, idf: np.ndarray, step: int = 4096) -> list[tuple[int, int]]:
+def candidates(found: Cut, space: np.ndarray, asked: Asked, idf: np.ndarray, step: int = 512) -> list[tuple[int, int]]:
     """``(window, item)`` pairs whose cosine reaches the bound and whose window holds enough of the item window's weight."""
     sums = _window_sums(found, space)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
@@ -337,7 +347,9 @@ def candidates(found: Cut, space: np.ndarray, asked: Asked, idf: np.ndarray, ste
     length = sizes[found.left] + np.where(found.left == found.right, 0, sizes[found.right])
     pairs: set[tuple[int, int]] = set()
     for start in range(0, len(sums), step):
-        window, hit = np.nonzero(sums[start : start + step] @ asked.vectors.T >= asked.bound)
+        reached = sums[start : start + step] @ asked.vectors.T >= 1
+        reached[:, asked.always] = True
+        window, hit = np.divmod(np.flatnonzero(reached), reached.shape[1])
         window += start
         held = np.zeros(len(window), "f4")
         for i in range(2 * BLOCK):
@@ -357,7 +369,7 @@ def _answered(answer: tuple[int, ...], words: list[int]) -> bool:
 def _search(coded: DataFrame, items: list[Item], space: np.ndarray, idf: np.ndarray, cosine: float) -> DataFrame:
     """``(id, item, share, first, last, answered)`` of every leak of these items; ``item`` is a place in the list."""
     asked = _windows(items, space, idf, cosine)
-    windows = (asked.vectors, asked.owner, asked.holds, asked.weight, asked.bound)
+    windows = (asked.vectors, asked.owner, asked.holds, asked.weight, asked.always)
     words = [i.words for i in items]
     sent = coded.sparkSession.sparkContext.broadcast((*windows, space, words, item_runs(words)))
     latent = bool(space.any())

@@ -1,6 +1,7 @@
 """Components against brute force, on the corpus and on groups made to be hard."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,35 @@ def test_the_stage_takes_similarities_from_80_on_and_the_query_from_85(spark):
 def test_bounds_follow_the_least_similarity():
     assert (near_dup.LIKE, near_dup.CLOSE, near_dup.TREES) == (38, 44, 4)
     assert (near_dup.alike_from(80), near_dup.leaves_from(80), near_dup.trees_for(80)) == (32, 40, 5)
+
+
+def test_a_family_that_is_alike_but_not_linked_is_not_paired_up(spark):
+    """2,000 pages of similarity 0.75 around one template, some of them edited a little: pairs to compare are about the links."""
+    common, texts = H.prose(70, 175).split(), {}
+    for i in range(2000):
+        own = [f"p{i}w{j}" for j in range(29)]
+        texts[i] = " ".join(common + own)
+        if i % 50 == 0:  # one word of its own changed
+            texts[5000 + i] = " ".join(common + own[:20] + ["edited"] + own[21:])
+    assert 0.74 < len(_set(texts[1]) & _set(texts[2])) / len(_set(texts[1]) | _set(texts[2])) < 0.76
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8).cache()
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert found == {k: k - 5000 if k >= 5000 else k for k in texts}
+
+    sets = docs.rdd.map(lambda r: (0, len(texts), r["doc_id"], r["doc_id"], bytearray(near_dup.shingles(np.array([zlib.crc32(w.encode()) for w in r["text"].split()], "u8")).tobytes())))
+    members = spark.createDataFrame(sets, "cluster bigint, size bigint, c bigint, star bigint, set binary")
+    pairs = {(r["u"], r["v"]) for r in near_dup.close_pairs(members).collect()}
+    assert {(k - 5000, k) for k in texts if k >= 5000} <= pairs and len(pairs) < len(texts)
+
+
+def test_close_pairs_in_pieces_lose_none(spark, hard, monkeypatch):
+    rows = [(0, len(hard), k, k, near_dup.shingles(np.array([zlib.crc32(w.encode()) for w in t.lower().split()], "u8")).tobytes()) for k, t in hard.items()]
+    members = spark.createDataFrame([(a, b, c, d, bytearray(e)) for a, b, c, d, e in rows], "cluster bigint, size bigint, c bigint, star bigint, set binary")
+    whole = {(r["u"], r["v"]) for r in near_dup.close_pairs(members).collect()}
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    monkeypatch.setattr(near_dup, "SLICE", 100)
+    assert {(r["u"], r["v"]) for r in near_dup.close_pairs(members).collect()} == whole
+    sets = {k: np.frombuffer(e, "u8") for _, _, k, _, e in rows}
+    keys = sorted(sets)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if near_dup._linked(sets[a], sets[b], 85)}
+    assert want <= whole

@@ -11,8 +11,12 @@ meets in five trees to the same recall.
 
 The trees only gather candidates into clusters. Within each cluster links are confirmed on the full sets: small
 clusters pair by pair, skipping pairs that are connected already. A large cluster is first compared with its most
-central member, one comparison each; only classes that are not linked with it are compared with all others, in blocks
-of bounded size. No step pairs up a whole group, and no group meets in one task.
+central member, one comparison each, and what is left with a next centre as long as that links half of it. If few
+classes stand apart from the first centre, they are compared with all others, in blocks of bounded size. If many do,
+each set is ordered from the rarest shingle of its cluster to the commonest: two sets at the bound share one of their
+first shingles, whatever the order, and what a family of pages has in common stands last. Only pairs that share such a
+shingle, at places from which the bound can still be reached, are compared. No step pairs up a whole group, and no
+group meets in one task.
 
 ``component_id`` is the smallest id that can be reached over links. Null texts count as empty; texts without words have
 no shingles and no links. Fewer than five words make one shingle. Rows with a null id are not linked and kept. Rows
@@ -40,6 +44,9 @@ TOKENS = 64
 DEPTH = 8
 LEAF = 1024  # classes compared exhaustively on signatures
 GROUP = 256  # classes compared exhaustively on full sets
+BUCKETS = 1 << 16  # counts of shingles by which a large cluster's are ordered
+SLICE = 2048  # classes of a cluster that are ordered by one copy of its counts
+BLOCK = 4096  # classes that share a shingle and are paired in one piece
 MISSED = 1e-6  # of the pairs at the bound
 
 _U = np.uint64
@@ -374,29 +381,171 @@ def confirmed_links(
     if great.isEmpty():
         return links
 
-    centres = _centres(great.join(classes.select("c", "tokens"), "c"))
     great_sets = sets.where(F.col("size") > group).select("cluster", "size", "c", "set")
-    heart = great_sets.select("cluster", "c", F.col("set").alias("centre_set")).join(
-        centres.select("cluster", F.col("centre").alias("c")), ["cluster", "c"]
-    ).select("cluster", F.col("c").alias("centre"), "centre_set")
-    stars = great_sets.join(heart, "cluster").select("cluster", "c", "centre", "set", "centre_set")
-    stars = written_once(stars.mapInArrow(lambda batches: _to_centre(batches, least), "cluster bigint, c bigint, centre bigint, linked boolean"))
-    links = links.unionByName(stars.where("linked and c <> centre").select(F.col("centre").alias("u"), F.col("c").alias("v")))
-
-    # What is not linked with the centre is compared with everything, block by block.
-    apart = stars.where("not linked").groupBy("cluster").agg(F.count(F.lit(1)).alias("apart"))
-    rows = great_sets.join(stars.select("cluster", "c", "linked").distinct(), ["cluster", "c"]).join(apart, "cluster").join(classes.select("c", "bits"), "c")
-    many, few = F.ceil(F.col("size") / group).cast("int"), F.ceil(F.col("apart") / group).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("c"), n).cast("int")
-    carried = ["c", "linked", "bits", "set"]
-    ours = rows.where(~F.col("linked")).select(
-        "cluster", own(few).alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("other"), F.lit(0).alias("side"), *carried
-    )
-    others = rows.select(
-        "cluster", F.explode(F.sequence(F.lit(0), few - 1)).alias("block"), own(many).alias("other"), F.lit(1).alias("side"), *carried
+    starred = written_once(_starred(great_sets, classes, group, least))
+    links = links.unionByName(starred.where("star <> c").select(F.col("star").alias("u"), F.col("c").alias("v")))
+
+    # What is not linked with the first centre: a few are compared with everything, of many only what shares a rare shingle.
+    apart = starred.where("star <> first").groupBy("cluster").agg(F.count(F.lit(1)).alias("apart"))
+    rows = great_sets.join(starred.select("cluster", "c", "star", "first"), ["cluster", "c"]).join(apart, "cluster")
+    links = links.unionByName(_links_of_few(rows.where(F.col("apart") <= group), classes, group, least))
+    many = rows.where(F.col("apart") > group).select("cluster", "size", "c", "star", "set")
+    return links.unionByName(_confirmed_pairs(close_pairs(many, least), many, least))
+
+
+def _starred(great_sets: DataFrame, classes: DataFrame, group: int, least: int) -> DataFrame:
+    """``(cluster, c, star, first)``: the centre that a class is linked with, or itself, and its cluster's first centre.
+
+    A cluster goes on with a next centre as long as more than ``group`` classes are left and half of them were linked,
+    so that all rounds together compare twice its classes at most.
+    """
+    parts = F.ceil(F.col("size") / SLICE).cast("int")
+    left, first, found = great_sets.select("cluster", "c"), None, []
+    while True:
+        centres = written_once(_centres(left.join(classes.select("c", "tokens"), "c")))
+        first = centres.select("cluster", F.col("centre").alias("first")) if first is None else first
+        heart = great_sets.join(centres.select("cluster", F.col("centre").alias("c")), ["cluster", "c"]).select(
+            "cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("c").alias("centre"), F.col("set").alias("centre_set")
+        )
+        rows = great_sets.join(left, ["cluster", "c"], "left_semi").select("cluster", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), "c", "set")
+        stars = rows.join(heart, ["cluster", "part"]).select("cluster", "c", "centre", "set", "centre_set")
+        stars = written_once(stars.mapInArrow(lambda batches: _to_centre(batches, least), "cluster bigint, c bigint, centre bigint, linked boolean"))
+        found.append(stars.where("linked").select("cluster", "c", F.col("centre").alias("star")))
+        rest = stars.where("not linked").select("cluster", "c")
+        worth = stars.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if("linked").alias("linked"))
+        worth = worth.where((F.col("n") - F.col("linked") > group) & (2 * F.col("linked") >= F.col("n"))).select("cluster")
+        found.append(rest.join(worth, "cluster", "left_anti").select("cluster", "c", F.col("c").alias("star")))
+        left = written_once(rest.join(worth, "cluster", "left_semi"))
+        if left.isEmpty():
+            break
+    told = found[0]
+    for more in found[1:]:
+        told = told.unionByName(more)
+    return told.join(first, "cluster").select("cluster", "c", "star", "first")
+
+
+def _links_of_few(rows: DataFrame, classes: DataFrame, group: int, least: int) -> DataFrame:
+    """Confirmed links of the classes apart from the first centre, at most ``group`` of each cluster, with all of their cluster."""
+    many = F.ceil(F.col("size") / group).cast("int")
+    carried = ["c", (F.col("star") == F.col("first")).alias("linked"), "bits", "set"]
+    rows = rows.join(classes.select("c", "bits"), "c")
+    ours = rows.where("star <> first").select(
+        "cluster", F.lit(0).alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("other"), F.lit(0).alias("side"), *carried
     )
+    others = rows.select("cluster", F.lit(0).alias("block"), F.pmod(F.xxhash64("c"), many).cast("int").alias("other"), F.lit(1).alias("side"), *carried)
     blocks = ours.unionByName(others).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other", "side", "c")
-    return links.unionByName(blocks.mapInArrow(lambda batches: _exact_blocks(batches, least), "u bigint, v bigint"))
+    return blocks.mapInArrow(lambda batches: _exact_blocks(batches, least), "u bigint, v bigint")
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns ``cluster, set`` to ``cluster, bucket, n``: sets with a shingle in the bucket, those of a batch."""
+    for batch in batches:
+        clusters, place = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        sets = [_as_set(x) for x in batch.column(1)]
+        at = np.repeat(place.astype("i8"), [len(x) for x in sets]) * BUCKETS
+        keys, n = np.unique(at + (np.concatenate(sets) >> _U(48)).astype("i8") if sets else at, return_counts=True)
+        columns = [pa.array(clusters[keys // BUCKETS]), pa.array((keys % BUCKETS).astype("i4")), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, ["cluster", "bucket", "n"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns ``cluster, size, counts`` (pairs of bucket and count) with the counts as an array of all buckets."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            pairs = batch.column(2)[i].values
+            table = np.zeros(BUCKETS, "<i8")
+            table[pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+            columns = [*batch.slice(i, 1).columns[:2], pa.array([table.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cluster", "size", "counts"])
+
+
+def _first_shingles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set, the rarest of its cluster; columns ``cluster, part, side, c, star, set``, a cluster's counts on side 0."""
+    table = np.zeros(BUCKETS, "<i8")
+    for batch in batches:
+        cluster, side, c, star = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for i in range(batch.num_rows):
+            if side[i] == 0:
+                table = np.frombuffer(batch.column(5)[i].as_buffer(), "<i8")
+                continue
+            found = _as_set(batch.column(5)[i])
+            n = len(found)
+            some = n + least * n // -100 + 1
+            often = table[(found >> _U(48)).astype("i8")]
+            first = np.argsort(often, kind="stable")[:some]
+            here = np.arange(some)
+            pieces = -(-often[first] // BLOCK)
+            for values, more in zip(
+                out, (np.full(some, cluster[i]), found[first].view("i8"), np.full(some, c[i]), np.full(some, star[i]), np.full(some, n), here, pieces)
+            ):
+                values.append(more)
+        if out[0]:
+            names = ["cluster", "shingle", "c", "star", "n", "place", "pieces"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("i8")) for x in out], names)
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a shingle and may still reach the bound; columns ``cluster, shingle, a, b, own, n, c, star, place``, sorted."""
+    for table in _runs(batches, 4):
+        bounds = _bounds(table, 4)
+        a, b, own, n, c, star, place = (table.column(i).to_numpy() for i in range(2, 9))
+        sizes = np.diff(bounds)
+        left = np.repeat(bounds[1:], sizes) - np.arange(len(c)) - 1
+        for step in range(1, int(sizes.max())):
+            x = np.flatnonzero(left >= step)
+            y = x + step
+            both = -(-least * (n[x] + n[y]) // (100 + least))
+            good = (star[x] != star[y]) & (place[x] + both <= n[x]) & (place[y] + both <= n[y]) & ((a[x] == b[x]) | (own[x] != own[y]))
+            x, y = x[good], y[good]
+            if len(x):
+                columns = [pa.array(np.minimum(c[x], c[y])), pa.array(np.maximum(c[x], c[y]))]
+                yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+
+def close_pairs(members: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(u, v)``: pairs of a cluster, of different stars, among which are all of ``least`` per cent and more; ``members`` has
+    ``(cluster, size, c, star, set)`` and is read twice.
+
+    Counts are those of buckets of shingles, which orders them well enough; the pairs are right for any order. A shingle
+    of many classes is cut into pieces, which meet two by two.
+    """
+    parts = F.ceil(F.col("size") / SLICE).cast("int")
+    counts = members.select("cluster", "set").mapInArrow(_bucket_counts, "cluster bigint, bucket int, n bigint")
+    counts = counts.groupBy("cluster", "bucket").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("cluster").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))  # BUCKETS of each at most
+    sizes = members.groupBy("cluster").agg(F.max("size").alias("size"))
+    counts = counts.join(sizes, "cluster").select("cluster", "size", "counts").mapInArrow(_packed, "cluster bigint, size bigint, counts binary")
+    none = F.lit(0).cast("bigint")
+    tables = counts.select(
+        "cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), none.alias("c"), none.alias("star"), F.col("counts").alias("set")
+    )
+    rows = members.select("cluster", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), F.lit(1).alias("side"), "c", "star", "set")
+    rows = tables.unionByName(rows).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "side")
+    first = rows.mapInArrow(
+        lambda batches: _first_shingles(batches, least),
+        "cluster bigint, shingle bigint, c bigint, star bigint, n bigint, place bigint, pieces bigint",
+    )
+    first = first.withColumn("own", F.pmod(F.xxhash64("c"), F.col("pieces"))).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("other")
+    )
+    first = first.select("cluster", "shingle", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "n", "c", "star", "place")
+    keys = ["cluster", "shingle", "a", "b"]
+    met = first.repartition(*keys).sortWithinPartitions(*keys)
+    return met.mapInArrow(lambda batches: _sharing(batches, least), "u bigint, v bigint").distinct()
+
+
+def _confirmed_pairs(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """The pairs that are links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = [_linked(_as_set(a), _as_set(b), least) for a, b in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    told = pairs.join(members.select(F.col("c").alias("u"), F.col("set").alias("a")), "u")
+    told = told.join(members.select(F.col("c").alias("v"), F.col("set").alias("b")), "v")
+    return told.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:

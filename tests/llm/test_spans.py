@@ -152,6 +152,58 @@ def test_checksums_and_context(spark):
     assert ("national", 4) in added[9] and ("national", len(TEXTS[9]) - 13) not in added[9]
 
 
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?+(?![A-Za-z0-9])")
+NATIONAL = re.compile(r"(?<![0-9A-Za-z+.-])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")
+
+
+def _added(text):
+    """Added spans and scores by plain Python."""
+
+    def beside(start, end, before, after, words):
+        near = text[max(before, start - private_data.NEARBY) : start] + " " + text[end : min(after, end + private_data.NEARBY)]
+        return re.search(rf"\b(?:{words})", near.lower()) is not None
+
+    spans = []
+    for kind, pattern, alone, more, words in (("iban", IBAN, 0.8, 0.2, "iban|bank|account"), ("national", NATIONAL, 0.3, 0.4, "phone|tel|call|fax|mobile")):
+        hits = list(pattern.finditer(text))
+        for i, m in enumerate(hits):
+            groups = m[0].split(" ")
+            ends = range(len(groups), 0, -1) if kind == "iban" else [len(groups)]
+            named = [n for n in ends if groups[0][:2] + str(len("".join(groups[:n]))) in private_data.LENGTHS.split()]
+            for n in [*named, *ends]:
+                kept = " ".join(groups[:n])
+                bare = "".join(groups[:n])
+                moved = bare[4:] + bare[:4]
+                if kind == "iban" and not (15 <= len(bare) <= 34 and int("".join(str(int(x, 36)) for x in moved)) % 97 == 1):
+                    continue
+                before = hits[i - 1].end() if i else 0
+                after = hits[i + 1].start() if i + 1 < len(hits) else len(text)
+                score = alone + (more if beside(m.start(), m.start() + len(kept), before, after, words) else 0)
+                if score >= 0.6:
+                    spans.append((kind, m.start(), m.start() + len(kept), round(score, 2)))
+                break
+    return spans
+
+
+def test_added_spans_match_plain_python(spark):
+    number, other = "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"
+    texts = [
+        f"{number} BANK", f"pay {number} BANK CODE NEXT", f"{number}, {other}", f"{other} OK", number.replace(" ", ""), number.replace(" ", "") + " BANK",
+        f"IBAN {number[:-1]}3 BANK", f"{number} XX", "tel 0171 234 567 and 0171 234 567", "x" * 60 + " 030 1234 5678 " + "call me", "0171 234 5678", "",
+        *H.texts(spark).values(),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"], round(s["score"], 2)) for s in r["added"]] for r in private_data.find(docs).collect()}
+    assert found == {i: _added(t or "") for i, t in enumerate(texts)}
+    assert found[0] == [("iban", 0, len(number), 1.0)] and found[7] == [("iban", 0, len(number), 0.8)] and found[6] == []
+
+
+def test_every_span_of_the_query_has_its_score(spark):
+    rows = queries.op9_private_data(spark, H.SF_DIR).collect()
+    assert all(len(r["spans"].split(",")) == len(r["scores"].split(",")) and bool(r["spans"]) == bool(r["scores"]) for r in rows)
+    assert {x for r in rows for x in r["scores"].split(",") if x} <= {"0.70", "0.80", "0.90", "1.00"}
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "é write a@b.cd or 1.2.3.4, +49 30 1234567"), (2, "none")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["text"] for r in private_data.masked(docs).collect()} == {1: "é write <email> or <ip>, <phone>", 2: "none"}

@@ -78,6 +78,7 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[number(k.name) for k in private_data.BASE],
         F.sha2(private_data.span_list(F.col("base")), 256).alias("base_sha256"),
         private_data.span_list(F.concat("base", "added")).alias("spans"),
+        private_data.score_list(F.concat("base", "added")).alias("scores"),
     )
 
 

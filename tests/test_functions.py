@@ -105,3 +105,15 @@ def test_vector_text(spark):
     assert one(spark, "[1.0,-0.5]", vectors.vector_from_json) == [1.0, -0.5]
     assert one(spark, [3.0, 4.0], vectors.l2_normalise, "array<float>") == pytest.approx([0.6, 0.8])
     assert one(spark, [0.0, 0.0], vectors.l2_normalise, "array<float>") == [0.0, 0.0]
+
+
+def test_vector_text_is_rounded_as_c_prints_it(spark):
+    import struct
+
+    write = lambda v: vectors.vector_to_json(v)
+    halves = [k / 128 for k in range(-129, 130)]  # every odd one is half way between two numbers of six places
+    others = [0.0, -0.0, -1e-9, 5e-7, 1.5e-6, 0.1, 1 / 3, 8388607.5, 8388608.0, 1e9, -16777216.0]
+    values = [struct.unpack("f", struct.pack("f", x))[0] for x in halves + others]
+    assert one(spark, values, write, "array<float>") == "[" + ",".join("%.6f" % x for x in values) + "]"
+    assert one(spark, [3.0 / 64], lambda v: vectors.vector_to_json(v, 5), "array<float>") == "[0.04688]"
+    assert one(spark, [1.0 / 64], lambda v: vectors.vector_to_json(v, 5), "array<float>") == "[0.01562]"

@@ -63,12 +63,20 @@ def l2_normalise(v: Column) -> Column:
     )
 
 
+def _printed(x: Column, places: int) -> Column:
+    """``x`` with so many places as C prints it: a value half way between two goes to the even one.
+
+    ``format_string`` alone would take it up. A float times 10 to the 12 at most is exact as a double, so ties are
+    seen as such. Floats of 2 to the 23 and more are whole.
+    """
+    value = x.cast("double")
+    rounded = F.rint(value * F.lit(10.0**places)) / F.lit(10.0**places)
+    return F.format_string(f"%.{places}f", F.when(F.abs(value) < F.lit(2.0**23), rounded).otherwise(value))
+
+
 def vector_to_json(v: Column, places: int = 6) -> Column:
-    return F.concat(
-        F.lit("["),
-        F.array_join(F.transform(v, lambda x: F.format_string(f"%.{places}f", x.cast("double"))), ","),
-        F.lit("]"),
-    )
+    """``v``, an array of floats, as text."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: _printed(x, places)), ","), F.lit("]"))
 
 
 def vector_from_json(text: Column) -> Column:

@@ -223,3 +223,17 @@ def test_registered_rows_on_an_empty_table(spark, name, folder):
 
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{folder}/events.parquet")
     assert movement.QUERIES[name](spark, folder).collect() == []
+
+
+def test_rounds_are_as_many_as_the_longest_key_needs(spark, folder, tmp_path):
+    got = tmp_path / "got"
+    got.mkdir()
+    many = [(f"k{i % 40}", i, "v") for i in range(4000)]
+    events = spark.createDataFrame(many + [("long", 9000 + 7 * i, "v") for i in range(250)] + [(None, 5, "v")], "key string, seq bigint, value string").repartition(5)
+    delivery.Delivery(spark, f"{folder}/d", _taker(got), width=100).run(events)
+    acks = spark.read.parquet(f"{folder}/d/acks")  # a row per key and round
+    rounds = {r["key"]: r["count"] for r in acks.groupBy("key").count().collect()}
+    assert {k: n for k, n in rounds.items() if k != "long"} == {None: 1} | {f"k{i}": 1 for i in range(40)}
+    assert 2 <= rounds["long"] <= 3
+    taken = {f.name: [int(x) for x in f.read_text().split()] for f in got.iterdir()}
+    assert taken["long"] == [9000 + 7 * i for i in range(250)] and taken["k3"] == list(range(3, 4000, 40)) and taken["None"] == [5]

@@ -237,3 +237,13 @@ def test_rounds_are_as_many_as_the_longest_key_needs(spark, folder, tmp_path):
     assert 2 <= rounds["long"] <= 3
     taken = {f.name: [int(x) for x in f.read_text().split()] for f in got.iterdir()}
     assert taken["long"] == [9000 + 7 * i for i in range(250)] and taken["k3"] == list(range(3, 4000, 40)) and taken["None"] == [5]
+
+
+def test_sketches_of_many_versions_are_few_files(spark, folder):
+    df = spark.range(40_000).selectExpr("cast(id / 100 as int) as version", "if(id % 3 = 0, 'a', 'b') as query", "cast(id as double) as seconds")
+    stats.add_sketches(df, f"{folder}/s", "version", "query", "seconds")
+    stored = spark.read.parquet(f"{folder}/s")
+    assert stored.count() == 800 and stored.select("version").distinct().count() == 400
+    assert len(stored.inputFiles()) <= 8  # of shuffle partitions, not of versions
+    told = stats.within_bounds(stats.merged_sketches(stored, "query"), df, "query", "seconds", (0.5, 0.95)).collect()
+    assert len(told) == 4 and all(r["within"] for r in told) and {r["n"] for r in told} == {13334, 26666}

@@ -98,9 +98,12 @@ RANK_ERROR = 0.0266  # twice the rank error that a sketch of this size keeps wit
 
 
 def add_sketches(samples: DataFrame, path: str, version: str, group: str, value: str) -> None:
-    """Append one quantile sketch per version and group to the table at ``path``; only these samples are read."""
+    """Append one quantile sketch per version and group to the table at ``path``; only these samples are read.
+
+    The version is a column like others: a folder for each would be a file per version and task.
+    """
     sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch")
-    samples.groupBy(version, group).agg(sketch).write.mode("append").partitionBy(version).parquet(path)
+    samples.groupBy(version, group).agg(sketch).write.mode("append").parquet(path)
 
 
 def merged_sketches(stored: DataFrame, group: str) -> DataFrame:

@@ -123,6 +123,19 @@ def test_forgotten_keys_count_as_new(spark, folder):
     assert found == [2, 3, 5, 6]  # each key was forgotten in the batch between
 
 
+def test_the_state_of_a_fold_is_by_buckets_of_keys(spark, folder):
+    rows = [(f"k{i % 6000}", i, "delete" if i % 7 == 0 else "update", f"t{i}") for i in range(12_000)] + [(None, 3, "update", "x"), (None, 9, "delete", "y")]
+    for part in (rows[9000:], rows[:9000], rows):  # late ones second, all again at last
+        spark.createDataFrame(part, ROWS).write.mode("append").parquet(f"{folder}/arrived")
+        stream = spark.readStream.schema(ROWS).parquet(f"{folder}/arrived")
+        runs.run_into(folding.newest_changes(stream), f"{folder}/folded", f"{folder}/checkpoint")
+    written = spark.read.schema(ROWS).parquet(f"{folder}/folded")
+    assert tuples(folding.folded(written)) == tuples(changes.fold(spark.createDataFrame(rows, ROWS)))
+    assert written.count() == written.distinct().count() == 3001 + 3000  # newest first, then keys not seen yet, then nothing
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    assert state.count() <= folding.BUCKETS and state.selectExpr("sum(size(value.groupState.keys)) as n").first()["n"] == 6001
+
+
 # ---- quarantine ------------------------------------------------------------------------------------
 
 

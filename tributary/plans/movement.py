@@ -19,6 +19,7 @@ from tributary.sources import changelog, feeds
 from tributary.streaming import delivery, runs
 from tributary.streaming import fold as folding
 
+ROWS_PER_LANDED_FILE = 2_000_000  # a micro-batch is of some files and has a fixed cost a task of its state
 DOCUMENT_STATE = schemas.struct("id string, change_id bigint, op string, text string, meta string, ts bigint")
 
 
@@ -53,9 +54,11 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrival = F.pmod(F.xxhash64("change_id"), F.lit(4))
     twice = F.when(F.col("change_id") % 10 == 0, F.array(arrival, F.pmod(arrival + 2, F.lit(4)))).otherwise(F.array(arrival))
     arriving = written_once(effects.select("*", F.explode(twice).alias("slot")))
+    rows = {r["slot"]: r["count"] for r in arriving.groupBy("slot").count().collect()}
     for slots in ((0, 1), (2, 3)):
         for slot in slots:
-            arriving.where(F.col("slot") == slot).drop("slot").write.mode("append").parquet(f"{folder}/arrived")
+            files = max(2, -(-rows.get(slot, 0) // ROWS_PER_LANDED_FILE))
+            arriving.where(F.col("slot") == slot).drop("slot").repartition(files).write.mode("append").parquet(f"{folder}/arrived")
         stream = spark.readStream.schema("id string, change_id bigint, op string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/arrived")
         runs.run_into(folding.newest_changes(stream), f"{folder}/folded", f"{folder}/checkpoint")
     return folding.folded(spark.read.schema("id string, change_id bigint, op string").parquet(f"{folder}/folded"))

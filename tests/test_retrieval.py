@@ -201,3 +201,31 @@ def test_registered_search_has_its_recall(spark):
 
     found = retrieval.recall_at_k(spark, "/root/testdata/sf0.001").first()
     assert found["queries"] > 0 and found["recall"] >= 0.9
+
+
+def test_what_a_task_gathers_does_not_grow_with_its_rows(monkeypatch):
+    import pyarrow as pa
+
+    rows, asked = RNG.normal(size=(4000, 8)), RNG.normal(size=(200, 8))
+    rows[1000:1200] = rows[0]  # ties go to the smaller id, also from a later batch
+    gathered = []
+    whole = knn._best
+
+    def watched(found, k):
+        gathered.append(found.num_rows)
+        return whole(found, k)
+
+    monkeypatch.setattr(knn, "CELL_VALUES", 4000)
+    monkeypatch.setattr(knn, "FOUND_ROWS", 5000, raising=False)
+    monkeypatch.setattr(knn, "_best", watched)
+    vec = pa.FixedSizeListArray.from_arrays(pa.array(rows.astype("f4").ravel()), 8).cast(pa.list_(pa.float32()))
+    order = np.arange(4000)[::-1].copy()
+    batch = pa.RecordBatch.from_arrays([pa.array(order), vec.take(pa.array(order))], ["id", "vec"])
+    unit = knn._matrix(pa.array(asked.astype("f4").tolist(), pa.list_(pa.float32())), 8)
+    for k in (1, 10, 5000):
+        gathered.clear()
+        told = pa.Table.from_batches(knn._scorer(pa.array(range(200)), unit, None, k)(iter([batch]))).to_pydict()
+        want = [(q, i, d) for q, i, d, _ in brute(rows, asked, k)]
+        assert sorted(zip(told["query_id"], told["dist"], told["id"])) == sorted((q, d, i) for q, i, d in want)
+        if k <= 10:
+            assert max(gathered) <= 5000 + 4000 + 200 * k

@@ -24,6 +24,7 @@ from tributary.session import written_once
 PLACES = 6
 BLOCK_VALUES = 4_000_000  # numbers in a block of queries (32 MB of doubles)
 CELL_VALUES = 2_000_000  # distances held at once while scoring one batch
+FOUND_ROWS = 500_000  # candidates a task gathers before it cuts them to the best of each query
 SPREAD = 64  # groups in which a query's candidates are thinned
 
 
@@ -61,18 +62,41 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(place < k))
 
 
-def _candidates(ids: pa.Array, unit: np.ndarray, queries: np.ndarray, positions: np.ndarray, k: int) -> pa.Table:
-    """Rows at most as far as the ``k``-th nearest of each query, cut to ``k`` by distance and id."""
-    found = []
-    step = max(1, CELL_VALUES // max(1, len(queries)))
-    for start in range(0, len(unit), step):
-        part = unit[start : start + step]
-        distance = np.round(1.0 - part @ queries.T, PLACES) + 0.0
-        kth = np.partition(distance, k - 1, axis=0)[k - 1] if len(part) > k else distance.max(axis=0)
-        row, query = np.nonzero(distance <= kth)
-        near = {"q": positions[query], "id": ids.take(pa.array(start + row)), "dist": distance[row, query]}
-        found.append(_best(pa.table(near), k))
-    return pa.concat_tables(found)
+class _Found:
+    """The ``k`` nearest rows of each query among those added; what is held does not grow with the rows."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.reach = np.full(len(queries), np.inf)  # distance of each query's k-th row so far
+        self.tables: list[pa.Table] = []
+        self.kept = self.new = 0
+
+    def add(self, ids: pa.Array, unit: np.ndarray, asking: np.ndarray) -> None:
+        """Compare rows with the queries at the places ``asking``."""
+        queries = (self.queries if len(asking) == len(self.queries) else self.queries[asking]).T
+        step = max(1, CELL_VALUES // max(1, len(asking)))
+        for start in range(0, len(unit), step):
+            part = unit[start : start + step]
+            distance = np.round(1.0 - part @ queries, PLACES) + 0.0
+            most = self.reach[asking]
+            if len(part) > self.k:
+                most = np.minimum(most, np.partition(distance, self.k - 1, axis=0)[self.k - 1])
+            row, query = np.nonzero(distance <= most)
+            if len(row):
+                near = {"q": asking[query], "id": ids.take(pa.array(start + row)), "dist": distance[row, query]}
+                self.tables.append(pa.table(near))
+                self.new += len(row)
+            if self.new >= max(FOUND_ROWS, self.kept):
+                self.best()
+
+    def best(self) -> pa.Table | None:
+        if self.new:
+            found = _best(pa.concat_tables(self.tables), self.k)
+            q = found.column("q").to_numpy()
+            last = np.flatnonzero(q[self.k - 1 :] == q[: max(0, len(q) - self.k + 1)]) + self.k - 1
+            self.reach[q[last]] = found.column("dist").to_numpy()[last]
+            self.tables, self.kept, self.new = [found], len(q), 0
+        return self.tables[0] if self.tables else None
 
 
 def _scorer(names: pa.Array, queries: np.ndarray, probes: np.ndarray | None, k: int):
@@ -80,22 +104,20 @@ def _scorer(names: pa.Array, queries: np.ndarray, probes: np.ndarray | None, k:
     every = np.arange(len(queries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        found = _Found(queries, k)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, unit = batch.column("id"), _matrix(batch.column("vec"), queries.shape[1])
-            found = [] if best is None else [best]
             if probes is None:
-                found.append(_candidates(ids, unit, queries, every, k))
+                found.add(ids, unit, every)
             else:
                 cells = batch.column("cell").to_numpy(zero_copy_only=False)
                 for cell in np.unique(cells):
                     asking, rows = every[probes[:, cell]], np.flatnonzero(cells == cell)
                     if len(asking):
-                        found.append(_candidates(ids.take(pa.array(rows)), unit[rows], queries[asking], asking, k))
-            if found:
-                best = _best(pa.concat_tables(found), k)
+                        found.add(ids.take(pa.array(rows)), unit[rows], asking)
+        best = found.best()
         if best is not None:
             best = best.combine_chunks()
             columns = [names.take(best.column("q").combine_chunks()), best.column("id").combine_chunks(), best.column("dist").combine_chunks()]

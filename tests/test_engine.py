@@ -163,3 +163,23 @@ def test_write_back(spark, folder, engine):
     engine.ingest_inbox(messages)
     engine.ingest_inbox(messages.withColumn("payload", F.lit('"again"')).limit(1))
     assert tuples(engine.inbox().select("id", "src", "payload")) == [("e1-1", "e1", '"again"'), ("e1-2", "e1", '"two"')]
+
+
+def test_texts_are_embedded_in_one_pass_over_the_changes(spark, folder):
+    def model(texts):
+        assert all(t in ("one", "two", "three") for t in texts), texts
+        return [[float(len(t)), 1.0] for t in texts]
+
+    engine = Engine(spark, f"{folder}/e", model, "lengths")
+    engine.put_many(spark.createDataFrame([("a", "one", None), ("b", "two", None)], "id string, text string, meta string"))
+
+    def later(texts):  # texts that have a vector do not come again
+        assert all(t == "three" for t in texts), texts
+        return model(texts)
+
+    engine.model = later
+    rows = "id string, change_id bigint, op string, text string, meta string, ts bigint"
+    changed = [("a", 9, "update", "one", None, 1), ("b", 9, "update", "three", None, 1), ("c", 9, "delete", None, None, None)]
+    found = engine._with_vectors(spark.createDataFrame(changed, rows))
+    assert {r["id"]: r["emb"] for r in found.collect()} == {"a": [3.0, 1.0], "b": [5.0, 1.0], "c": None}
+    assert "Union" not in engine._with_vectors(spark.createDataFrame(changed, rows).where("ts > 0"))._jdf.queryExecution().analyzed().toString().split("Join LeftOuter")[0]

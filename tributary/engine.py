@@ -152,10 +152,8 @@ class Engine:
         here = self.table.touching(rows).filter(F.col("model") == self.model_name)
         stored = here.select("id", "text_hash", "emb")
         kept = rows.join(stored, ["id", "text_hash"], "left")
-        fresh = kept.filter(F.col("emb").isNull() & F.col("_text").isNotNull())
-        fresh = fresh.withColumn("emb", embedding.embed_column(F.col("_text"), self.model))
-        known = kept.filter(F.col("emb").isNotNull() | F.col("_text").isNull())
-        both = known.unionByName(fresh)
+        missing = F.when(F.col("emb").isNull(), F.col("_text"))
+        both = kept.withColumn("emb", F.coalesce("emb", embedding.embed_given(missing, self.model)))  # one pass: the log is decoded once
         model = F.when(F.col("emb").isNotNull(), F.lit(self.model_name))
         return both.withColumn("model", model).select(*self.table.schema.names)
 

@@ -79,6 +79,22 @@ def embed_column(text: Column, model: Model) -> Column:
     return embed(text)
 
 
+def embed_given(text: Column, model: Model) -> Column:
+    """``model`` over the texts that are not NULL; the others have no vector and do not reach the model."""
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            given = batch.notna().to_numpy()
+            if given.any():
+                vectors = np.asarray(model(batch[given].tolist()), dtype="float32")
+                found[given] = pd.Series(list(vectors), index=batch.index[given])
+            yield found
+
+    return embed(text)
+
+
 def hash_vector(text: Column, dim: int) -> Column:
     """The vectors of :func:`hash_model` by built-in functions, so that joins move below them."""
     buckets = F.transform(text_functions.tokens(text), lambda t: text_functions.token_bucket(t, dim))

@@ -179,7 +179,9 @@ class MergeTable:
         return changes.live(self.state(version, buckets))
 
     def touching(self, keys: DataFrame) -> DataFrame:
-        """The live rows whose key occurs in ``keys(id)``; only their buckets are read."""
+        """The live rows whose key occurs in ``keys(id)``; only their buckets are read, and of an empty table none are looked for."""
+        if self.version() < 0:
+            return self.rows(buckets=[])
         asked = keys.select(bucket_of(F.col("id"), self.buckets).alias("b")).distinct().collect()  # at most ``buckets`` rows
         return changes.touching(self.rows(buckets=sorted(r["b"] for r in asked)), keys)
 
